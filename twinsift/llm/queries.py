@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import license_scan, secret_scan
 from .common import table
 from .exact_dedup import exact_dedup
+from .html_extract import html_extract
 from .ngram_join import ngram_join
 
 
@@ -13,11 +15,23 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"), 4, 85, 100).select("doc_id", "n_shingles", "component_id")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.secret_scan(table(spark, sf_dir, "documents")))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.license_scan(table(spark, sf_dir, "documents")))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract(table(spark, sf_dir, "pages"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_secret_scan, op6_license_scan, op8_html_extraction, op10_exact_dedup)}
 
 ORACLE = {
     "op10_exact_dedup": r"""
