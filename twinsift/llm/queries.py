@@ -9,6 +9,7 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .html_extract import html_extract
 from .ngram_join import ngram_join
+from .token_output import token_output
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,11 +28,17 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract(table(spark, sf_dir, "pages"))
 
 
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_output(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_secret_scan, op6_license_scan, op8_html_extraction, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_secret_scan, op6_license_scan, op8_html_extraction, op9_token_output, op10_exact_dedup)}
 
 ORACLE = {
     "op10_exact_dedup": r"""
