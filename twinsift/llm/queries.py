@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import license_scan, secret_scan
 from .common import table
+from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .html_extract import html_extract
 from .ngram_join import ngram_join
@@ -20,6 +21,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.secret_scan(table(spark, sf_dir, "documents")))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.license_scan(table(spark, sf_dir, "documents")))
 
@@ -38,7 +43,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_secret_scan, op6_license_scan, op8_html_extraction, op9_token_output, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op4_secret_scan, op5_decontamination, op6_license_scan, op8_html_extraction, op9_token_output, op10_exact_dedup)}
 
 ORACLE = {
     "op10_exact_dedup": r"""
