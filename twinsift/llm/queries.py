@@ -9,6 +9,7 @@ from .common import table
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .html_extract import html_extract
+from .language_model import lm_scores
 from .ngram_join import ngram_join
 from .quality import quality_scores
 from .token_output import token_output
@@ -22,6 +23,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.secret_scan(table(spark, sf_dir, "documents")))
 
@@ -54,7 +59,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_classifier, op4_secret_scan, op5_decontamination, op6_license_scan, op7_sentencepiece, op8_html_extraction, op9_token_output, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_quality_classifier, op3_lm_scoring, op4_secret_scan, op5_decontamination, op6_license_scan, op7_sentencepiece, op8_html_extraction, op9_token_output, op10_exact_dedup)}
 
 ORACLE = {
     "op10_exact_dedup": r"""
