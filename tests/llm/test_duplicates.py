@@ -72,6 +72,8 @@ def test_ngram_join_equals_brute_force(spark):
     rows += [(i + k, shared + " " + " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(12)))) for k in range(60)]
     rows += [(9000, None), (9001, ""), (9002, " \n"), (9003, "one TWO"), (9004, "ONE two"), (9005, "one two"), (9006, "long " * 20000)]
     docs = spark.createDataFrame([(d, t, "x") for d, t in rows], DOC)
+    rows += [(8000 + k, " ".join(f"z{(i if i % 900 or i == 0 else i + 10**6 * k)}" for i in range(5000))) for k in range(3)]
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], DOC)
     for n, num, den in ((4, 85, 100), (5, 80, 100)):
         got = sorted(tuple(r) for r in ngram_join(docs, n, num, den).select("doc_id", "n_shingles", "component_id").collect())
         assert got == brute(rows, n, num, den)

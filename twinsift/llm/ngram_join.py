@@ -7,11 +7,11 @@ differ in at most d elements (d follows from their sizes), so with k = d + 1 + e
 are sent only by sets with more than e of them: of a pair that links, either one equal segment isn't empty, or both
 sets send their empty ones. No link is lost.
 
-Candidates are verified in two steps: the Hamming distance of 2048-bit parity sketches, a lower bound of the symmetric
-difference, then the sets themselves. Within a segment's bucket all sets are first held against one leader of the bucket,
-in a few rounds with other leaders, and those already connected are left out; this is linear in the bucket. What then is
-still unconnected is compared in tiles of bounded size on the 2048-bit sketches, so that only pairs that pass the bound
-become rows. Buckets have no cap.
+Candidates are verified in two steps: the Hamming distance of parity sketches of about a bit for each element, a lower bound
+of the symmetric difference, then the sets themselves, which are made anew from the texts of the few documents that are left. Within
+a segment's bucket all sets are first held against one leader of the bucket and those already connected are left out; this
+is linear in the bucket. What then is still unconnected is compared in tiles of bounded size on the sketches, so that
+only pairs that pass the bound become rows. Buckets have no cap.
 
 Equal sets are one node from the start (their fingerprint), so groups of exact copies cost nothing beyond one row a task.
 """
@@ -30,7 +30,6 @@ from .common import U, materialize, mix, words
 
 _hash = xxhash.xxh3_64_intdigest
 _MUL = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0x27D4EB2F165667C5), U(0x85EBCA77C2B2AE63), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB)]
-SKETCH_BITS = 2048
 #: Bits of the filter of documents to read again; its size is fixed, a fuller one only lets more documents through.
 FILTER_BITS = 1 << 23
 #: Sets compared at once within a bucket.
@@ -96,11 +95,37 @@ class Bands:
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """The parity of the set's elements in each of SKETCH_BITS bits, as words of 64."""
-    odd = np.bincount((s & U(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    """The parity of the set's elements in each of its bits, as words of 64. Bits: a power of two, no fewer than elements, 256 to 65536."""
+    bits = min(1 << 16, max(256, 1 << (len(s) - 1).bit_length()))
+    odd = np.bincount((s & U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(U)
 
 
+def _fold(x: np.ndarray, width: int) -> np.ndarray:
+    """Rows of sketches as the sketches of fewer bits: width words."""
+    return np.bitwise_xor.reduce(x.reshape(len(x), -1, width), axis=1)
+
+
+def _matrix(cells: list[bytes], width: int) -> np.ndarray:
+    """Sketches (bytes) of different sizes as rows of width words each."""
+    out = np.zeros((len(cells), width), U)
+    size = np.fromiter(map(len, cells), np.int64, len(cells)) // 8
+    for k in np.unique(size).tolist():
+        at = np.flatnonzero(size == k)
+        out[at] = _fold(np.frombuffer(b"".join([cells[i] for i in at]), U).reshape(len(at), k), width)
+    return out
+
+
+def _far(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Hamming distances of pairs of sketches, at the smaller size of each."""
+    width = np.minimum(np.fromiter(map(len, x), np.int64, len(x)), np.fromiter(map(len, y), np.int64, len(y))) // 8
+    out = np.zeros(len(x), np.int64)
+    for k in np.unique(width).tolist():
+        at = np.flatnonzero(width == k)
+        out[at] = np.bitwise_count(_matrix([x[i] for i in at], k) ^ _matrix([y[i] for i in at], k)).sum(axis=1)
+    return out
+
+
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, str | None]]:
     for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
         yield d, t.as_py()
@@ -156,8 +181,11 @@ def _filter_bits(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _sets(docs: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
-    """(f1, n, sketch, items) of the chosen nodes; chosen: (f1, _id), a document of each. Texts are not shuffled: a filter of fixed size tells what to read."""
+def _again(docs: DataFrame, chosen: DataFrame, n: int, whole: bool) -> DataFrame:
+    """(f1, n, data) of the chosen nodes, data: the set or else its sketch; chosen: _id, a document of each node.
+
+    Texts are not shuffled: a filter of fixed size tells which to read. It lets some others through, and copies; rows may be too many, never too few.
+    """
     spark = docs.sparkSession
     bits = spark.sparkContext.broadcast(np.unpackbits(_filter_bits(chosen.select("_id")).view(np.uint8), bitorder="little"))
     maybe = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("doc_id").cast("long")).alias("_h"), F.col("text").cast("string").alias("text"))
@@ -167,49 +195,51 @@ def _sets(docs: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
         for b in batches:
             h = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             yes = np.flatnonzero((on[h % FILTER_BITS] & on[(h.view(U) >> U(32)).astype(np.int64) % FILTER_BITS]).astype(bool) & b.column(0).is_valid().to_numpy(zero_copy_only=False))
-            ids, texts, out = b.column(0), b.column(2), []
+            texts, out = b.column(2), []
             for i in yes:
                 s = shingle_set(texts[i].as_py(), n)
                 if len(s):
-                    out.append((ids[i].as_py(), fingerprint(s)[0], len(s), sketch(s).tobytes(), s.tobytes()))
+                    out.append((fingerprint(s)[0], len(s), (s if whole else sketch(s)).tobytes()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["_id", "f1", "n", "sketch", "items"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["f1", "n", "data"])
 
-    return maybe.mapInArrow(run, "_id long, f1 long, n long, sketch binary, items binary").join(chosen.hint("shuffle_hash"), ["f1", "_id"], "left_semi").drop("_id").dropDuplicates(["f1"])
+    return maybe.mapInArrow(run, "f1 long, n long, data binary")
 
 
 def _bound(bands: Bands, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (bands.den - bands.num) * (a + b) // (bands.den + bands.num)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets link; first by sketches, then by the sets."""
+def verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, reps: DataFrame, n: int, bands: Bands) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets link; first by sketches, then by the sets. reps: (f1, _id), a document of each node."""
     num, den = bands.num, bands.den
 
     def near(batches):
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), U).reshape(b.num_rows, -1) for k in (3, 5))
-            far = np.bitwise_count(x ^ y).sum(axis=1).astype(np.int64)
             na, nb = (b.column(k).to_numpy() for k in (2, 4))
-            yield b.select(["a", "b"]).filter(pa.array((far <= _bound(bands, na, nb)) & (den * np.minimum(na, nb) >= num * np.maximum(na, nb))))
+            ok = (_far(b.column(3).to_pylist(), b.column(5).to_pylist()) <= _bound(bands, na, nb)) & (den * np.minimum(na, nb) >= num * np.maximum(na, nb))
+            yield b.select(["a", "b"]).filter(pa.array(ok))
 
     def link(batches):
         for b in batches:
             ok = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = (np.frombuffer(z.as_buffer(), U) for z in (x, y))
                 i = _same(x, y)
                 ok.append(den * i >= num * (len(x) + len(y) - i))
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    def of(side: str, *cols: str) -> DataFrame:
-        return sets.select(F.col("f1").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in cols))
+    def of(sets: DataFrame, side: str) -> DataFrame:
+        return sets.select(F.col("f1").alias(side), F.col("n").alias(f"n_{side}"), F.col("data").alias(f"data_{side}"))
 
-    p = pairs.join(of("a", "n", "sketch"), "a").join(of("b", "n", "sketch"), "b").select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b").mapInArrow(near, "a long, b long")
-    return p.join(of("a", "items"), "a").join(of("b", "items"), "b").select("a", "b", "items_a", "items_b").mapInArrow(link, "a long, b long")
+    p = pairs.join(of(sketches, "a"), "a").join(of(sketches, "b"), "b").select("a", "b", "n_a", "data_a", "n_b", "data_b").mapInArrow(near, "a long, b long")
+    p = materialize(p.distinct(), "near")
+    nodes = p.select(F.col("a").alias("f1")).unionByName(p.select(F.col("b").alias("f1"))).distinct()
+    sets = _again(docs, nodes.join(reps, "f1").select("_id"), n, True).join(nodes, "f1", "left_semi")
+    return p.join(of(sets, "a"), "a").join(of(sets, "b"), "b").select("a", "b", "data_a", "data_b").mapInArrow(link, "a long, b long")
 
 
-def _tiles(active: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
+def _tiles(active: DataFrame, sketches: DataFrame, bands: Bands) -> DataFrame:
     """Pairs (a, b) of unconnected members of a bucket whose sketches pass the bound. A bucket of m members is dealt into blocks
     of about TILE; each pair of blocks is a task's group of its own, so no group grows with the bucket."""
     num, den = bands.num, bands.den
@@ -217,26 +247,32 @@ def _tiles(active: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
     blocks = active.withColumn("nb", F.ceil(size / F.lit(TILE)).cast("int")).withColumn("blk", F.pmod(F.xxhash64("f1"), F.col("nb")).cast("int"))
     dealt = blocks.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
         "key", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), (F.col("blk") > F.col("o")).alias("second"), "f1", "n", "label")
-    with_sketch = dealt.join(sets.select("f1", "sketch"), "f1")
-    ordered = with_sketch.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "f1").select("key", "i", "j", "second", "f1", "n", "label", "sketch")
+    with_sketch = dealt.join(sketches.select("f1", "data"), "f1")
+    ordered = with_sketch.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "f1").select("key", "i", "j", "second", "f1", "n", "label", "data")
 
     def compare(t: pa.Table) -> pa.Table:
         key, i, j, second, f1, n, label = (t.column(c).to_numpy() for c in range(7))
-        sk = np.frombuffer(b"".join(t.column(7).to_pylist()), U).reshape(t.num_rows, -1)
+        cells = t.column(7).to_pylist()
+        new = np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))[: t.num_rows]
+        group = np.cumsum(new) - 1
+        width = np.minimum.reduceat(np.fromiter(map(len, cells), np.int64, len(cells)) // 8, np.flatnonzero(new))[group] if len(cells) else group
+        rows, sk = np.zeros(t.num_rows, np.int64), {}
+        for k in np.unique(width).tolist():
+            at = np.flatnonzero(width == k)
+            rows[at], sk[k] = np.arange(len(at)), _matrix([cells[r] for r in at], k)
         a, b = [], []
         left = np.arange(t.num_rows)
         for o in range(1, t.num_rows):
             left = left[left + o < t.num_rows]
-            left = left[(key[left] == key[left + o]) & (i[left] == i[left + o]) & (j[left] == j[left + o])]
+            left = left[group[left] == group[left + o]]
             if not len(left):
                 break
             r = left + o
             left = left[den * n[left] >= num * n[r]]  # sorted by size: later partners are larger still
             r = left + o
             x, y = left[m := (label[left] != label[r]) & ((i[left] == j[left]) | (second[left] != second[r]))], r[m]
-            for c in range(0, len(x), 1 << 16):
-                p, q = x[c : c + (1 << 16)], y[c : c + (1 << 16)]
-                ok = np.bitwise_count(sk[p] ^ sk[q]).sum(axis=1) <= _bound(bands, n[p].astype(np.int64), n[q].astype(np.int64))
+            for p, q, m in ((x[at], y[at], sk[k]) for k in sk for at in np.array_split(np.flatnonzero(width[x] == k), 1 + len(x) * k // (1 << 20))):
+                ok = np.bitwise_count(m[rows[p]] ^ m[rows[q]]).sum(axis=1) <= _bound(bands, n[p].astype(np.int64), n[q].astype(np.int64))
                 a.append(np.minimum(f1[p[ok]], f1[q[ok]]))
                 b.append(np.maximum(f1[p[ok]], f1[q[ok]]))
         z = np.zeros(0, np.int64)
@@ -283,7 +319,7 @@ def _star(active: DataFrame, order: Column) -> DataFrame:
     return active.withColumn("lead", lead).filter("label <> lead.label").select(F.least("f1", "lead.f1").alias("a"), F.greatest("f1", "lead.f1").alias("b"), F.col("n"), F.col("lead.n").alias("m"))
 
 
-def ngram_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, rounds: int = 2) -> DataFrame:
+def ngram_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, rounds: int = 1) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, f1.
 
     docs: doc_id, text. Documents link when den * |intersection| >= num * |union| of their n-gram sets; component_id is the least
@@ -298,14 +334,14 @@ def ngram_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, round
     both = Window.partitionBy("key")
     met = _segments(docs, n, bands).withColumn("lo", F.min("f1").over(both)).withColumn("hi", F.max("f1").over(both))
     buckets = materialize(met.filter("lo <> hi").select("key", "f1", "n"), "buckets")
-    chosen = buckets.select("f1").distinct().join(nodes, "f1").filter("rep IS NOT NULL").select("f1", F.col("rep").alias("_id"))
-    sets = materialize(_sets(docs, materialize(chosen, "chosen"), n), "sets")
+    reps = materialize(buckets.select("f1").distinct().join(nodes, "f1").filter("rep IS NOT NULL").select("f1", F.col("rep").alias("_id")), "reps")
+    sketches = materialize(_again(docs, reps.select("_id"), n, False).join(reps.hint("shuffle_hash"), "f1", "left_semi").dropDuplicates(["f1"]), "sketches")
     active = buckets.distinct().withColumn("label", F.col("f1"))
     links, label = None, None
     fits = f"{den} * least(n, m) >= {num} * greatest(n, m)"
     for r in range(rounds + 1):
-        pairs = _star(active, F.xxhash64("f1", F.lit(r))).filter(fits).select("a", "b").distinct() if r < rounds else _tiles(active, sets, bands)
-        new = materialize(verified(pairs, sets, bands), "links")
+        pairs = _star(active, F.xxhash64("f1", F.lit(r))).filter(fits).select("a", "b").distinct() if r < rounds else _tiles(active, sketches, bands)
+        new = materialize(verified(pairs, sketches, docs, reps, n, bands), "links")
         links = new if links is None else links.unionByName(new)
         label = components(links)
         if r < rounds:
