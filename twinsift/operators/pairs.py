@@ -16,7 +16,7 @@ from .. import canon
 from ..functions.expressions import rendered, same, type_name
 from ..model import Settings
 from ..paths import PathMatcher, Rules
-from ..sources.side import KEY, Side
+from ..sources.side import Side, key_text
 
 VALUES = "map<string,struct<baseline:array<string>,candidate:array<string>>>"
 
@@ -85,77 +85,105 @@ def typed_pairs(base: Side, cand: Side, s: Settings, how: str = "full_outer") ->
     found = F.array(*[F.when(x, F.struct(F.lit(p).alias("path"), F.struct(show(p, b, tb).alias("baseline"), show(p, c, tc).alias("candidate")).alias("v"))) for p, x, b, tb, c, tc in checks]) if checks else None
     found = F.when(both & (status == "changed"), F.filter(found, lambda x: x.isNotNull())) if checks else F.lit(None).cast("array<struct<path:string,v:struct<baseline:array<string>,candidate:array<string>>>>")
     keys = [f"k{i}" for i in range(len(base.keys))]
-    out = joined.select(F.struct(*keys).alias("_key"), *_key_text(base, keys), status.alias("status"), F.coalesce(found, F.array().cast("array<struct<path:string,v:struct<baseline:array<string>,candidate:array<string>>>>")).alias("found"))
+    out = joined.select(F.struct(*keys).alias("_key"), *key_text(base, keys), status.alias("status"), F.coalesce(found, F.array().cast("array<struct<path:string,v:struct<baseline:array<string>,candidate:array<string>>>>")).alias("found"))
     paths = F.array_sort(F.array_distinct(F.transform("found", lambda x: x["path"])))
     values = F.map_from_entries(F.transform(F.array_distinct(F.transform("found", lambda x: x["path"])), lambda p: F.struct(p, F.element_at(F.filter("found", lambda x: x["path"] == p), 1)["v"])))
     return out.select("_key", "_ktype", "_kvalue", "status", paths.alias("paths"), values.cast(VALUES).alias("values"))
 
 
-def _key_text(side: Side, keys: list[str]) -> list[Column]:
-    if len(keys) > 1:
-        return [F.lit("DOCUMENT").alias("_ktype"), F.to_json(F.struct(*[F.col(k).alias(n) for k, n in zip(keys, side.keys, strict=True)])).alias("_kvalue")]
-    t = side.df.schema[side.keys[0]].dataType
-    text = F.col(keys[0]).cast("string")
-    return [F.lit(type_name(t)).alias("_ktype"), text.alias("_kvalue") if type_name(t) != "STRING" else F.concat(F.lit('"'), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')).alias("_kvalue")]
-
-
 # ---- documents ----
 
 
-def document_join(base: DataFrame, cand: DataFrame, how: str = "full_outer") -> DataFrame:
-    """Documents of both sides (frames of Side.documents()) on equal keys."""
-    b = base.select(*[F.col(c).alias(f"b{c}") for c in (*KEY, "_doc")])
-    c = cand.select(*[F.col(c).alias(f"c{c}") for c in (*KEY, "_doc")])
-    j = b.join(c, F.col("b_ksort") == F.col("c_ksort"), how)
-    return j.select(F.coalesce("b_ksort", "c_ksort").alias("_key"), F.coalesce("b_ktype", "c_ktype").alias("_ktype"), F.coalesce("b_kvalue", "c_kvalue").alias("_kvalue"), F.col("b_doc").alias("b"), F.col("c_doc").alias("c"))
+def document_join(base: DataFrame, cand: DataFrame, how: str = "full_outer", by: tuple[str, ...] = ("_ksort",)) -> DataFrame:
+    """Documents of both sides (frames of Side.documents() or native_documents()) on equal keys: _key, _ktype, _kvalue, b, c."""
+    cols = (*by, "_ktype", "_kvalue", "_doc")
+    b, c = (d.select(*[F.col(x).alias(f"{n}{x}") for x in cols]) for d, n in ((base, "b"), (cand, "c")))
+    on = [F.col(f"b{k}") == F.col(f"c{k}") for k in by]
+    both = lambda x: F.coalesce(f"b{x}", f"c{x}")
+    return b.join(c, on, how).select(F.struct(*[both(k).alias(k) for k in by]).alias("_key"), both("_ktype").alias("_ktype"), both("_kvalue").alias("_kvalue"), F.col("b_doc").alias("b"), F.col("c_doc").alias("c"))
 
 
-def document_pairs(base: DataFrame, cand: DataFrame, s: Settings, how: str = "full_outer") -> DataFrame:
+def document_pairs(base: DataFrame, cand: DataFrame, s: Settings, how: str = "full_outer", by: tuple[str, ...] = ("_ksort",)) -> DataFrame:
+    """Pairs of documents. Equal texts are equal documents; only the others' texts go to Python."""
     keys, nulls, ignored, ordered, wild, red = s.keyFields, s.nullEqualsMissing, s.ignoredPaths, s.orderSensitivePaths, s.wildcardPaths, s.redactedPaths
-    j = document_join(base, cand, how)
+    j = document_join(base, cand, how, by)
     simple = F.when(F.col("b").isNull(), "added").when(F.col("c").isNull(), "removed").when(F.col("b") == F.col("c"), "unchanged")
-    j = j.select("_key", "_ktype", "_kvalue", simple.alias("status"), F.when(simple.isNull(), F.col("b")).alias("b"), F.when(simple.isNull(), F.col("c")).alias("c"))
+    undecided = lambda c: F.when(simple.isNull(), F.col(c)).alias(c)
+    key = j.schema["_key"].dataType
+    j = j.select("_key", "_ktype", "_kvalue", simple.alias("status"), undecided("b"), undecided("c"))
     value = pa.map_(pa.string(), pa.struct([("baseline", pa.list_(pa.string())), ("candidate", pa.list_(pa.string()))]))
 
     def run(batches):
         rules, redacted = Rules(ignored, ordered, wild), PathMatcher(red)
         for t in batches:
-            status, paths, values = t.column(3).to_pylist(), [], []
-            for i, (b, c) in enumerate(zip(t.column(4).to_pylist(), t.column(5).to_pylist(), strict=True)):
-                paths.append([])
-                values.append([])
-                if status[i] is None:
-                    x, y = (canon.normalize(canon.parse_document(d), rules, keys, nulls) for d in (b, c))
-                    status[i] = "unchanged"
-                    if x != y:
-                        found = canon.changed_paths(x, y, rules)
-                        status[i], paths[i] = "changed", sorted(found)
-                        values[i] = [(p, {"baseline": u, "candidate": v}) for p, (u, v) in canon.value_changes(x, y, found, rules, redacted).items()]
+            status, paths, values = t.column(3).to_pylist(), [[]] * t.num_rows, [[]] * t.num_rows
+            for i in t.column(3).is_null().to_numpy(zero_copy_only=False).nonzero()[0].tolist():
+                x, y = (canon.normalize(canon.parse_document(t.column(k)[i].as_py()), rules, keys, nulls) for k in (4, 5))
+                status[i] = "unchanged" if x == y else "changed"
+                if x != y:
+                    found = canon.changed_paths(x, y, rules)
+                    paths[i] = sorted(found)
+                    values[i] = [(p, {"baseline": u, "candidate": v}) for p, (u, v) in canon.value_changes(x, y, found, rules, redacted).items()]
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), t.column(2), pa.array(status, pa.string()), pa.array(paths, pa.list_(pa.string())), pa.array(values, value)], names=["_key", "_ktype", "_kvalue", "status", "paths", "values"])
 
-    return j.mapInArrow(run, f"_key binary, _ktype string, _kvalue string, status string, paths array<string>, values {VALUES}")
+    schema = T.StructType([T.StructField("_key", key)] + [T.StructField(n, t) for n, t in (("_ktype", T.StringType()), ("_kvalue", T.StringType()), ("status", T.StringType()), ("paths", T.ArrayType(T.StringType())))]).add("values", values_type())
+    return j.mapInArrow(run, schema)
+
+
+def values_type() -> T.MapType:
+    """The type of values."""
+    return T.MapType(T.StringType(), T.StructType([T.StructField("baseline", T.ArrayType(T.StringType())), T.StructField("candidate", T.ArrayType(T.StringType()))]))
 
 
 # ---- structure profiles ----
 
 
+def profiled(schema: T.StructType, s: Settings) -> bool:
+    """Whether typed_profile can tell all paths from the schema: it can't where a map's names are paths of their own."""
+    rules = rules_of(s)
+
+    def known(t, state) -> bool:
+        if state.ignored:
+            return True
+        if isinstance(t, T.StructType):
+            return all(known(f.dataType, state.field(f.name)) for f in t.fields)
+        if isinstance(t, T.ArrayType):
+            return known(t.elementType, state.element())
+        return not isinstance(t, T.VariantType) and (not isinstance(t, T.MapType) or (state.collapses and known(t.valueType, state.field("*"))))
+
+    return known(schema, rules.root)
+
+
 def typed_profile(df: DataFrame, s: Settings) -> DataFrame:
-    """(path, type, docs): rows whose path has the type, key fields included; a row for each struct and leaf in one aggregate."""
+    """(path, type, docs): rows whose path has the type, key fields included; all paths of the schema in one aggregate, arrays and maps by exists()."""
     rules = rules_of(s)
     nodes: list[tuple[str, Column, str]] = []
 
-    def walk(t, state, path, col):
-        for f in t.fields:
-            st, p, c = state.field(f.name), state.name(path, f.name), (F.col(f"`{f.name}`") if col is None else col.getField(f.name))
-            if st.ignored:
-                continue
-            nodes.append((p, c.isNotNull(), type_name(f.dataType)))
+    def walk(t, state, path, some):
+        """some(test): whether some value of this node passes the test."""
+        if isinstance(t, T.StructType):
+            steps = [(state.field(f.name), state.name(path, f.name), f.dataType, lambda test, n=f.name: some(lambda c: c.isNotNull() & test(c.getField(n))), s.nullEqualsMissing) for f in t.fields]
+        elif isinstance(t, T.ArrayType):
+            steps = [(state.element(), path + "[]", t.elementType, lambda test: some(lambda c: F.coalesce(F.exists(c, test), F.lit(False))), False)]
+        elif isinstance(t, T.MapType):
+            steps = [(state.field("*"), state.name(path, "*"), t.valueType, lambda test: some(lambda c: F.coalesce(F.exists(F.map_values(c), test), F.lit(False))), s.nullEqualsMissing)]
+        else:
+            return
+        for st, p, kind, any_of, no_null in steps:
+            if not st.ignored:
+                nodes.append((p, any_of(lambda c: c.isNotNull()), type_name(kind)))
+                if not no_null:
+                    nodes.append((p, any_of(lambda c: c.isNull()), "NULL"))
+                walk(kind, st, p, any_of)
+
+    for f in df.schema.fields:
+        st, p = rules.root.field(f.name), rules.root.name("", f.name)
+        if not st.ignored:
+            top = lambda test, n=f.name: test(F.col(f"`{n}`"))
+            nodes.append((p, top(lambda c: c.isNotNull()), type_name(f.dataType)))
             if not s.nullEqualsMissing:
-                nodes.append((p, c.isNull() if col is None else c.isNull() & col.isNotNull(), "NULL"))
-            if isinstance(f.dataType, T.StructType):
-                walk(f.dataType, st, p, c)
-
-    walk(df.schema, rules.root, "", None)
+                nodes.append((p, top(lambda c: c.isNull()), "NULL"))
+            walk(f.dataType, st, p, top)
     by: dict[tuple[str, str], Column] = {}
     for p, on, t in nodes:
         by[p, t] = by[p, t] | on if (p, t) in by else on

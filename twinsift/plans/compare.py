@@ -71,6 +71,7 @@ class Comparator:
 def compare(base: Side, cand: Side, s: Settings, threshold_source: str = "configured") -> Report:
     started = datetime.now(timezone.utc)
     typed = base.typed and cand.typed
+    native = base.native and cand.native
     warnings: list[str] = []
     held: list[DataFrame] = []
 
@@ -80,25 +81,40 @@ def compare(base: Side, cand: Side, s: Settings, threshold_source: str = "config
 
     try:
         if typed:
-            check_typed(base, cand)
+            nb, nc = check_typed(base, cand)
             b, c = base.df, cand.df
             by = list(base.keys)
+        elif native:
+            nb, nc = check_typed(base, cand)
+            b, c = base.native_documents(), cand.native_documents()
+            by = [f"k{i}" for i in range(len(base.keys))]
         else:
             b, c = keep(base.documents()), keep(cand.documents())
-            warnings += check_documents({"baseline": b, "candidate": c}, s)
+            more, nb, nc = check_documents({"baseline": b, "candidate": c}, s)
+            warnings += more
             by = ["_ksort"]
-        nb, nc = b.count(), c.count()
         mode, decision = resolve_mode(s, nb, nc)
         decisions = [decision]
         s = replace(s, mode=mode)
         if not typed and s.mapDetection:
-            docs = [canon.parse_document(r[0]) for side in (b, c) for r in side.orderBy(F.md5(F.col("_ksort"))).limit(s.mapSampleSize).select("_doc").collect()]
+            docs = [canon.parse_document(r[0]) for side in (b, c) for r in side.orderBy(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in by])), *by).limit(s.mapSampleSize).select("_doc").collect()]
             for m in maps.detect(docs, s.ignoredPaths, s.orderSensitivePaths, s.wildcardPaths, s.mapMinDistinctKeys):
                 decisions.append(f"wildcard {m.pattern}: {m.distinctKeys} different names, {m.averageKeys:.1f} fields on average in {m.documents} sampled documents")
                 s = replace(s, wildcardPaths=(*s.wildcardPaths, m.pattern))
-        join = (lambda x, y, how: pairs.typed_pairs(replace(base, df=x), replace(cand, df=y), s, how)) if typed else (lambda x, y, how: pairs.document_pairs(x, y, s, how))
-        profile = (lambda x: pairs.typed_profile(x, s)) if typed else (lambda x: pairs.document_profile(x, s))
-        sampled = lambda df: df.orderBy(F.md5(F.concat(*[F.col(k).cast("string") for k in by], F.lit("#" + s.sampleSeed))), *by).limit(mode.size)
+        join = (lambda x, y, how: pairs.typed_pairs(replace(base, df=x), replace(cand, df=y), s, how)) if typed else (lambda x, y, how: pairs.document_pairs(x, y, s, how, tuple(by)))
+        whole = dict(zip("bc", (base, cand), strict=True))
+        by_schema = typed or (native and all(pairs.profiled(x.df.schema, s) for x in (base, cand)))
+
+        def profile(rows: DataFrame, side: str, every: bool = False) -> DataFrame:
+            """Of typed sides from the rows themselves, cut down to the keys of `rows` unless those are all."""
+            if not by_schema:
+                return pairs.document_profile(rows, s)
+            if typed or every:
+                return pairs.typed_profile(rows if typed else whole[side].df, s)
+            keys = rows.select(*[F.col(k).alias(n) for k, n in zip(by, base.keys, strict=True)])
+            return pairs.typed_profile(whole[side].df.join(keys, list(base.keys), "left_semi"), s)
+
+        sampled = lambda df: df.orderBy(F.md5(F.concat(F.concat_ws("|", *[F.col(k).cast("string") for k in by]), F.lit("#" + s.sampleSeed))), *by).limit(mode.size)
         first = nb <= nc
         extra = 0
         if s.matchedOnly:
@@ -106,17 +122,18 @@ def compare(base: Side, cand: Side, s: Settings, threshold_source: str = "config
             x, y = (b, c) if first else (c, b)
             x = keep(sampled(x)) if mode.type == "SAMPLE" else x
             ours = keep(join(x if first else y, y if first else x, "left_outer" if first else "right_outer"))
-            pb, pc = profile(b.join((x if first else y).select(*by), by, "left_semi").join(c.select(*by), by, "left_semi")), profile(c.join((x if not first else y).select(*by), by, "left_semi").join((x if first else b).select(*by), by, "left_semi"))
+            both = x.select(*by).join(y.select(*by), by, "left_semi")
+            pb, pc = profile(b.join(both, by, "left_semi"), "b"), profile(c.join(both, by, "left_semi"), "c")
         elif mode.type == "SAMPLE":
             xs, ys = keep(sampled(b)), keep(sampled(c))
             added = keep(ys.join(b.select(*by), by, "left_anti"))
             found = c.join(xs.select(*by), by, "left_semi")
             ours = keep(join(xs, found, "left_outer").unionByName(join(xs.limit(0), added, "full_outer")))
-            pb, pc = profile(xs), profile(found.unionByName(added))
+            pb, pc = profile(xs, "b"), profile(found.unionByName(added), "c")
             extra = ys.count()
         else:
             ours = keep(join(b, c, "full_outer"))
-            pb, pc = profile(b), profile(c)
+            pb, pc = profile(b, "b", True), profile(c, "c", True)
         return _assemble(s, ours, pb, pc, nb, nc, extra, first, warnings, decisions, threshold_source, started)
     finally:
         for df in held:

@@ -32,8 +32,11 @@ class Side:
         flat = lambda t: all(flat(f.dataType) for f in t.fields) if isinstance(t, T.StructType) else not isinstance(t, (T.ArrayType, T.MapType, T.VariantType))
         return self.doc is None and flat(self.df.schema)
 
-    def key_column(self) -> Column:
-        return self.df[self.keys[0]] if len(self.keys) == 1 else F.struct(*[self.df[k] for k in self.keys])
+    @property
+    def native(self) -> bool:
+        """Whether the rows are typed and their keys atomic: keys are then compared as columns."""
+        atomic = lambda k: k in self.df.columns and not isinstance(self.df.schema[k].dataType, (T.StructType, T.ArrayType, T.MapType, T.VariantType))
+        return self.doc is None and all(map(atomic, self.keys))
 
     def count(self) -> int:
         return self.df.count()
@@ -50,6 +53,12 @@ class Side:
         text = F.concat_ws("|", *[F.col(k).cast("string") for k in self.keys])
         return replace(self, df=self.df.orderBy(sample_order(text, seed), text).limit(n))
 
+    def native_documents(self) -> DataFrame:
+        """The key columns k0, k1, ..., _ktype, _kvalue and _doc of each row, made by Spark's own functions."""
+        names = [f"k{i}" for i in range(len(self.keys))]
+        rows = self.df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(self.keys, names, strict=True)], document_column(self.df.schema).alias("_doc"))
+        return rows.select(*names, *key_text(self, names), "_doc")
+
     def documents(self) -> DataFrame:
         """_ksort, _ktype, _kvalue, _kbracket and _doc (canonical Extended JSON) of each row."""
         keys, doc = self.keys, self.doc
@@ -95,12 +104,43 @@ def typed(x, t: T.DataType) -> tuple:
     return (type_name(t), x) if isinstance(t, T.IntegralType) else canon.raw(x)
 
 
-# ---- checks ----
+def key_text(side: Side, keys: list[str]) -> list[Column]:
+    """_ktype and _kvalue of atomic keys, from the columns `keys`."""
+    if len(keys) > 1:
+        return [F.lit("DOCUMENT").alias("_ktype"), F.to_json(F.struct(*[F.col(k).alias(n) for k, n in zip(keys, side.keys, strict=True)])).alias("_kvalue")]
+    name, text = type_name(side.df.schema[side.keys[0]].dataType), F.col(keys[0]).cast("string")
+    quoted = F.concat(F.lit('"'), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    return [F.lit(name).alias("_ktype"), (quoted if name == "STRING" else text).alias("_kvalue")]
+
+
+def document_column(schema: T.StructType) -> Column:
+    """A row as canonical Extended JSON: numbers with their types, times to the microsecond, nulls as they are."""
+
+    def tagged(c: Column, t: T.DataType) -> Column:
+        one = lambda name, x: F.when(c.isNotNull(), F.struct(x.alias(name)))
+        if isinstance(t, T.StructType):
+            return F.when(c.isNotNull(), F.struct(*[tagged(c.getField(f.name), f.dataType).alias(f.name) for f in t.fields])) if t.fields else c
+        if isinstance(t, T.ArrayType):
+            return F.transform(c, lambda x: tagged(x, t.elementType))
+        if isinstance(t, T.MapType):
+            return F.transform_values(F.transform_keys(c, lambda k, _: k.cast("string")), lambda _, v: tagged(v, t.valueType))
+        if isinstance(t, T.LongType):
+            return one("$numberLong", c.cast("string"))
+        if isinstance(t, (T.DoubleType, T.FloatType)):
+            return one("$numberDouble", c.cast("double").cast("string"))
+        if isinstance(t, T.DecimalType):
+            return one("$numberDecimal", c.cast("string"))
+        if isinstance(t, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+            wall = F.to_utc_timestamp(c, F.current_timezone()) if isinstance(t, T.TimestampType) else c.cast("timestamp")
+            return one("$date", F.date_format(wall, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+        if isinstance(t, T.BinaryType):
+            return one("$binary", F.struct(F.base64(c).alias("base64"), F.lit("00").alias("subType")))
+        return c if isinstance(t, (T.IntegralType, T.BooleanType, T.StringType, T.NullType)) else c.cast("string")
+
+    return F.to_json(F.struct(*[tagged(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in schema.fields]), {"ignoreNullFields": "false"})
 
 
-def require_unique(keys: DataFrame, by: list[str], name: str) -> None:
-    if found := keys.groupBy(*by).count().filter("count > 1").limit(1).collect():
-        raise ComparisonError(f"{name}: a key occurs {found[0]['count']} times; the key must be unique")
+# ---- checks ----
 
 
 def duplicate_keys(df: DataFrame, by: list[str]) -> DataFrame:
@@ -108,39 +148,59 @@ def duplicate_keys(df: DataFrame, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-def check_typed(side: Side, other: Side) -> None:
-    """Keys exist, are atomic, never null, unique, and of one family of types on both sides."""
+def key_facts(sides: dict[str, DataFrame], by: list[str]) -> dict[str, tuple[int, int, int, set]]:
+    """For each side: rows, most rows of one key, rows without a key, and the keys' type brackets. One job, one shuffle of the keys alone."""
+    missing = " OR ".join(f"`{k}` IS NULL" for k in by)
+    bracket = "_kbracket" if by == ["_ksort"] else None
+    parts = []
+    for name, df in sides.items():
+        g = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.collect_set(bracket).alias("kinds") if bracket else F.array().cast("array<string>").alias("kinds"))
+        parts.append(g.agg(F.lit(name).alias("side"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.max_by("n", F.when(F.expr(missing), -1).otherwise(F.col("n"))), F.lit(0)).alias("most"),
+                           F.coalesce(F.sum(F.when(F.expr(missing), F.col("n"))), F.lit(0)).alias("missing"), F.array_distinct(F.flatten(F.collect_set("kinds"))).alias("kinds")))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return {r.side: (r.rows, r.most, r.missing, set(r.kinds)) for r in rows.collect()}
+
+
+def _usable(facts: dict[str, tuple[int, int, int, set]]) -> None:
+    for name, (_, most, missing, kinds) in facts.items():
+        if "ARRAY" in kinds:
+            raise ComparisonError(f"{name}: an array can't be a key")
+        if missing:
+            raise ComparisonError(f"{name}: {missing} documents have no key")
+        if most > 1:
+            raise ComparisonError(f"{name}: a key occurs {most} times; the key must be unique")
+
+
+def check_typed(side: Side, other: Side) -> tuple[int, int]:
+    """Keys exist, are atomic, never null, unique, and of one family of types on both sides. Returns both sides' numbers of rows."""
     for s in (side, other):
         for k in s.keys:
             if k not in s.df.columns:
                 raise ComparisonError(f"{s.name}: there is no key field {k!r}")
             if isinstance(s.df.schema[k].dataType, (T.ArrayType, T.MapType, T.StructType)):
                 raise ComparisonError(f"{s.name}: key field {k!r} is of type {s.df.schema[k].dataType.simpleString()}")
-        if s.df.filter(" OR ".join(f"`{k}` IS NULL" for k in s.keys)).limit(1).count():
-            raise ComparisonError(f"{s.name}: some rows have no key")
-        require_unique(s.keys_only(), list(s.keys), s.name)
     for k in side.keys:
         a, b = (canon.bracket((type_name(s.df.schema[k].dataType), None)) for s in (side, other))
         if a != b:
             raise ComparisonError(f"key field {k!r} is {a} in the baseline and {b} in the candidate")
-
-
-def check_documents(docs: dict[str, DataFrame], settings: Settings) -> list[str]:
-    """The same for documents; returns warnings. Keys of several type brackets are an error unless settings let them be compared."""
-    warnings, brackets = [], set()
-    for name, d in docs.items():
-        seen = {r[0] for r in d.select("_kbracket").distinct().collect()}
-        if None in seen:
-            raise ComparisonError(f"{name}: some documents have no key {'.'.join(settings.keyFields)}")
-        if "ARRAY" in seen:
-            raise ComparisonError(f"{name}: an array can't be a key")
-        brackets |= seen
-        require_unique(d, ["_ksort"], name)
-    if len(brackets) > 1:
+    facts = key_facts({"baseline": side.keys_only(), "candidate": other.keys_only()}, list(side.keys))
+    _usable(facts)
+    return facts["baseline"][0], facts["candidate"][0]
+
+
+def check_documents(docs: dict[str, DataFrame], settings: Settings) -> tuple[list[str], int, int]:
+    """The same for documents (frames of Side.documents()): warnings and both numbers. Keys of several type brackets are an error unless settings let them be compared."""
+    facts = key_facts(docs, ["_ksort"])
+    _usable(facts)
+    kinds = set().union(*(f[3] for f in facts.values()))
+    warnings = []
+    if len(kinds) > 1:
         if settings.mixedKeyTypes == MixedKeyPolicy.REJECT:
-            raise ComparisonError("keys have several types: " + ", ".join(sorted(brackets)))
-        warnings.append("Keys have several types, compared across types: " + ", ".join(sorted(brackets)))
-    return warnings
+            raise ComparisonError("keys have several types: " + ", ".join(sorted(kinds)))
+        warnings.append("Keys have several types, compared across types: " + ", ".join(sorted(kinds)))
+    return warnings, facts["baseline"][0], facts["candidate"][0]
 
 
 # ---- readers ----
