@@ -7,7 +7,7 @@ differ in at most d elements (d follows from their sizes), so with k = d + 1 + e
 are sent only by sets with more than e of them: of a pair that links, either one equal segment isn't empty, or both
 sets send their empty ones. No link is lost.
 
-Candidates are verified in two steps: the Hamming distance of parity sketches of about a bit for each element, a lower bound
+Candidates are verified in two steps: the Hamming distance of parity sketches of two bits and more for each element, a lower bound
 of the symmetric difference, then the sets themselves, which are made anew from the texts of the few documents that are left. Within
 a segment's bucket all sets are first held against one leader of the bucket and those already connected are left out; this
 is linear in the bucket. What then is still unconnected is compared in tiles of bounded size on the sketches, so that
@@ -95,8 +95,8 @@ class Bands:
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """The parity of the set's elements in each of its bits, as words of 64. Bits: a power of two, no fewer than elements, 256 to 65536."""
-    bits = min(1 << 16, max(256, 1 << (len(s) - 1).bit_length()))
+    """The parity of the set's elements in each of its bits, as words of 64. Bits: a power of two, twice the elements and more, 2048 to 65536."""
+    bits = min(1 << 16, max(2048, 1 << (2 * len(s) - 1).bit_length()))
     odd = np.bincount((s & U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(U)
 
@@ -319,7 +319,7 @@ def _star(active: DataFrame, order: Column) -> DataFrame:
     return active.withColumn("lead", lead).filter("label <> lead.label").select(F.least("f1", "lead.f1").alias("a"), F.greatest("f1", "lead.f1").alias("b"), F.col("n"), F.col("lead.n").alias("m"))
 
 
-def ngram_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, rounds: int = 1) -> DataFrame:
+def ngram_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, rounds: int = 2) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, f1.
 
     docs: doc_id, text. Documents link when den * |intersection| >= num * |union| of their n-gram sets; component_id is the least
