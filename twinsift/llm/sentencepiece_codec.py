@@ -145,7 +145,9 @@ def chunks(docs: DataFrame, model: str) -> DataFrame:
                         texts.append(_text(c[begin[i] : end[i]]))
             yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, U).view(np.int64)), pa.array(texts, pa.string())], names=["h", "chunk"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, chunk string").distinct()
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, chunk string")
+    # a number of partitions of their own: the lattice makes a hundred rows of each, which their bytes do not show
+    return found.repartition(max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "h").dropDuplicates(["h", "chunk"])
 
 
 def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
@@ -161,7 +163,7 @@ def lattice(chunks_: DataFrame, table: DataFrame, longest: int, most_bytes: int
     spans = spans.withColumn("piece", F.substring("chunk", F.col("s") + 1, F.col("e") - F.col("s")))
     edges = spans.join(table, "piece", "left").filter("id IS NOT NULL OR e = s + 1")
     edge = F.struct("e", "s", F.coalesce("cost", F.lit(UNKNOWN)).alias("c"), F.coalesce("id", F.lit(-1)).alias("i"))
-    grouped = edges.groupBy("h", "chunk").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    grouped = edges.groupBy("h", "chunk").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
     grouped = grouped.withColumn("path", F.expr("""
         aggregate(edges, array(named_struct('c', 0D, 's', 0, 'i', -1)), (best, x) ->
           CASE WHEN size(best) = x.e THEN concat(best, array(named_struct('c', best[x.s].c + x.c, 's', x.s, 'i', x.i)))
