@@ -41,7 +41,7 @@ def shingle_set(text: str | None, n: int, seed: int = 0) -> np.ndarray:
     w = words(text) if text else []
     if not w:
         return np.zeros(0, U)
-    a = np.fromiter(map(_hash, w), U, len(w)) + U(seed)
+    a = np.fromiter(map(_hash, w) if not seed else (_hash(x, seed) for x in w), U, len(w))
     if len(a) < n:
         return mix(np.array([(a * np.array(_MUL[: len(a)], U)).sum(dtype=U) ^ U(len(a) * 0x9E3779B1)], U))
     s = a[: len(a) - n + 1] * _MUL[0]
@@ -135,21 +135,21 @@ def _same(a: np.ndarray, b: np.ndarray) -> int:
     return len(np.intersect1d(a, b, assume_unique=True))
 
 
-def heads(docs: DataFrame, n: int) -> DataFrame:
+def heads(docs: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """(doc_id, n, f1, f2): set size and fingerprints of each document."""
 
     def run(batches):
         for b in batches:
             out = []
             for d, t in _rows(b):
-                s = shingle_set(t, n)
+                s = shingle_set(t, n, seed)
                 out.append((d, len(s), *(fingerprint(s) if len(s) else (None, None))))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 4, names=["doc_id", "n", "f1", "f2"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, f1 long, f2 long")
 
 
-def _segments(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
+def _segments(docs: DataFrame, n: int, bands: Bands, seed: int) -> DataFrame:
     """(key, f1, n): the segments of each set; copies within a task are sent once."""
 
     def run(batches):
@@ -157,7 +157,7 @@ def _segments(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
         for b in batches:
             keys, ids, sizes = [], [], []
             for _, t in _rows(b):
-                s = shingle_set(t, n)
+                s = shingle_set(t, n, seed)
                 if not len(s) or (f := fingerprint(s)[0]) in seen:
                     continue
                 seen.add(f)
@@ -181,7 +181,7 @@ def _filter_bits(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def _again(docs: DataFrame, chosen: DataFrame, n: int, whole: bool) -> DataFrame:
+def _again(docs: DataFrame, chosen: DataFrame, n: int, whole: bool, seed: int) -> DataFrame:
     """(f1, n, data) of the chosen nodes, data: the set or else its sketch; chosen: _id, a document of each node.
 
     Texts are not shuffled: a filter of fixed size tells which to read. It lets some others through, and copies; rows may be too many, never too few.
@@ -197,7 +197,7 @@ def _again(docs: DataFrame, chosen: DataFrame, n: int, whole: bool) -> DataFrame
             yes = np.flatnonzero((on[h % FILTER_BITS] & on[(h.view(U) >> U(32)).astype(np.int64) % FILTER_BITS]).astype(bool) & b.column(0).is_valid().to_numpy(zero_copy_only=False))
             texts, out = b.column(2), []
             for i in yes:
-                s = shingle_set(texts[i].as_py(), n)
+                s = shingle_set(texts[i].as_py(), n, seed)
                 if len(s):
                     out.append((fingerprint(s)[0], len(s), (s if whole else sketch(s)).tobytes()))
             if out:
@@ -210,7 +210,7 @@ def _bound(bands: Bands, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (bands.den - bands.num) * (a + b) // (bands.den + bands.num)
 
 
-def verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, reps: DataFrame, n: int, bands: Bands) -> DataFrame:
+def verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, reps: DataFrame, n: int, bands: Bands, seed: int = 0) -> DataFrame:
     """The pairs (a, b) of nodes whose sets link; first by sketches, then by the sets. reps: (f1, _id), a document of each node."""
     num, den = bands.num, bands.den
 
@@ -235,7 +235,7 @@ def verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, reps: DataF
     p = pairs.join(of(sketches, "a"), "a").join(of(sketches, "b"), "b").select("a", "b", "n_a", "data_a", "n_b", "data_b").mapInArrow(near, "a long, b long")
     p = materialize(p.distinct(), "near")
     nodes = p.select(F.col("a").alias("f1")).unionByName(p.select(F.col("b").alias("f1"))).distinct()
-    sets = _again(docs, nodes.join(reps, "f1").select("_id"), n, True).join(nodes, "f1", "left_semi")
+    sets = _again(docs, nodes.join(reps, "f1").select("_id"), n, True, seed).join(nodes, "f1", "left_semi")
     return p.join(of(sets, "a"), "a").join(of(sets, "b"), "b").select("a", "b", "data_a", "data_b").mapInArrow(link, "a long, b long")
 
 
@@ -319,7 +319,7 @@ def _star(active: DataFrame, order: Column) -> DataFrame:
     return active.withColumn("lead", lead).filter("label <> lead.label").select(F.least("f1", "lead.f1").alias("a"), F.greatest("f1", "lead.f1").alias("b"), F.col("n"), F.col("lead.n").alias("m"))
 
 
-def ngram_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, rounds: int = 2) -> DataFrame:
+def ngram_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, rounds: int = 2, seed: int = 0) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, f1.
 
     docs: doc_id, text. Documents link when den * |intersection| >= num * |union| of their n-gram sets; component_id is the least
@@ -327,21 +327,21 @@ def ngram_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, round
     linked documents, or null. Extra columns are ignored. A repeated doc_id is one document for component_id.
     """
     bands = Bands(num, den)
-    head = materialize(heads(docs, n), "heads")
+    head = materialize(heads(docs, n, seed), "heads")
     nodes = head.filter("n > 0").groupBy("f1").agg(F.min("doc_id").alias("rep"), F.min("f2").alias("f2"), F.max("f2").alias("f3"))
     if nodes.filter("f2 <> f3").limit(1).count():
-        raise ValueError("two different n-gram sets have one 64-bit fingerprint; run with another n-gram seed")
+        return ngram_join(docs, n, num, den, rounds, seed + 1)  # two different sets have one 64-bit fingerprint: other hashes tell them apart
     both = Window.partitionBy("key")
-    met = _segments(docs, n, bands).withColumn("lo", F.min("f1").over(both)).withColumn("hi", F.max("f1").over(both))
+    met = _segments(docs, n, bands, seed).withColumn("lo", F.min("f1").over(both)).withColumn("hi", F.max("f1").over(both))
     buckets = materialize(met.filter("lo <> hi").select("key", "f1", "n"), "buckets")
     reps = materialize(buckets.select("f1").distinct().join(nodes, "f1").filter("rep IS NOT NULL").select("f1", F.col("rep").alias("_id")), "reps")
-    sketches = materialize(_again(docs, reps.select("_id"), n, False).join(reps.hint("shuffle_hash"), "f1", "left_semi").dropDuplicates(["f1"]), "sketches")
+    sketches = materialize(_again(docs, reps.select("_id"), n, False, seed).join(reps.hint("shuffle_hash"), "f1", "left_semi").dropDuplicates(["f1"]), "sketches")
     active = buckets.distinct().withColumn("label", F.col("f1"))
     links, label = None, None
     fits = f"{den} * least(n, m) >= {num} * greatest(n, m)"
     for r in range(rounds + 1):
         pairs = _star(active, F.xxhash64("f1", F.lit(r))).filter(fits).select("a", "b").distinct() if r < rounds else _tiles(active, sketches, bands)
-        new = materialize(verified(pairs, sketches, docs, reps, n, bands), "links")
+        new = materialize(verified(pairs, sketches, docs, reps, n, bands, seed), "links")
         links = new if links is None else links.unionByName(new)
         label = components(links)
         if r < rounds:
