@@ -187,6 +187,26 @@ def test_paths():
         Rules(wildcards=["a.b"])
 
 
+def test_path_regex_equals_matcher():
+    import re
+
+    rng = random.Random(5)
+    parts = ["a", "b.", ".", "[]", "*", "c d", "a[]", ".*", "x+"]
+    good = [p for p in ("".join(rng.choice(parts) for _ in range(rng.randint(1, 5))) for _ in range(400)) if _addressable(p)]
+    for _ in range(300):
+        m = PathMatcher(rng.sample(good, 2))
+        for _ in range(30):
+            path = "".join(rng.choice(parts) for _ in range(rng.randint(1, 6)))
+            assert bool(re.search(m.regex(), path)) == m.matches(path), (m.patterns, path)
+    assert not re.search(PathMatcher().regex(), "a")
+
+
+def _addressable(p):
+    from twinsift.paths import addressable
+
+    return addressable(p)
+
+
 def test_profile_nodes():
     got = C.node_types(doc("{'_id':1,'a':{'x':null,'y':[1,'s',{}]},'e':[]}"), Rules(["e[]"]))
     assert got == {("_id", "INT32"), ("a", "DOCUMENT"), ("a.x", "NULL"), ("a.y", "ARRAY"), ("a.y[]", "INT32"), ("a.y[]", "STRING"), ("a.y[]", "DOCUMENT"), ("e", "ARRAY")}

@@ -12,8 +12,7 @@ def category_counts(pairs: DataFrame, expected: PathMatcher) -> DataFrame:
     """One row: unchanged, changed, changed_expected_only, added, removed, matched."""
     only = F.lit(False)
     if expected:
-        test = F.udf(lambda ps: bool(ps) and all(expected.matches(p) for p in ps), "boolean")
-        only = (F.col("status") == "changed") & test("paths")
+        only = (F.col("status") == "changed") & (F.size("paths") > 0) & F.forall("paths", lambda p: p.rlike(expected.regex()))
     n = lambda s: F.count_if(F.col("status") == s).alias(s)
     return pairs.agg(n("unchanged"), n("changed"), F.count_if(only).alias("changed_expected_only"), n("added"), n("removed"), F.count_if(F.col("status").isin("unchanged", "changed")).alias("matched"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 ANY, ELEMENT = "*", "[]"
 
 
@@ -94,6 +96,12 @@ class PathMatcher:
     def __bool__(self) -> bool:
         return bool(self.patterns)
 
+    def regex(self) -> str:
+        """The same test as a regular expression, for columns; of no patterns, one that nothing matches."""
+        segment = r"(?:\*|[^.\[\]*]+)(?:\[\])*"
+        text = lambda p: "".join((r"\[\]" if s == ELEMENT else ("" if i == 0 else r"\.") + (r"(?:\*|[^.\[\]*]+)" if s == ANY else re.escape(s))) for i, s in enumerate(p))
+        return rf"^(?={segment}(?:\.{segment})*$)(?:{'|'.join(map(text, self.patterns)) or '(?!)'})(?:$|\.|\[\])"
+
     def matches(self, path: str) -> bool:
         try:
             steps = parse(path)
