@@ -42,65 +42,81 @@ _IN_BYTE = np.array([[next((p for p in range(8) if bin(b & (1 << p + 1) - 1).cou
 
 
 def ef_build(values: np.ndarray, name: str) -> dict[str, np.ndarray]:
-    """A non-decreasing uint64 sequence as whole low bytes and unary high parts, with the number of ones before each block of 512 bits."""
+    """A non-decreasing uint64 sequence: log2(top / n) low bits in whole bytes, unary high parts, and the number of ones before each block of 512 bits."""
     v = values.astype(U)
     n, top = len(v), int(v[-1]) if len(v) else 0
-    low = min(8, max(0, -(-max(0, (top // max(1, n)).bit_length()) // 8)))
-    high = (v >> U(8 * low)).astype(np.int64) if low < 8 else np.zeros(n, np.int64)
+    low = max(0, (top // max(1, n)).bit_length() - 1)
+    high = (v >> U(low)).astype(np.int64)
     bits = np.zeros(-(-(n + (int(high[-1]) if n else 0) + 2) // 512) * 512, np.uint8)
     bits[high + np.arange(n)] = 1
     words_ = np.packbits(bits, bitorder="little").view(U)
     ones = np.concatenate(([0], np.cumsum(np.bitwise_count(words_).reshape(-1, 8).sum(axis=1, dtype=np.int64))))
-    return {f"{name}.n": np.array([n, low], np.int64), f"{name}.low": v.view(np.uint8).reshape(n, 8)[:, :low].copy(), f"{name}.high": words_, f"{name}.ones": ones}
+    part = (v & ((U(1) << U(low)) - U(1))).view(np.uint8).reshape(n, 8)[:, : -(-low // 8)]
+    return {f"{name}.n": np.array([n, low], np.int64), f"{name}.low": part.copy(), f"{name}.high": words_, f"{name}.ones": ones}
 
 
 class EliasFano:
     def __init__(self, arrays: dict[str, np.ndarray], name: str):
-        self.n, self.low_bytes = (int(x) for x in arrays[f"{name}.n"])
+        self.n, self.low_bits = (int(x) for x in arrays[f"{name}.n"])
         self.low, self.high, self.ones = arrays[f"{name}.low"], arrays[f"{name}.high"].reshape(-1, 8), arrays[f"{name}.ones"]
         self.zeros = np.arange(len(self.ones)) * 512 - self.ones
 
     def _select(self, k: np.ndarray, before: np.ndarray, flip: bool) -> np.ndarray:
-        """Place of the k-th one (or zero), from 0."""
+        """Place of the k-th one (or zero), from 0: its block, its word, its byte, its bit."""
         block = np.searchsorted(before, k, side="right") - 1
-        rest = k - before[block]
+        rest = (k - before[block]).astype(np.int16)
+        row = np.arange(len(k))
+
+        def step(parts):
+            """The part that holds the rest-th one, and how many stand before it."""
+            upto = np.cumsum(np.bitwise_count(parts), axis=1, dtype=np.int16)
+            at = (upto <= rest[:, None]).sum(axis=1)
+            return at, np.where(at > 0, upto[row, at - 1], 0).astype(np.int16)
+
         w = self.high[block]
         w = ~w if flip else w
-        b = np.ascontiguousarray(w).view(np.uint8).reshape(len(k), 64)
-        upto = np.cumsum(np.bitwise_count(b), axis=1, dtype=np.int16)
-        at = (upto <= rest[:, None]).sum(axis=1)
-        row = np.arange(len(k))
-        rest = rest - np.where(at > 0, upto[row, at - 1], 0)
-        return block * 512 + at * 8 + _IN_BYTE[b[row, at], rest]
+        word, gone = step(w)
+        rest = rest - gone
+        b = np.ascontiguousarray(w[row, word]).view(np.uint8).reshape(len(k), 8)
+        byte, gone = step(b)
+        return block * 512 + word * 64 + byte * 8 + _IN_BYTE[b[row, byte], rest - gone]
+
+    def _ones_from(self, place: np.ndarray) -> np.ndarray:
+        """How many ones stand at a place and directly after it, 64 at most."""
+        flat, word, off = self.high.reshape(-1), place >> 6, (place & 63).astype(U)
+        after = np.where(off > 0, flat[np.minimum(word + 1, len(flat) - 1)] << (U(64) - np.maximum(off, U(1))), U(0))
+        gaps = ~(flat[word] >> off | after)
+        return np.bitwise_count((gaps & (~gaps + U(1))) - U(1)).astype(np.int64)
 
     def low_of(self, i: np.ndarray) -> np.ndarray:
         out = np.zeros((len(i), 8), np.uint8)
-        out[:, : self.low_bytes] = self.low[i]
+        out[:, : self.low.shape[1]] = self.low[i]
         return out.view(U)[:, 0]
 
     def access(self, i: np.ndarray) -> np.ndarray:
         if not len(i):
             return np.zeros(0, U)
-        if self.low_bytes == 8:
-            return self.low_of(i)
-        return (self._select(i, self.ones, False) - i).astype(U) << U(8 * self.low_bytes) | self.low_of(i)
+        return (self._select(i, self.ones, False) - i).astype(U) << U(self.low_bits) | self.low_of(i)
 
     def find(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Place of x in [lo, hi), -1 if it isn't there: the bucket of equal high parts by zeros, then the low parts in turn."""
         out = np.full(len(x), -1, np.int64)
-        shift = U(8 * self.low_bytes)
-        high = (x >> shift if self.low_bytes < 8 else np.zeros(len(x), U)).astype(np.int64)
+        shift = U(self.low_bits)
+        high = (x >> shift).astype(np.int64)
         last = int(self.zeros[-1])
         at = np.flatnonzero((lo < hi) & (high < last))
         if not len(at):
             return out
         h = high[at]
-        start = np.where(h > 0, self._select(np.maximum(h - 1, 0), self.zeros, True) - h + 1, 0)
-        stop = np.minimum(self._select(h, self.zeros, True) - h, hi[at])
-        start = np.maximum(start, lo[at])
-        want = x[at] & ((U(1) << shift) - U(1)) if self.low_bytes < 8 else x[at]
+        begin = np.where(h > 0, self._select(np.maximum(h - 1, 0), self.zeros, True) + 1, 0)
+        start, run = begin - h, self._ones_from(begin)
+        stop = start + run
+        if len(long := np.flatnonzero(run == 64)):
+            stop[long] = self._select(h[long], self.zeros, True) - h[long]
+        stop, start = np.minimum(stop, hi[at]), np.maximum(start, lo[at])
+        want = x[at] & ((U(1) << shift) - U(1))
         while len(at):
-            left, right = start, stop  # halves until buckets are short; long ones are rare
+            left, right = start, stop  # by halves; most buckets hold one or two
             mid = (left + right) // 2
             more = left < right
             at, start, stop, want, mid = at[more], left[more], right[more], want[more], mid[more]
@@ -209,7 +225,7 @@ class Level:
         self.start, self.n = np.array([x[1] for x in self.shards], np.int64), at
 
     def find(self, ctx: np.ndarray, child: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place of the child of a context or -1, log10 of the context's backoff)."""
+        """(place of the child of a context or -1, log10 of the context's backoff). A child of -1 is looked for nowhere."""
         place, back = np.full(len(ctx), -1, np.int64), np.zeros(len(ctx))
         s = np.searchsorted(self.first, ctx, side="right") - 1
         for k in np.unique(s[s >= 0]).tolist():
@@ -223,8 +239,10 @@ class Level:
             base = np.zeros(len(own), U)
             some = np.flatnonzero((begin > 0) & (end > begin))
             base[some] = ids.access(begin[some] - 1)
-            p = ids.find(base[inverse] + child[at].astype(U), begin[inverse], end[inverse])
-            place[at] = np.where(p >= 0, first + p, -1)
+            known = np.flatnonzero(child[at] >= 0)
+            to, of = at[known], inverse[known]
+            p = ids.find(base[of] + child[to].astype(U), begin[of], end[of])
+            place[to] = np.where(p >= 0, first + p, -1)
             back[at] = np.where(ok, a["back"][own].astype(float) / -STEP, 0.0)[inverse]
         return place, back
 
@@ -305,9 +323,7 @@ def _looked_up(h: np.ndarray, ends: np.ndarray, trie: Trie):
     if level2 is not None:
         at = np.flatnonzero(before >= 0)  # a missing word has its context's backoff, too
         key, inverse = np.unique(before[at].astype(U) << U(32) | (w[at] + 1).astype(U), return_inverse=True)
-        child = (key & U(0xFFFFFFFF)).astype(np.int64) - 1
-        p, b = level2.find((key >> U(32)).astype(np.int64), np.maximum(child, 0))
-        p[child < 0] = -1
+        p, b = level2.find((key >> U(32)).astype(np.int64), (key & U(0xFFFFFFFF)).astype(np.int64) - 1)
         place[at], back[at] = p[inverse], b[inverse]
     return w, c, before, place, back
 
@@ -441,9 +457,7 @@ def score(h: np.ndarray, ends: np.ndarray, trie: Trie) -> tuple[np.ndarray, np.n
     at = at[before[at] >= 0]
     child = place[at]
     key, inverse = np.unique(place[at - 1].astype(U) << U(32) | (child + 1).astype(U), return_inverse=True)
-    q = (key & U(0xFFFFFFFF)).astype(np.int64) - 1
-    p, b = level3.find((key >> U(32)).astype(np.int64), np.maximum(q, 0))
-    p[q < 0] = -1
+    p, b = level3.find((key >> U(32)).astype(np.int64), (key & U(0xFFFFFFFF)).astype(np.int64) - 1)
     p, b = p[inverse], b[inverse]
     out[at] += b
     three = p >= 0
