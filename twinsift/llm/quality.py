@@ -39,12 +39,12 @@ def features(text: str | None) -> list[int]:
     return out
 
 
-def fit(rows: list[tuple[list[int], int]], min_df: int = 6, least_chi2: float = 30.0, steps: int = 300, l2: float = 1e-5) -> tuple[dict[int, float], np.ndarray]:
+def fit(rows: list[tuple[np.ndarray, int]], min_df: int = 6, least_chi2: float = 30.0, steps: int = 300, l2: float = 1e-5) -> tuple[dict[int, float], np.ndarray]:
     """(weights, thresholds) by maximum likelihood (Adam); rows: features and grade."""
-    keys, count = np.unique(np.array([f for x, _ in rows for f in x], np.uint64), return_counts=True)
+    col = np.concatenate([np.asarray(x, np.uint64) for x, _ in rows])
+    keys, count = np.unique(col, return_counts=True)
     y = np.array([g for _, g in rows])
     doc = np.repeat(np.arange(len(rows)), [len(x) for x, _ in rows])
-    col = np.array([f for x, _ in rows for f in x], np.uint64)
     seen = np.bincount(np.searchsorted(keys, col) * GRADES + y[doc], minlength=len(keys) * GRADES).reshape(-1, GRADES)
     expected = np.maximum(count[:, None] * np.bincount(y, minlength=GRADES) / len(y), 1e-9)
     keys = keys[(count >= min_df) & (((seen - expected) ** 2 / expected).sum(axis=1) >= least_chi2)]
@@ -72,8 +72,8 @@ def fit(rows: list[tuple[list[int], int]], min_df: int = 6, least_chi2: float =
     return dict(zip(keys.tolist(), theta[:-2].tolist(), strict=True)), np.array([theta[-2], theta[-2] + np.exp(theta[-1])])
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> list[tuple[list[int], int]]:
-    """Features and grades of at most `sample` labelled documents."""
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> list[tuple[np.ndarray, int]]:
+    """Features and grades of at most `sample` labelled documents; features come as bytes, eight each."""
     g = labels.select(F.col("doc_id").cast("long").alias("id"), F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 1, 2).when(F.col("quality") == 0, 1).alias("grade")).dropna()
     grade = {r.id: r.grade for r in g.orderBy(F.xxhash64("id"), "id", "grade").limit(sample).collect()}
     sent = docs.sparkSession.sparkContext.broadcast(grade)
@@ -84,10 +84,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> list[tuple
             ids = b.column(0).to_pylist()
             out = [(d, features(b.column(1)[i].as_py()), grade[d]) for i, d in enumerate(ids) if d in grade]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([d for d, _, _ in out]), pa.array([np.array(f, np.uint64).view(np.int64) for _, f, _ in out], pa.list_(pa.int64())), pa.array([y for *_, y in out], pa.int64())], names=["id", "f", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _, _ in out]), pa.array([np.array(f, np.uint64).tobytes() for _, f, _ in out], pa.binary()), pa.array([y for *_, y in out], pa.int64())], names=["id", "f", "y"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "id long, f array<long>, y long").collect()
-    return [(np.array(r.f, np.int64).view(np.uint64).tolist(), r.y) for r in sorted(found)]
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "id long, f binary, y long").collect()
+    return [(np.frombuffer(r.f, np.uint64), r.y) for r in sorted(found, key=lambda r: (r.id, r.y, bytes(r.f)))]
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = 6000, threshold: float = 0.5) -> DataFrame:
