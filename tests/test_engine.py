@@ -165,6 +165,16 @@ def test_cli(spark, tmp_path, capsys):
     assert main(["report", f"--report-dir={d}/none"]) == 3 and main(["compare", "--baseline=x"], spark) == 3 and main(["nothing"]) == 3
 
 
+def test_backup_and_cancel(spark, tmp_path):
+    b = spark.range(30).select(F.col("id").alias("_id"))
+    for name in ("x", "x_backup"):
+        b.write.parquet(str(tmp_path / name))
+    c = Comparator()
+    c.cancel(spark)
+    r = c.compare_with_backup(spark, str(tmp_path / "x"))
+    assert r.verdict == Level.GREEN and r.run.settings.baseline.endswith("x_backup")
+
+
 def test_stream(spark, tmp_path):
     from twinsift.streaming import compare_stream
 

@@ -8,7 +8,7 @@ import sys
 from .model import Level, MixedKeyPolicy, Mode, Settings, VerdictBasis, parse_labels
 from .operators.generate import ChangeSpec, mutate, product_documents
 from .operators.verdict import Adaptive
-from .plans.compare import Comparator
+from .plans.compare import BACKUP_SUFFIX, Comparator
 from .sources.reports import FileStore, TableStore, copy_reports, to_html, to_json
 from .sources.side import read_side
 
@@ -81,7 +81,7 @@ def _emit(report, a) -> int:
 
 
 def _compare(a, spark) -> int:
-    base, cand = (f"{a.dataset}_backup", a.dataset) if a.dataset else (a.baseline, a.candidate)
+    base, cand = (a.dataset + BACKUP_SUFFIX, a.dataset) if a.dataset else (a.baseline, a.candidate)
     if not base or not cand:
         raise ValueError("give --dataset, or --baseline and --candidate")
     mode = Mode("SAMPLE", a.sample_size or 20_000) if a.mode == "sample" or a.sample_size else Mode((a.mode or "auto").upper())

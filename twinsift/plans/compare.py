@@ -7,16 +7,21 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import canon
-from ..model import ALWAYS_IGNORED, ComparisonError, Examples, KeyRef, Mode, PathChange, PathPresence, Rate, Report, RunMetadata, Settings, StructureMetrics, TypeShare, TypeShift, ValueChange
+from ..model import ComparisonError, Examples, KeyRef, Mode, PathChange, PathPresence, Rate, Report, RunMetadata, Settings, StructureMetrics, TypeShare, TypeShift, ValueChange
 from ..operators import maps, pairs, rates, summary, verdict
 from ..paths import PathMatcher
-from ..sources.side import Side, check_documents, check_typed
+from ..sources.side import Side, check_documents, check_typed, read_side
 
-__all__ = ["ALWAYS_IGNORED", "Comparator", "compare"]
+BACKUP_SUFFIX = "_backup"
+
+
+def backup_sides(spark: SparkSession, dataset: str, keys=("_id",), fmt: str = "parquet", doc: str | None = None, suffix: str = BACKUP_SUFFIX) -> tuple[Side, Side]:
+    """A dataset's backup as the baseline and the dataset as the candidate."""
+    return tuple(read_side(spark, path, keys, fmt, doc, path) for path in (dataset + suffix, dataset))
 
 
 def resolve_mode(s: Settings, nb: int, nc: int) -> tuple[Mode, str]:
@@ -38,11 +43,20 @@ class Comparator:
     store: object | None = None
     adaptive: verdict.Adaptive | None = None
     listeners: list[Callable] = field(default_factory=list)
+    group: str = field(default_factory=lambda: f"comparison-{uuid.uuid4()}")
     metrics: dict = field(default_factory=lambda: {"runs": 0, "errors": 0, "seconds": 0.0})
 
+    def compare_with_backup(self, spark: SparkSession, dataset: str, keys=("_id",), fmt: str = "parquet", doc: str | None = None, **request) -> Report:
+        return self.compare(*backup_sides(spark, dataset, keys, fmt, doc), **request)
+
+    def cancel(self, spark: SparkSession) -> None:
+        """Stops this comparator's running jobs, from another thread; the comparison then fails."""
+        spark.sparkContext.cancelJobGroup(self.group)
+
     def compare(self, base: Side, cand: Side, **request) -> Report:
         """Runs one comparison. Listeners get ("completed", report) or ("failed", error, labels); a report that can't be saved is returned nonetheless."""
         s = self.settings.merged(**{"baseline": base.name, "candidate": cand.name, "keyFields": tuple(base.keys)} | request)
+        base.df.sparkSession.sparkContext.setJobGroup(self.group, f"{s.baseline} -> {s.candidate}", True)
         try:
             thresholds, source = s.thresholds, "configured"
             if "thresholds" in request and request["thresholds"] is not None:
