@@ -11,6 +11,7 @@ from __future__ import annotations
 import html as _html
 import random
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -244,6 +245,12 @@ def train(pages: list[str], steps: int = 150, l2: float = 1e-3) -> Crf:
     return Crf(dict(zip(names, theta[:-6].tolist(), strict=True)), theta[-6:-4], theta[-4:].reshape(2, 2))
 
 
+@lru_cache(maxsize=4)
+def _trained(n_labelled: int) -> Crf:
+    """The model of so many labelled pages; they are the same each time, and so is the model."""
+    return train(labelled_pages(n_labelled))
+
+
 def extract(page: str | None, crf: Crf) -> str:
     blocks = leaf_blocks(page or "")
     return " ".join(b.text for b, y in zip(blocks, crf.decode(features(blocks)), strict=True) if y)
@@ -254,7 +261,7 @@ def html_extract(pages: DataFrame, crf: Crf | None = None, n_labelled: int = 400
 
     A null or empty page gives an empty text; null ids and urls stay; extra columns are ignored. n_labelled: pages to train on.
     """
-    crf = crf or train(labelled_pages(n_labelled))
+    crf = crf or _trained(n_labelled)
 
     def run(batches):
         for b in batches:
