@@ -70,3 +70,29 @@ def test_scores_equal_brute_force(spark):
     held = [r for r in got if r.held_out and r.n_tokens > 5]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
     assert M.lm_scores(spark.createDataFrame([], DOC)).count() == 0
+
+
+def test_query_keeps_ngrams_seen_once(spark, tmp_path):
+    from twinsift.llm.queries import op3_lm_scoring
+
+    train = [d for d in range(100) if not M.held_out(d)][:6]
+    texts = ["a b c d e", "a b x y", "q r s", "q r t once", "b c", "d"]
+    held = next(d for d in range(100) if M.held_out(d))
+    rows = [*zip(train, texts, strict=True), (held, "a b c d once q r s never e")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.score for r in op3_lm_scoring(spark, str(tmp_path)).collect()}
+    words = {d: [*t.split(), "\n"] for d, t in rows}
+    count = Counter(tuple(w[i : i + n]) for d, w in words.items() if d != held for n in (1, 2, 3) for i in range(len(w) - n + 1))
+    N, V = sum(c for k, c in count.items() if len(k) == 1), sum(len(k) == 1 for k in count)
+
+    def p(k):
+        if len(k) == 1:
+            return (count[k] + 1) / (N + V + 1)
+        if not count[k[:-1]]:
+            return p(k[1:])
+        share = {x: (c - M.DISCOUNT) / count[k[:-1]] for x, c in count.items() if len(x) == len(k) and x[:-1] == k[:-1]}
+        return share.get(k, 0) + max(1 - sum(share.values()), 1e-12) * p(k[1:])
+
+    for d, w in words.items():
+        want = sum(math.log10(p(tuple(w[max(0, i - 2) : i + 1]))) for i in range(len(w)))
+        assert want - 2.5 * len(w) / M.STEP <= got[d] <= want + 1e-6 * len(w)

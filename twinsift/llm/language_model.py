@@ -1,8 +1,8 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
 Training documents are counted in three passes. Level 1 holds every distinct token (by 64-bit hash) with its exact count. A bigram
-is counted further if both its words occur twice, a trigram if both its bigrams do, so pairs that can't reach the cutoff of two never
-reach a shuffle. Levels 2 and 3 hold the n-grams of count >= 2: for each context, monotone pointers to its children; the
+is counted further if both its words reach the cutoff, a trigram if both its bigrams do, so those that can't reach it never
+reach a shuffle; a cutoff of 1 keeps all. Levels 2 and 3 hold the n-grams of count >= cutoff: for each context, monotone pointers to its children; the
 children's ids as prefix sums, hence monotone; and a quantised interpolated probability for each, a backoff for each context. All
 sequences are Elias-Fano coded in files of the shared folder, one for each range of contexts, which tasks map into memory.
 A query is a successor search among its context's children only.
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, materialize, work_path, words
+from .common import U, work_path, words
 from .token_output import open_store
 
 _hash = xxhash.xxh3_64_intdigest
@@ -266,8 +266,8 @@ class Trie:
 
     _mapped: dict[str, tuple] = {}
 
-    def __init__(self, path: str, n_shards: int):
-        self.path, self.n_shards, self.sizes, self.bigrams, self.trigrams = path, n_shards, [], None, None
+    def __init__(self, path: str, n_shards: int, cutoff: int):
+        self.path, self.n_shards, self.cutoff, self.sizes, self.bigrams, self.trigrams = path, n_shards, cutoff, [], None, None
         self.N = self.V = 0
 
     def levels(self) -> tuple[Words, Level | None, Level | None]:
@@ -308,11 +308,11 @@ def _parts(batches, training: bool):
 
 
 def _looked_up(h: np.ndarray, ends: np.ndarray, trie: Trie):
-    """For the tokens h: ids of words of count >= 2 (else -1), counts, places of bigrams that end at them (else -1), log10 backoffs of the word before."""
+    """For the tokens h: ids of words that reach the cutoff (else -1), counts, places of bigrams that end at them (else -1), log10 backoffs of the word before."""
     level1, level2, _ = trie.levels()
     distinct, inverse = np.unique(h, return_inverse=True)
     ids, c = level1.find(distinct)
-    ids[c < 2] = -1
+    ids[c < trie.cutoff] = -1
     w, c = ids[inverse], c[inverse]
     first = np.zeros(len(h), bool)
     first[0] = True
@@ -379,14 +379,13 @@ def _level_arrays(ctx: np.ndarray, child: np.ndarray, n_ctx: int, c: np.ndarray,
     return ef_build(pointer, "pointer") | ef_build(child + np.repeat(base, number[ctx[last]]), "child") | coded(c, "count") | {"prob": quantised(np.log10(prob)), "back": back_q}
 
 
-def train(docs: DataFrame, path: str | None = None) -> Trie:
-    """Counts the documents (doc_id, text) that are not held out and writes the trie under path."""
+def train(docs: DataFrame, path: str | None = None, cutoff: int = 2) -> Trie:
+    """Counts the documents (doc_id, text) that are not held out and writes the trie under path; bigrams and trigrams of a count below cutoff are left out."""
     spark = docs.sparkSession
     n_shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    trie = Trie(path or work_path(spark, "trie"), n_shards)
+    trie = Trie(path or work_path(spark, "trie"), n_shards, cutoff)
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     unsigned = F.shiftrightunsigned("key", 32)
-    counts = materialize(_counted(cols, lambda h, ends: h).withColumn("shard", F.shiftrightunsigned(unsigned * F.lit(n_shards), 32)), "unigrams")
 
     def write_words(shard, key, c):
         h = key.view(U)
@@ -394,7 +393,8 @@ def train(docs: DataFrame, path: str | None = None) -> Trie:
         write_arrays(trie.path, f"words-{shard:06d}", ef_build(h[order], "hash") | coded(c[order], "count"))
         return {"shard": shard, "n": len(h), "c": int(c.sum())}
 
-    got = sorted((r.shard, r.n, r.c) for r in _by_shard(counts, n_shards, write_words, "shard long, n long, c long"))
+    counts = lambda: _counted(cols, lambda h, ends: h).withColumn("shard", F.shiftrightunsigned(unsigned * F.lit(n_shards), 32))
+    got = sorted((r.shard, r.n, r.c) for r in _by_shard(counts(), n_shards, write_words, "shard long, n long, c long"))
     trie.sizes, trie.V, trie.N = [(k, n) for k, n, _ in got], sum(n for _, n, _ in got), sum(c for *_, c in got)
     if trie.V >= 1 << 32:
         raise ValueError("more than 2**32 - 1 distinct tokens")
@@ -404,12 +404,12 @@ def train(docs: DataFrame, path: str | None = None) -> Trie:
         ok = (before >= 0) & (w >= 0)
         return before[ok].astype(U) << U(32) | w[ok].astype(U)
 
-    one = materialize(_counted(cols, pairs).filter("c >= 2"), "bigrams")
-
     def level(rows, name, n_ctx, split, c_of, lower_of):
         dealt = rows.withColumn("ctx", split).withColumn("shard", F.floor(F.col("ctx") * F.lit(n_shards) / F.lit(max(1, n_ctx))).cast("long"))
 
         def write(shard, key, c):
+            order = np.argsort(key.view(U), kind="stable")  # keys of 2**63 and more came first
+            key, c = key[order], c[order]
             a, b = c_of.split(key)
             lo = int(a.min())
             arrays = _level_arrays(a - lo, b, int(a.max()) - lo + 1, c, c_of(a), lower_of(b))
@@ -425,23 +425,21 @@ def train(docs: DataFrame, path: str | None = None) -> Trie:
             return trie.levels()[0].count(a)
 
     total = trie.N + trie.V + 1
-    trie.bigrams = level(one, "bigrams", trie.V, F.shiftrightunsigned("key", 32), OfWords(), lambda b: np.log10((trie.levels()[0].count(b) + 1) / total))
+    trie.bigrams = level(_counted(cols, pairs).filter(F.col("c") >= cutoff), "bigrams", trie.V, F.shiftrightunsigned("key", 32), OfWords(), lambda b: np.log10((trie.levels()[0].count(b) + 1) / total))
     n_bigrams = sum(n for *_, n in trie.bigrams)
-    if n_bigrams >= 1 << 31:
-        raise ValueError("more than 2**31 - 1 bigrams; raise the cutoff")
+    if n_bigrams >= 1 << 32:
+        raise ValueError("more than 2**32 - 1 bigrams; raise the cutoff")
 
     def triples(h, ends):
         _, _, _, place, _ = _looked_up(h, ends, trie)
         ok = np.flatnonzero((place[1:] >= 0) & (place[:-1] >= 0)) + 1  # a place is -1 at a document's start
         return place[ok - 1].astype(U) << U(32) | place[ok].astype(U)
 
-    two = materialize(_counted(cols, triples).filter("c >= 2"), "trigrams")
-
     class OfBigrams(OfWords):
         def __call__(self, a):
             return trie.levels()[1].count(a)
 
-    trie.trigrams = level(two, "trigrams", n_bigrams, F.shiftrightunsigned("key", 32), OfBigrams(), lambda b: trie.levels()[1].log10(b))
+    trie.trigrams = level(_counted(cols, triples).filter(F.col("c") >= cutoff), "trigrams", n_bigrams, F.shiftrightunsigned("key", 32), OfBigrams(), lambda b: trie.levels()[1].log10(b))
     return trie
 
 
@@ -465,13 +463,14 @@ def score(h: np.ndarray, ends: np.ndarray, trie: Trie) -> tuple[np.ndarray, np.n
     return c, base, out
 
 
-def lm_scores(docs: DataFrame, trie: Trie | None = None) -> DataFrame:
+def lm_scores(docs: DataFrame, trie: Trie | None = None, cutoff: int = 2) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_token.
 
     Trained on documents whose crc32(doc_id as text) mod 7 is not 2, whole texts. A null text counts as empty (its end alone); a row without
-    an id is a training row; repeated rows count as often as they stand there; extra columns are ignored.
+    an id is a training row; repeated rows count as often as they stand there; extra columns are ignored. cutoff: the least count of bigrams and
+    trigrams that the model keeps; 1 keeps all, as the query does.
     """
-    trie = trie or train(docs)
+    trie = trie or train(docs, cutoff=cutoff)
 
     def run(batches):
         for ids, h, ends in _parts(batches, False):

@@ -24,7 +24,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(table(spark, sf_dir, "documents"))
+    return lm_scores(table(spark, sf_dir, "documents"), cutoff=1)
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
