@@ -43,6 +43,12 @@ def test_secret_lexing():
     assert S.scan("the salt of the earth: authentic and plain words.")[1] == []
 
 
+def test_secret_names_by_any_separator():
+    for name in ("private.key", "aws.access.key", "api.key", "pass-word", "access-Key", "pass_phrase", "privateKey", "sig-nature.token"):
+        text = f"{name}=ab12cd34ef56gh78"
+        assert S.sensitivity(name) > 0 and [text[a:b] for a, b, _ in S.lexed_spans(text)] == ["ab12cd34ef56gh78"]
+
+
 def test_licenses(spark):
     text = "Ämter CC  by-nc x.\nAll rights reserved; all Rights_reserved GNU General Public-License"
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
