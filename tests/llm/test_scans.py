@@ -49,6 +49,15 @@ def test_secret_names_by_any_separator():
         assert S.sensitivity(name) > 0 and [text[a:b] for a, b, _ in S.lexed_spans(text)] == ["ab12cd34ef56gh78"]
 
 
+def test_secret_pairs_of_any_width():
+    value = "ab12cd34ef56gh78"
+    for text in (f'private_key{" " * 30}=\t\t{" " * 30}"{value}"', f"{'x' * 200}_pwd={value}", f"command: --db-pwd={value}", f"Environment=DB_PWD={value}.", f"note: db_pwd = '{value}'", f'run = "serve --db-pwd={value}"'):
+        assert value in [text[a:b] for a, b, _ in S.lexed_spans(text)], text
+    pairs = 100_000  # runs in which each pair holds the next, or no pair ends, are read in linear time
+    assert len(S.lexed_spans("pwd=" * pairs + value)) == pairs
+    assert S.lexed_spans("pwd-" * pairs + " " * pairs + ":") == [] == S.lexed_spans("pwd: " + "a-" * pairs + " ." * pairs)
+
+
 def test_licenses(spark):
     text = "Ämter CC  by-nc x.\nAll rights reserved; all Rights_reserved GNU General Public-License"
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
