@@ -99,3 +99,16 @@ def test_html(spark):
         wrong += sum(int(x.label or 0) != y for x, y in zip(b, crf.decode(H.features(b)), strict=True))
     assert wrong < 0.03 * held_out
     assert H.html_extract(spark.createDataFrame([], "page_id long, url string, html string"), crf).count() == 0
+
+
+def test_html_drops_nothing_behind_unclosed_elements():
+    blocks = lambda page: [b.text for b in H.leaf_blocks(page)]
+    assert blocks("<head><title>T</title><body><article><p>One.</p></article>") == ["One."]
+    assert blocks("<html><head><meta charset=x><p>One.<p>Two.") == ["One.", "Two."] and "head" not in dict(H.leaf_blocks("<head><p>One.")[0].path)
+    for tag in ("noscript", "svg", "template", "object", "select", "math"):
+        assert " ".join(blocks(f"<article><p>One.</p><{tag}><p>Two.</p><p>Three.</p></article><p>Four.")) == "One. Two. Three. Four.", tag
+        assert blocks(f"<article><p>O<{tag}></{tag}>ne.</article>") == ["One."]
+    assert blocks("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.") == ["Let x=2 be."]
+    got = H.leaf_blocks("<p>One <noscript>No <b>script</b></noscript> more<svg><text>A</text><text>B</text></svg><p>End")
+    assert [(b.text, "noscript" in dict(b.path), "svg" in dict(b.path)) for b in got] == [("One", False, False), ("No script", True, False), ("more", False, False), ("A", False, True), ("B", False, True), ("End", False, False)]
+    assert blocks("<p>One.</p><script>var x = 1;<p>no") == ["One."]

@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object select head".split())
-BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html label legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
+RAW = frozenset("script style textarea title iframe".split())  # no elements inside; skipped, to the page's end if not closed
+OWN = frozenset("noscript template svg object select".split())  # their text is no part of the block around them
+BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html label legend li main menu nav ol optgroup option p pre section summary table tbody td text tfoot th thead tr ul".split())
 #: A start tag ends an open element of these, up to the nearest of the second set.
-CLOSES = {**dict.fromkeys("p div ul ol dl table h1 h2 h3 h4 h5 h6 section article aside header footer nav main form blockquote pre figure hr address fieldset details".split(), ({"p"}, frozenset("li td th div section article aside button body".split()))),
+CLOSES = {**dict.fromkeys("p div ul ol dl table h1 h2 h3 h4 h5 h6 section article aside header footer nav main form blockquote pre figure hr address fieldset details".split(), ({"p"}, frozenset("li td th div section article aside button body object template".split()))),
           "li": ({"li", "p"}, frozenset("ul ol menu".split())), "dd": ({"dd", "dt", "p"}, frozenset(["dl"])), "dt": ({"dd", "dt", "p"}, frozenset(["dl"])),
           "tr": ({"tr", "td", "th"}, frozenset(["table"])), "td": ({"td", "th"}, frozenset("tr table".split())), "th": ({"td", "th"}, frozenset("tr table".split()))}
 
@@ -46,22 +47,32 @@ def leaf_blocks(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked = 0
+    owner: tuple | None = None  # the innermost element of OWN around parts, and the path to it and below
+    inside: list = []
 
     def text(s: str) -> None:
-        nonlocal linked
+        nonlocal linked, owner, inside
         if s:
+            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in OWN), -1)
+            now = stack[k] if k >= 0 else None
+            if now is not owner and not s.isspace():
+                end()
+                owner = now
+            if now is not None and now is owner:
+                inside = stack[:]
             parts.append(s)
             if any(x[0] == "a" for x in stack):
                 linked += len(s)
 
     def end() -> None:
-        nonlocal linked
+        nonlocal linked, owner
         if parts:
             if t := " ".join(_html.unescape("".join(parts)).split()):
-                label = next((y for _, _, y in reversed(stack) if y), None)
-                out.append(Block(t, tuple((tag, names) for tag, names, _ in stack), linked, label))
+                path = inside if owner is not None else stack[: next((i for i, x in enumerate(stack) if x[0] in OWN), None)]
+                label = next((y for _, _, y in reversed(path) if y), None)
+                out.append(Block(t, tuple((tag, names) for tag, names, _ in path), linked, label))
             parts.clear()
-        linked = 0
+        linked, owner = 0, None
 
     at = 0
     while m := _TOKEN.search(page, at):
@@ -86,6 +97,8 @@ def leaf_blocks(page: str) -> list[Block]:
             continue
         if tag in BLOCK:
             end()
+            if (i := next((i for i, x in enumerate(stack) if x[0] == "head"), -1)) >= 0:
+                del stack[i:]
         if tag in CLOSES:
             ends, stop = CLOSES[tag]
             for i in range(len(stack) - 1, -1, -1):
