@@ -66,3 +66,14 @@ def test_wand_retrieves_all_above_threshold():
                 got = dict(p for b in range(index.n_blocks) for p in index.wand(terms, b, least))
                 assert set(got) == {k for k, x in full.items() if x >= least - 1e-6}
                 assert all(abs(got[k] - full[k]) < 1e-9 for k in got)
+
+
+def test_items_that_share_an_id_or_have_none(spark):
+    one, two, three, four = (" ".join(f"{p}{k}" for k in range(20)) + "." for p in "abcd")
+    bench = spark.createDataFrame([(1, one), (1, two), (1, two), (2, three), (None, four), (None, four + " more")], "item_id long, text string")
+    docs = spark.createDataFrame([(10, f"x {one} y"), (11, f"x {two} y"), (12, f"{one} {two} {three}"), (13, f"x {four} y"), (14, "nothing here")], "doc_id long, text string")
+    for most in (20_000, 1):
+        got = sorted((r.doc_id, str(r.item_id)) for r in D.decontaminate(docs, bench, most_items=most).collect())
+        assert [g for g in got if g[0] != 13] == [(10, "1"), (11, "1"), (12, "1"), (12, "2")]
+        assert {g for g in got if g[0] == 13} == {(13, "None")}
+    assert {r.doc_id for r in D.drop_contaminated(docs, bench).collect()} == {14}

@@ -142,10 +142,10 @@ class Index:
 class Items:
     """A part of the benchmark: its words, the indexes by length, and what verification needs."""
 
-    def __init__(self, rows: list[tuple[int, str]], n: int):
-        self.of = {}
+    def __init__(self, rows: list[tuple[int | None, str]], n: int):
+        self.of, self.item_id = {}, [i for i, _ in rows]  # by row: ids may repeat or be null
         self.groups: dict[int, list[tuple[int, list[bytes]]]] = defaultdict(list)
-        for i, text in rows:
+        for i, (_, text) in enumerate(rows):
             w = words(text)
             if w:
                 q, a = question_answer(text)
@@ -163,8 +163,8 @@ class Items:
             self.local.append(local)
         return self
 
-    def matches(self, text: str | None, threshold: float, overlap: float) -> list[tuple[int, float, float, float]]:
-        """(item, best score, question overlap, answer overlap) of items that the text holds."""
+    def matches(self, text: str | None, threshold: float, overlap: float) -> list[tuple[int | None, float, float, float]]:
+        """(item_id, best score, question overlap, answer overlap) of items that the text holds; rows of one id are one item, those without an id one each."""
         w = words(text)
         if not w or not self.of:
             return []
@@ -183,15 +183,22 @@ class Items:
                     in_a = sum(g in have for g in ans) / len(ans) if ans else 1.0
                     if in_q >= overlap and in_a >= overlap:
                         found[i] = max(found.get(i, (0.0, 0.0, 0.0)), (score, in_q, in_a))
-        return [(i, *x) for i, x in sorted(found.items())]
+        best: dict[tuple[bool, int], tuple[float, float, float]] = {}
+        for k, x in found.items():
+            i = self.item_id[k]
+            key = (i is None, k if i is None else i)
+            best[key] = max(best.get(key, x), x)
+        return [(None if null else i, *x) for (null, i), x in sorted(best.items())]
 
 
 def parts(benchmark: DataFrame, n: int, most_items: int, most_chars: int):
-    """The benchmark's items in parts of bounded size, read one after the other by ranges of item_id."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).filter("i IS NOT NULL AND t IS NOT NULL")
+    """The benchmark's items in parts of bounded size, read one after the other by ranges of item_id; rows of one id stay together."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).filter("t IS NOT NULL")
     held, size = [], 0
     for r in rows.orderBy("i", "t").toLocalIterator(prefetchPartitions=False):
-        if held and (len(held) >= most_items or size + len(r.t) > most_chars):
+        if held and r.i is not None and held[-1] == (r.i, r.t):
+            continue
+        if held and (r.i is None or held[-1][0] != r.i) and (len(held) >= most_items or size + len(r.t) > most_chars):
             yield Items(held, n)
             held, size = [], 0
         held.append((r.i, r.t))
@@ -204,8 +211,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.7,
     """A row for each document and test item that it holds: doc_id, item_id, score, question_overlap, answer_overlap.
 
     docs: doc_id, text; benchmark: item_id, text. score: the passage's BM25 score as a share of the item's own. Words are \\w+ in lower
-    case. Null or empty texts hold nothing; items without words, text or id are not searched; an item that repeats an id counts as the
-    last of that id; repeated documents give repeated rows; extra columns are ignored. most_items, most_chars: bound of an index sent to the executors.
+    case. Null or empty texts hold nothing; items without words or text are not searched; texts that share an item_id are all searched and give
+    one row, of the best; each item without an id gives a row with a null item_id; repeated documents give repeated rows; extra columns are
+    ignored. most_items, most_chars: bound of an index sent to the executors, passed only by the texts of one item_id.
     """
     out = None
     for items in parts(benchmark, n, most_items, most_chars):
