@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from twinsift.llm import language_model as M
 
@@ -26,7 +27,7 @@ def test_elias_fano():
         assert all((k >= 0) == (int(y) in inside) for k, y in zip(ef.find(v, lo, hi).tolist(), v, strict=True))
 
 
-def brute(rows):
+def brute(rows, cutoff):
     toks = lambda t: [*("".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").split() if t else []), "\n"]
     data = [(d, toks(t), d is not None and zlib.crc32(str(d).encode()) % 7 == 2) for d, t in rows]
     one, two, three = Counter(), Counter(), Counter()
@@ -35,7 +36,7 @@ def brute(rows):
             one.update(w)
             two.update(zip(w, w[1:], strict=False))
             three.update(zip(w, w[1:], w[2:], strict=False))
-    two, three = Counter({k: c for k, c in two.items() if c > 1}), Counter({k: c for k, c in three.items() if c > 1})
+    two, three = Counter({k: c for k, c in two.items() if c >= cutoff}), Counter({k: c for k, c in three.items() if c >= cutoff})
     N, V, D = sum(one.values()), len(one), M.DISCOUNT
     p1 = lambda w: (one[w] + 1) / (N + V + 1)
     share = Counter()
@@ -50,15 +51,16 @@ def brute(rows):
     return res
 
 
-def test_scores_equal_brute_force(spark):
+@pytest.mark.parametrize("cutoff", [1, 2])
+def test_scores_equal_brute_force(spark, cutoff):
     rng = random.Random(2)
     vocabulary = [f"w{i}" for i in range(60)] + ["É", "Wort", "THE"]
     rows = [(d, " ".join(vocabulary[min(62, int(rng.expovariate(0.12)))] for _ in range(rng.randint(1, 60)))) for d in range(250)]
     rows += [(900, None), (901, ""), (902, "never seen words here"), (903, "w1 w2 " * 30_000), (None, "w1 w2 w3"), (905, "w3 w4"), (906, "w3 w4")]
-    want = brute(rows)
+    want = brute(rows, cutoff)
     old, M.CHUNK = M.CHUNK, 3000
     try:
-        got = M.lm_scores(spark.createDataFrame([(d, t, "x") for d, t in rows], DOC)).collect()
+        got = M.lm_scores(spark.createDataFrame([(d, t, "x") for d, t in rows], DOC), cutoff=cutoff).collect()
     finally:
         M.CHUNK = old
     assert len(got) == len(rows)
@@ -96,3 +98,38 @@ def test_query_keeps_ngrams_seen_once(spark, tmp_path):
     for d, w in words.items():
         want = sum(math.log10(p(tuple(w[max(0, i - 2) : i + 1]))) for i in range(len(w)))
         assert want - 2.5 * len(w) / M.STEP <= got[d] <= want + 1e-6 * len(w)
+
+
+def test_words_of_all_lengths_and_windows():
+    rng = random.Random(7)
+    old, M.WINDOW = M.WINDOW, 300
+    try:
+        for _ in range(40):
+            texts = ["".join(rng.choice(["a", "B", " ", "\t", "é", "x" * 90, "日", "\x0b", "\x85"]) for _ in range(rng.randrange(60))) for _ in range(rng.randint(1, 6))]
+            texts[rng.randrange(len(texts))] += "Q" * rng.choice([0, 257, 400, 1500])
+            raw = [t.encode() for t in texts]
+            first = np.cumsum([0] + [len(r) for r in raw[:-1]])
+            h, place = M.hashed_words(np.frombuffer(b"".join(raw), np.uint8), first)
+            want = [w for r in raw for w in r.lower().split()]
+            assert len(h) == len(want) and len({*zip(want, h.tolist(), strict=True)}) == len({*want}) == len({*h.tolist()})
+            assert np.diff(np.searchsorted(place, np.append(first, sum(map(len, raw))))).tolist() == [len(r.split()) for r in raw]
+    finally:
+        M.WINDOW = old
+
+
+def test_blobs_round_trip():
+    rng = np.random.default_rng(4)
+    for top, n in ((3, 2), (1, 1), (2**64 - 1, 500), (10**9, 3000)):
+        k = np.unique(rng.integers(0, top, n, dtype=np.uint64, endpoint=True))
+        c = rng.integers(1, 2 if n == 500 else 10**6, len(k))
+        got = M.unpack(M.pack(k, c))
+        assert np.array_equal(got[0], k) and np.array_equal(got[1], c)
+
+
+def test_shards_are_cut_by_weight():
+    counts = np.ones(1000, np.int64)
+    counts[[10, 500]] = 5000
+    fence = M._fence([(0, M._marks(counts[:400])), (400, M._marks(counts[400:]))], 8)
+    assert fence[0] == 0 and len(fence) <= 8 and len(set(fence.tolist())) == len(fence)
+    parts = np.split(counts, fence[1:])
+    assert max(len(p) for p in parts if p.sum() >= 5000) < 500

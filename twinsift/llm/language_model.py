@@ -7,14 +7,22 @@ children's ids as prefix sums, hence monotone; and a quantised interpolated prob
 sequences are Elias-Fano coded in files of the shared folder, one for each range of contexts, which tasks map into memory.
 A query is a successor search among its context's children only.
 
+Counts travel as blobs, one for each part of a million tokens and each shard: sorted keys as differences, byte plane by byte plane. A shard is a
+range of contexts; ranges are cut by the tokens that follow the contexts, so a frequent context has a shard of its own.
+
 P1(w) = (c + 1) / (N + V + 1);  P(w | h) = (c(hw) - D) / c(h) + g(h) P(w | h') for kept hw, else g(h) P(w | h').
 Quantised values are rounded down, so probabilities never sum to more than one.
+
+Tokens are told apart by a 64-bit hash (a polynomial of their mixed bytes; xxh3 beyond 256 bytes): with a thousand million distinct tokens,
+the chance that any two share one is about 3 %, and such two would count as one token.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import os
+import struct
 import tempfile
 import uuid
 import zlib
@@ -25,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, work_path, words
+from .common import U, mix, settle, work_path
 from .token_output import open_store
 
 _hash = xxhash.xxh3_64_intdigest
@@ -39,74 +47,93 @@ CHUNK = 1 << 20
 # ---- Elias-Fano ----
 
 _IN_BYTE = np.array([[next((p for p in range(8) if bin(b & (1 << p + 1) - 1).count("1") == k + 1 and b >> p & 1), 8) for k in range(8)] for b in range(256)], np.uint8)
+_BYTES, _TOPS = U(0x0101010101010101), U(0x8080808080808080)
+#: Elements that are worked on at once, so that intermediate arrays stay in the cache.
+SLICE = 1 << 15
+
+
+def packed(v: np.ndarray, width: int) -> np.ndarray:
+    """Values of `width` bits each, one after the other in 64-bit words."""
+    out = np.zeros((-(-len(v) // 64), width + 1), U)
+    v = np.concatenate((v, np.zeros(len(out) * 64 - len(v), U))).reshape(-1, 64)
+    for j in range(64 if width else 0):
+        word, off = j * width >> 6, j * width & 63
+        out[:, word] |= v[:, j] << U(off)
+        if off + width > 64:
+            out[:, word + 1] |= v[:, j] >> U(64 - off)
+    return np.append(out[:, :width].reshape(-1), U(0))
 
 
 def ef_build(values: np.ndarray, name: str) -> dict[str, np.ndarray]:
-    """A non-decreasing uint64 sequence: log2(top / n) low bits in whole bytes, unary high parts, and the number of ones before each block of 512 bits."""
+    """A non-decreasing uint64 sequence: log2(top / n) low bits each, unary high parts, and the number of ones before each of their words."""
     v = values.astype(U)
     n, top = len(v), int(v[-1]) if len(v) else 0
     low = max(0, (top // max(1, n)).bit_length() - 1)
     high = (v >> U(low)).astype(np.int64)
-    bits = np.zeros(-(-(n + (int(high[-1]) if n else 0) + 2) // 512) * 512, np.uint8)
+    bits = np.zeros(((n + (int(high[-1]) if n else 0)) // 64 + 2) * 64, np.uint8)
     bits[high + np.arange(n)] = 1
-    words_ = np.packbits(bits, bitorder="little").view(U)
-    ones = np.concatenate(([0], np.cumsum(np.bitwise_count(words_).reshape(-1, 8).sum(axis=1, dtype=np.int64))))
-    part = (v & ((U(1) << U(low)) - U(1))).view(np.uint8).reshape(n, 8)[:, : -(-low // 8)]
-    return {f"{name}.n": np.array([n, low], np.int64), f"{name}.low": part.copy(), f"{name}.high": words_, f"{name}.ones": ones}
+    words = np.packbits(bits, bitorder="little").view(U)
+    ones = np.concatenate(([0], np.cumsum(np.bitwise_count(words), dtype=np.int64))).astype(np.uint32)
+    return {f"{name}.n": np.array([n, low], np.int64), f"{name}.low": packed(v & ((U(1) << U(low)) - U(1)), low), f"{name}.high": words, f"{name}.ones": ones}
 
 
 class EliasFano:
     def __init__(self, arrays: dict[str, np.ndarray], name: str):
         self.n, self.low_bits = (int(x) for x in arrays[f"{name}.n"])
-        self.low, self.high, self.ones = arrays[f"{name}.low"], arrays[f"{name}.high"].reshape(-1, 8), arrays[f"{name}.ones"]
-        self.zeros = np.arange(len(self.ones)) * 512 - self.ones
+        self.low, self.high, self.ones = arrays[f"{name}.low"], arrays[f"{name}.high"], arrays[f"{name}.ones"]
+
+    @functools.cached_property
+    def zeros(self) -> np.ndarray:
+        return (np.arange(len(self.ones)) * 64 - self.ones).astype(np.uint32)
 
     def _select(self, k: np.ndarray, before: np.ndarray, flip: bool) -> np.ndarray:
-        """Place of the k-th one (or zero), from 0: its block, its word, its byte, its bit."""
-        block = np.searchsorted(before, k, side="right") - 1
-        rest = (k - before[block]).astype(np.int16)
-        row = np.arange(len(k))
-
-        def step(parts):
-            """The part that holds the rest-th one, and how many stand before it."""
-            upto = np.cumsum(np.bitwise_count(parts), axis=1, dtype=np.int16)
-            at = (upto <= rest[:, None]).sum(axis=1)
-            return at, np.where(at > 0, upto[row, at - 1], 0).astype(np.int16)
-
-        w = self.high[block]
+        """Place of the k-th one (or zero), from 0: its word, its byte, its bit."""
+        k = k.astype(np.uint32)
+        word = np.searchsorted(before, k, side="right") - 1
+        rest = (k - before[word]).astype(U)
+        w = self.high[word]
         w = ~w if flip else w
-        word, gone = step(w)
-        rest = rest - gone
-        b = np.ascontiguousarray(w[row, word]).view(np.uint8).reshape(len(k), 8)
-        byte, gone = step(b)
-        return block * 512 + word * 64 + byte * 8 + _IN_BYTE[b[row, byte], rest - gone]
+        x = w - (w >> U(1) & U(0x5555555555555555))
+        x = (x & U(0x3333333333333333)) + (x >> U(2) & U(0x3333333333333333))
+        upto = (x + (x >> U(4)) & U(0x0F0F0F0F0F0F0F0F)) * _BYTES  # ones of each byte and those below it
+        at = np.bitwise_count((rest * _BYTES | _TOPS) - upto & _TOPS).astype(U) << U(3)
+        rest -= upto << U(8) >> at & U(255)
+        return word * 64 + at.astype(np.int64) + _IN_BYTE[(w >> at & U(255)).astype(np.intp), rest.astype(np.intp)]
 
     def _ones_from(self, place: np.ndarray) -> np.ndarray:
         """How many ones stand at a place and directly after it, 64 at most."""
-        flat, word, off = self.high.reshape(-1), place >> 6, (place & 63).astype(U)
-        after = np.where(off > 0, flat[np.minimum(word + 1, len(flat) - 1)] << (U(64) - np.maximum(off, U(1))), U(0))
-        gaps = ~(flat[word] >> off | after)
+        word, off = place >> 6, (place & 63).astype(U)
+        after = np.where(off > 0, self.high[np.minimum(word + 1, len(self.high) - 1)] << (U(64) - np.maximum(off, U(1))), U(0))
+        gaps = ~(self.high[word] >> off | after)
         return np.bitwise_count((gaps & (~gaps + U(1))) - U(1)).astype(np.int64)
 
     def low_of(self, i: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(i), 8), np.uint8)
-        out[:, : self.low.shape[1]] = self.low[i]
-        return out.view(U)[:, 0]
+        if not self.low_bits:
+            return np.zeros(len(i), U)
+        bit = i * self.low_bits
+        word, off = bit >> 6, (bit & 63).astype(U)
+        after = np.where(off > 0, self.low[word + 1] << (U(64) - np.maximum(off, U(1))), U(0))
+        return (self.low[word] >> off | after) & ((U(1) << U(self.low_bits)) - U(1))
 
     def access(self, i: np.ndarray) -> np.ndarray:
-        if not len(i):
-            return np.zeros(0, U)
-        return (self._select(i, self.ones, False) - i).astype(U) << U(self.low_bits) | self.low_of(i)
+        out = np.zeros(len(i), U)
+        for at in range(0, len(i), SLICE):
+            j = i[at : at + SLICE]
+            out[at : at + SLICE] = (self._select(j, self.ones, False) - j).astype(U) << U(self.low_bits) | self.low_of(j)
+        return out
 
     def find(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Place of x in [lo, hi), -1 if it isn't there: the bucket of equal high parts by zeros, then the low parts in turn."""
+        """Place of x in [lo, hi), -1 if it isn't there."""
         out = np.full(len(x), -1, np.int64)
+        for at in range(0, len(x), SLICE):
+            self._find(x[at : at + SLICE], lo[at : at + SLICE], hi[at : at + SLICE], out[at : at + SLICE])
+        return out
+
+    def _find(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray, out: np.ndarray) -> None:
+        """The bucket of equal high parts by zeros, then the low parts by halves; most buckets hold one or two."""
         shift = U(self.low_bits)
         high = (x >> shift).astype(np.int64)
-        last = int(self.zeros[-1])
-        at = np.flatnonzero((lo < hi) & (high < last))
-        if not len(at):
-            return out
+        at = np.flatnonzero((lo < hi) & (high < int(self.zeros[-1])))
         h = high[at]
         begin = np.where(h > 0, self._select(np.maximum(h - 1, 0), self.zeros, True) + 1, 0)
         start, run = begin - h, self._ones_from(begin)
@@ -116,17 +143,16 @@ class EliasFano:
         stop, start = np.minimum(stop, hi[at]), np.maximum(start, lo[at])
         want = x[at] & ((U(1) << shift) - U(1))
         while len(at):
-            left, right = start, stop  # by halves; most buckets hold one or two
-            mid = (left + right) // 2
-            more = left < right
-            at, start, stop, want, mid = at[more], left[more], right[more], want[more], mid[more]
+            more = np.flatnonzero(start < stop)
+            at, start, stop, want = at[more], start[more], stop[more], want[more]
+            mid = (start + stop) // 2
             got = self.low_of(mid)
             same = got == want
             out[at[same]] = mid[same]
-            go = ~same
-            start, stop = np.where(got < want, mid + 1, start)[go], np.where(got < want, stop, mid)[go]
-            at, want = at[go], want[go]
-        return out
+            less = got < want
+            start, stop = np.where(less, mid + 1, start), np.where(less, stop, mid)
+            go = np.flatnonzero(~same)
+            at, start, stop, want = at[go], start[go], stop[go], want[go]
 
 
 def write_arrays(path: str, name: str, arrays: dict[str, np.ndarray]) -> None:
@@ -277,13 +303,62 @@ class Trie:
         return found
 
 
+_WORD = np.ones(256, bool)  # a byte of a word: anything but [\x20\x09-\x0D]
+_WORD[[0x20, *range(9, 14)]] = False
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+_MIXED = mix(_LOWER.astype(U) + U(1))
+#: Bytes hashed at once, and the longest words that are hashed together.
+WINDOW, SHORT = 1 << 17, 256
+_POWER = np.cumprod(np.concatenate(([U(1)], np.full(WINDOW, U(0xD6E8FEB86659FD93)))))
+_UNPOWER = np.cumprod(np.concatenate(([U(1)], np.full(WINDOW, U(pow(0xD6E8FEB86659FD93, -1, 1 << 64))))))
+
+
+def hashed_words(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, places) of the words of documents that stand one after the other in data; first: where they begin, ascending."""
+    hashes, places, lo, n = [np.zeros(0, U)], [np.zeros(0, np.int64)], 0, len(data)
+
+    def one(at: int, to: int) -> int:
+        return _hash(_LOWER[data[at:to]].tobytes())
+
+    while lo < n:
+        hi = min(lo + WINDOW, n)
+        inner = first[np.searchsorted(first, lo, side="right") : np.searchsorted(first, hi, side="right")]
+        word = _WORD[data[lo:hi]]
+        if hi < n:  # no word may reach across the window's end
+            gaps = np.flatnonzero(~word)
+            cut = max(lo + int(gaps[-1]) + 1 if len(gaps) else lo, int(inner[-1]) if len(inner) else lo)
+            if cut == lo:  # one word fills the window
+                to = hi
+                until = int(inner[0]) if len(inner := first[np.searchsorted(first, lo, side="right") :]) else n
+                while to < until and not len(gaps := np.flatnonzero(~_WORD[data[to : min(to + WINDOW, until)]])):
+                    to = min(to + WINDOW, until)
+                to += int(gaps[0]) if to < until else 0
+                hashes.append(np.array([one(lo, to)], U))
+                places.append(np.array([lo]))
+                lo = to
+                continue
+            hi, word, inner = cut, word[: cut - lo], inner[inner < cut]
+        apart = np.zeros(hi - lo + 1, bool)
+        apart[inner - lo] = True
+        before, after = np.concatenate(([False], word[:-1])), np.concatenate((word[1:], [False]))
+        at = np.flatnonzero(word & (~before | apart[:-1]))
+        to = np.flatnonzero(word & (~after | apart[1:])) + 1
+        total = np.concatenate(([U(0)], np.cumsum(_MIXED[data[lo:hi]] * _POWER[: hi - lo], dtype=U)))
+        size = to - at
+        h = mix((total[to] - total[at]) * _UNPOWER[at] ^ size.astype(U) << U(48))
+        for i in np.flatnonzero(size > SHORT).tolist():
+            h[i] = one(lo + int(at[i]), lo + int(to[i]))
+        hashes.append(h)
+        places.append(at + lo)
+        lo = hi
+    return np.concatenate(hashes), np.concatenate(places)
+
+
 def tokens(text: str | None) -> np.ndarray:
     """Hashes of the text's words, and of the end."""
-    w = words(text) if text else []
-    out = np.empty(len(w) + 1, U)
-    out[:-1] = np.fromiter(map(_hash, w), U, len(w))
-    out[-1] = END
-    return out
+    h, _ = hashed_words(np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8), np.zeros(1, np.int64))
+    return np.append(h, U(END))
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -291,20 +366,27 @@ def held_out(doc_id: int | None) -> bool:
 
 
 def _parts(batches, training: bool):
-    """(ids, token hashes, where documents end) of about CHUNK tokens each."""
-    ids, held, size = [], [], 0
+    """(ids, token hashes, where documents end) of documents of about CHUNK tokens together."""
     for b in batches:
-        for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            if training and held_out(d):
-                continue
-            ids.append(d)
-            held.append(tokens(t.as_py()))
-            size += len(held[-1])
-            if size >= CHUNK:
-                yield ids, np.concatenate(held), np.cumsum([len(x) for x in held])
-                ids, held, size = [], [], 0
-    if held:
-        yield ids, np.concatenate(held), np.cumsum([len(x) for x in held])
+        if training:
+            b = b.filter(pa.array([not held_out(d) for d in b.column(0).to_pylist()], pa.bool_()))
+        text = b.column(1).cast(pa.large_string())
+        if not len(text):
+            continue
+        _, offsets, data = text.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[text.offset : text.offset + len(text) + 1]
+        data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        at = 0
+        while at < len(text):
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + 6 * CHUNK, side="right")) - 1)
+            first = offsets[at : to + 1] - offsets[at]
+            h, place = hashed_words(data[offsets[at] : offsets[to]], first[:-1])
+            n = np.diff(np.searchsorted(place, first))
+            out = np.full(len(h) + len(n), END, U)
+            out[np.arange(len(h)) + np.repeat(np.arange(len(n)), n)] = h
+            yield b.column(0).slice(at, to - at).to_pylist(), out, np.cumsum(n + 1)
+            at = to
+        settle()
 
 
 def _looked_up(h: np.ndarray, ends: np.ndarray, trie: Trie):
@@ -328,44 +410,80 @@ def _looked_up(h: np.ndarray, ends: np.ndarray, trie: Trie):
     return w, c, before, place, back
 
 
-def _counted(docs: DataFrame, keys) -> DataFrame:
-    """(key, c): keys(hashes, ends) gives the keys of a part of the training tokens; each part is summed before the shuffle."""
+def _planes(x: np.ndarray) -> tuple[int, bytes]:
+    """Numbers as the planes of their lower bytes: (how many planes, their bytes)."""
+    n = -(-int(x.max()).bit_length() // 8) if len(x) else 0
+    return n, np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes()
 
-    def run(batches):
-        for _, h, ends in _parts(batches, True):
-            k, c = np.unique(keys(h, ends), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c.astype(np.int64))], names=["key", "c"])
 
-    return docs.mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+def pack(keys: np.ndarray, c: np.ndarray) -> bytes:
+    """Ascending distinct keys with counts."""
+    (a, keys_), (b, counts) = _planes(np.diff(keys)), _planes(c.astype(U) - U(1))
+    return struct.pack("<QQBB", len(keys), int(keys[0]), a, b) + keys_ + counts
 
 
-def _by_shard(rows: DataFrame, n_shards: int, write, schema: str) -> list:
-    """write(shard, keys, counts) for each shard of rows (shard, key, c), in one task each; returns what it gives."""
-    dealt = rows.repartition(n_shards, "shard").sortWithinPartitions("shard", "key").select("shard", "key", "c")
+def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, first, a, b = struct.unpack_from("<QQBB", blob)
 
-    def run(batches):
-        held: list[pa.Table] = []
+    def numbers(count: int, planes: int, at: int) -> np.ndarray:
+        out = np.zeros((count, 8), np.uint8)
+        out[:, :planes] = np.frombuffer(blob, np.uint8, count * planes, at).reshape(planes, count).T
+        return out.view("<u8")[:, 0]
 
-        def flush():
-            t = pa.concat_tables(held)
-            held.clear()
-            return pa.RecordBatch.from_pylist([write(t.column(0)[0].as_py(), t.column(1).to_numpy(), t.column(2).to_numpy())])
+    d = numbers(n - 1, a, 18)
+    return np.cumsum(np.concatenate(([U(first)], d)), dtype=U), numbers(n, b, 18 + (n - 1) * a).astype(np.int64) + 1
 
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            while t.num_rows:
-                k = t.column(0).to_numpy()
-                if held and held[0].column(0)[0].as_py() != k[0]:
-                    yield flush()
-                n = int(np.searchsorted(k, k[0], side="right"))
-                held.append(t.slice(0, n))
-                t = t.slice(n)
-        if held:
-            yield flush()
 
+def _by_shard(docs: DataFrame, keys, fence: np.ndarray, write, schema: str) -> list:
+    """write(shard, keys, counts) for each shard, in one task each; returns what it gives.
+
+    keys(hashes, ends) gives the keys of a part of the training tokens; a part is summed before the shuffle. fence: the least key of each shard.
+    """
+
+    def count(batches):
+        for _, h, ends in _parts(batches, True):
+            k, c = np.unique(keys(h, ends), return_counts=True)
+            at = np.append(np.searchsorted(k, fence), len(k))
+            some = np.flatnonzero(np.diff(at))
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([pack(k[at[i] : at[i + 1]], c[at[i] : at[i + 1]]) for i in some], pa.binary())], names=["shard", "blob"])
+
+    def run(batches):
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for b in batches:
+            for shard, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                held.setdefault(shard, []).append(unpack(blob.as_py()))
+        for shard in sorted(held):
+            own = held.pop(shard)
+            k, c = (np.concatenate([x[i] for x in own]) for i in (0, 1))
+            own.clear()
+            order = np.argsort(k, kind="stable")
+            k, c = k[order], c[order]
+            first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+            yield pa.RecordBatch.from_pylist([write(shard, k[first], np.add.reduceat(c, first))])
+            settle()
+
+    dealt = docs.mapInArrow(count, "shard int, blob binary").repartitionById(len(fence), F.col("shard"))
     return dealt.mapInArrow(run, schema).collect()
 
 
+def _marks(c: np.ndarray) -> list[int]:
+    """Up to 32 places that cut counts into parts of about one sum, and the sum up to each: place, sum, place, sum ..."""
+    upto = np.cumsum(c)
+    at = np.unique(np.searchsorted(upto, upto[-1] * np.arange(1, 33) / 32))
+    return np.stack((at + 1, upto[at]), axis=1).reshape(-1).tolist()
+
+
+def _fence(marks: list[tuple[int, list[int]]], n_shards: int) -> np.ndarray:
+    """The first contexts of at most n_shards shards of about equal sums; marks: (first context of a file, its _marks), in order."""
+    place, upto, total = [0], [0], 0
+    for first, m in marks:
+        place += [first + x for x in m[::2]]
+        upto += [total + x for x in m[1::2]]
+        total = upto[-1]
+    at = np.searchsorted(upto, np.arange(n_shards) * total / n_shards)
+    return np.unique(np.array(place)[at])
+
+
 def _level_arrays(ctx: np.ndarray, child: np.ndarray, n_ctx: int, c: np.ndarray, c_ctx: np.ndarray, lower: np.ndarray) -> dict[str, np.ndarray]:
     """A shard of a level: entries sorted by context and child; c_ctx: counts of their contexts; lower: log10 of their shorter n-grams."""
     number = np.bincount(ctx, minlength=n_ctx)
@@ -376,70 +494,71 @@ def _level_arrays(ctx: np.ndarray, child: np.ndarray, n_ctx: int, c: np.ndarray,
     back = np.maximum(1 - np.bincount(ctx, share, n_ctx), 1e-12)
     back_q = quantised(np.log10(back))
     prob = share + 10.0 ** (back_q[ctx].astype(float) / -STEP + lower)
-    return ef_build(pointer, "pointer") | ef_build(child + np.repeat(base, number[ctx[last]]), "child") | coded(c, "count") | {"prob": quantised(np.log10(prob)), "back": back_q}
+    return ef_build(pointer, "pointer") | ef_build(child + np.repeat(base, number[ctx[last]]), "child") | {"prob": quantised(np.log10(prob)), "back": back_q}
 
 
-def train(docs: DataFrame, path: str | None = None, cutoff: int = 2) -> Trie:
+def train(docs: DataFrame, path: str | None = None, cutoff: int = 1) -> Trie:
     """Counts the documents (doc_id, text) that are not held out and writes the trie under path; bigrams and trigrams of a count below cutoff are left out."""
     spark = docs.sparkSession
     n_shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     trie = Trie(path or work_path(spark, "trie"), n_shards, cutoff)
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    unsigned = F.shiftrightunsigned("key", 32)
 
-    def write_words(shard, key, c):
-        h = key.view(U)
-        order = np.argsort(h)
-        write_arrays(trie.path, f"words-{shard:06d}", ef_build(h[order], "hash") | coded(c[order], "count"))
-        return {"shard": shard, "n": len(h), "c": int(c.sum())}
+    def write_words(shard, h, c):
+        write_arrays(trie.path, f"words-{shard:06d}", ef_build(h, "hash") | coded(c, "count"))
+        return {"shard": shard, "n": len(h), "c": int(c.sum()), "marks": _marks(c)}
 
-    counts = lambda: _counted(cols, lambda h, ends: h).withColumn("shard", F.shiftrightunsigned(unsigned * F.lit(n_shards), 32))
-    got = sorted((r.shard, r.n, r.c) for r in _by_shard(counts(), n_shards, write_words, "shard long, n long, c long"))
-    trie.sizes, trie.V, trie.N = [(k, n) for k, n, _ in got], sum(n for _, n, _ in got), sum(c for *_, c in got)
+    fence = np.array([-(-(i << 32) // n_shards) << 32 for i in range(n_shards)], U)  # as Words.find has it
+    got = sorted(tuple(r) for r in _by_shard(cols, lambda h, ends: h, fence, write_words, "shard long, n long, c long, marks array<long>"))
+    trie.sizes, trie.V, trie.N = [(k, n) for k, n, *_ in got], sum(x[1] for x in got), sum(x[2] for x in got)
     if trie.V >= 1 << 32:
         raise ValueError("more than 2**32 - 1 distinct tokens")
 
-    def pairs(h, ends):
-        w, _, before, _, _ = _looked_up(h, ends, trie)
-        ok = (before >= 0) & (w >= 0)
-        return before[ok].astype(U) << U(32) | w[ok].astype(U)
-
-    def level(rows, name, n_ctx, split, c_of, lower_of):
-        dealt = rows.withColumn("ctx", split).withColumn("shard", F.floor(F.col("ctx") * F.lit(n_shards) / F.lit(max(1, n_ctx))).cast("long"))
+    def level(name, keys, n_ids, marks, counts_of, lower_of, counted):
+        """Keys are context * n_ids + child; marks: those of the contexts' counts."""
+        first, at = [], 0
+        for n, m in marks:
+            first.append((at, m))
+            at += n
+        fence = _fence(first, n_shards).astype(U) * U(n_ids)
 
         def write(shard, key, c):
-            order = np.argsort(key.view(U), kind="stable")  # keys of 2**63 and more came first
-            key, c = key[order], c[order]
-            a, b = c_of.split(key)
-            lo = int(a.min())
-            arrays = _level_arrays(a - lo, b, int(a.max()) - lo + 1, c, c_of(a), lower_of(b))
-            write_arrays(trie.path, f"{name}-{shard:06d}", arrays)
-            return {"shard": shard, "lo": lo, "n": len(key)}
-
-        return sorted(((r.shard, r.lo, r.n) for r in _by_shard(dealt, n_shards, write, "shard long, lo long, n long")), key=lambda x: x[1])
+            if cutoff > 1:
+                key, c = key[c >= cutoff], c[c >= cutoff]
+            if not len(key):
+                return {"shard": shard, "lo": -1, "n": 0, "marks": []}
+            a, b = (x.astype(np.int64) for x in np.divmod(key, U(n_ids)))
+            lo, new = int(a[0]), np.concatenate(([True], a[1:] != a[:-1]))
+            c_ctx = counts_of(a[new])[np.cumsum(new) - 1]
+            arrays = _level_arrays(a - lo, b, int(a[-1]) - lo + 1, c, c_ctx, lower_of(b))
+            write_arrays(trie.path, f"{name}-{shard:06d}", arrays | (coded(c, "count") if counted else {}))
+            return {"shard": shard, "lo": lo, "n": len(key), "marks": _marks(c)}
+
+        rows = _by_shard(cols, keys, fence, write, "shard long, lo long, n long, marks array<long>")
+        return sorted((tuple(r) for r in rows if r.n), key=lambda x: x[1])
 
-    class OfWords:
-        split = staticmethod(lambda key: ((key.view(U) >> U(32)).astype(np.int64), (key.view(U) & U(0xFFFFFFFF)).astype(np.int64)))
-
-        def __call__(self, a):
-            return trie.levels()[0].count(a)
+    def pairs(h, ends):
+        w, _, before, _, _ = _looked_up(h, ends, trie)
+        ok = (before >= 0) & (w >= 0)
+        return before[ok].astype(U) * U(trie.V) + w[ok].astype(U)
 
     total = trie.N + trie.V + 1
-    trie.bigrams = level(_counted(cols, pairs).filter(F.col("c") >= cutoff), "bigrams", trie.V, F.shiftrightunsigned("key", 32), OfWords(), lambda b: np.log10((trie.levels()[0].count(b) + 1) / total))
-    n_bigrams = sum(n for *_, n in trie.bigrams)
+    if not trie.V:
+        trie.bigrams = trie.trigrams = []
+        return trie
+    got2 = level("bigrams", pairs, trie.V, [(n, m) for _, n, _, m in got], lambda a: trie.levels()[0].count(a), lambda b: np.log10((trie.levels()[0].count(b) + 1) / total), True)
+    n_bigrams = sum(x[2] for x in got2)
     if n_bigrams >= 1 << 32:
         raise ValueError("more than 2**32 - 1 bigrams; raise the cutoff")
+    trie.bigrams = [x[:3] for x in got2]
 
     def triples(h, ends):
         _, _, _, place, _ = _looked_up(h, ends, trie)
         ok = np.flatnonzero((place[1:] >= 0) & (place[:-1] >= 0)) + 1  # a place is -1 at a document's start
-        return place[ok - 1].astype(U) << U(32) | place[ok].astype(U)
-
-    class OfBigrams(OfWords):
-        def __call__(self, a):
-            return trie.levels()[1].count(a)
+        return place[ok - 1].astype(U) * U(n_bigrams) + place[ok].astype(U)
 
-    trie.trigrams = level(_counted(cols, triples).filter(F.col("c") >= cutoff), "trigrams", n_bigrams, F.shiftrightunsigned("key", 32), OfBigrams(), lambda b: trie.levels()[1].log10(b))
+    got3 = level("trigrams", triples, n_bigrams, [(n, m) for *_, n, m in got2], lambda a: trie.levels()[1].count(a), lambda b: trie.levels()[1].log10(b), False) if n_bigrams else []
+    trie.trigrams = [x[:3] for x in got3]
     return trie
 
 
@@ -463,12 +582,12 @@ def score(h: np.ndarray, ends: np.ndarray, trie: Trie) -> tuple[np.ndarray, np.n
     return c, base, out
 
 
-def lm_scores(docs: DataFrame, trie: Trie | None = None, cutoff: int = 2) -> DataFrame:
+def lm_scores(docs: DataFrame, trie: Trie | None = None, cutoff: int = 1) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_token.
 
     Trained on documents whose crc32(doc_id as text) mod 7 is not 2, whole texts. A null text counts as empty (its end alone); a row without
-    an id is a training row; repeated rows count as often as they stand there; extra columns are ignored. cutoff: the least count of bigrams and
-    trigrams that the model keeps; 1 keeps all, as the query does.
+    an id is a training row; repeated rows count as often as they stand there; no documents give no rows; texts of any length are taken whole; extra
+    columns are ignored. cutoff: the least count of bigrams and trigrams that the model keeps; 1 keeps all, as the query does.
     """
     trie = trie or train(docs, cutoff=cutoff)
 
