@@ -36,7 +36,11 @@ def brute(rows, n, num, den):
     for i, (d, _) in enumerate(sets):
         if d is not None:
             least[find(i)] = min(d, least.get(find(i), d))
-    return sorted((d, len(s), least[find(i)]) for i, (d, s) in enumerate(sets) if d is not None)
+    return in_order((d, len(s), least.get(find(i))) for i, (d, s) in enumerate(sets))
+
+
+def in_order(rows):
+    return sorted(map(tuple, rows), key=lambda r: [(x is None, x) for x in r])
 
 
 def test_exact_dedup_edges(spark):
@@ -73,9 +77,12 @@ def test_ngram_join_equals_brute_force(spark):
     rows += [(9000, None), (9001, ""), (9002, " \n"), (9003, "one TWO"), (9004, "ONE two"), (9005, "one two"), (9006, "long " * 20000)]
     docs = spark.createDataFrame([(d, t, "x") for d, t in rows], DOC)
     rows += [(8000 + k, " ".join(f"z{(i if i % 900 or i == 0 else i + 10**6 * k)}" for i in range(5000))) for k in range(3)]
+    chain = [f"c{i}" for i in range(80)]  # two documents that link only through one without an id, and two without ids alone
+    rows += [(9100, " ".join(chain)), (None, " ".join(["y1", "y2", *chain[2:]])), (9101, " ".join(["y1", "y2", *chain[2:-2], "y3", "y4"]))]
+    rows += [(None, " ".join(f"q{i}" for i in range(50))), (None, " ".join(f"q{i}" for i in range(51))), (9003, "one TWO")]
     docs = spark.createDataFrame([(d, t, "x") for d, t in rows], DOC)
     for n, num, den in ((4, 85, 100), (5, 80, 100)):
-        got = sorted(tuple(r) for r in ngram_join(docs, n, num, den).select("doc_id", "n_shingles", "component_id").collect())
+        got = in_order(ngram_join(docs, n, num, den).select("doc_id", "n_shingles", "component_id").collect())
         assert got == brute(rows, n, num, den)
 
 
@@ -94,7 +101,7 @@ def test_ngram_join_large_buckets_and_edges(spark):
     docs = spark.createDataFrame([(d, t, "x") for d, t in rows], DOC)
     old, m.TILE = m.TILE, 16
     try:
-        got = sorted(tuple(r) for r in ngram_join(docs, 4, 60, 100, rounds=0).select("doc_id", "n_shingles", "component_id").collect())
+        got = in_order(ngram_join(docs, 4, 60, 100, rounds=0).select("doc_id", "n_shingles", "component_id").collect())
     finally:
         m.TILE = old
     assert got == brute(rows, 4, 60, 100)

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from twinsift.llm import common as C
 from twinsift.llm import language_model as M
 
 DOC = "doc_id long, text string, score string"
@@ -102,19 +103,19 @@ def test_query_keeps_ngrams_seen_once(spark, tmp_path):
 
 def test_words_of_all_lengths_and_windows():
     rng = random.Random(7)
-    old, M.WINDOW = M.WINDOW, 300
+    old, C.WINDOW = C.WINDOW, 300
     try:
         for _ in range(40):
             texts = ["".join(rng.choice(["a", "B", " ", "\t", "é", "x" * 90, "日", "\x0b", "\x85"]) for _ in range(rng.randrange(60))) for _ in range(rng.randint(1, 6))]
             texts[rng.randrange(len(texts))] += "Q" * rng.choice([0, 257, 400, 1500])
             raw = [t.encode() for t in texts]
             first = np.cumsum([0] + [len(r) for r in raw[:-1]])
-            h, place = M.hashed_words(np.frombuffer(b"".join(raw), np.uint8), first)
+            h, place = C.hashed_words(np.frombuffer(b"".join(raw), np.uint8), first)
             want = [w for r in raw for w in r.lower().split()]
             assert len(h) == len(want) and len({*zip(want, h.tolist(), strict=True)}) == len({*want}) == len({*h.tolist()})
             assert np.diff(np.searchsorted(place, np.append(first, sum(map(len, raw))))).tolist() == [len(r.split()) for r in raw]
     finally:
-        M.WINDOW = old
+        C.WINDOW = old
 
 
 def test_blobs_round_trip():

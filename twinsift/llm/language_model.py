@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, mix, settle, work_path
+from .common import U, hashed_words, settle, text_buffer, work_path
 from .token_output import open_store
 
 _hash = xxhash.xxh3_64_intdigest
@@ -303,58 +303,6 @@ class Trie:
         return found
 
 
-_WORD = np.ones(256, bool)  # a byte of a word: anything but [\x20\x09-\x0D]
-_WORD[[0x20, *range(9, 14)]] = False
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
-_MIXED = mix(_LOWER.astype(U) + U(1))
-#: Bytes hashed at once, and the longest words that are hashed together.
-WINDOW, SHORT = 1 << 17, 256
-_POWER = np.cumprod(np.concatenate(([U(1)], np.full(WINDOW, U(0xD6E8FEB86659FD93)))))
-_UNPOWER = np.cumprod(np.concatenate(([U(1)], np.full(WINDOW, U(pow(0xD6E8FEB86659FD93, -1, 1 << 64))))))
-
-
-def hashed_words(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, places) of the words of documents that stand one after the other in data; first: where they begin, ascending."""
-    hashes, places, lo, n = [np.zeros(0, U)], [np.zeros(0, np.int64)], 0, len(data)
-
-    def one(at: int, to: int) -> int:
-        return _hash(_LOWER[data[at:to]].tobytes())
-
-    while lo < n:
-        hi = min(lo + WINDOW, n)
-        inner = first[np.searchsorted(first, lo, side="right") : np.searchsorted(first, hi, side="right")]
-        word = _WORD[data[lo:hi]]
-        if hi < n:  # no word may reach across the window's end
-            gaps = np.flatnonzero(~word)
-            cut = max(lo + int(gaps[-1]) + 1 if len(gaps) else lo, int(inner[-1]) if len(inner) else lo)
-            if cut == lo:  # one word fills the window
-                to = hi
-                until = int(inner[0]) if len(inner := first[np.searchsorted(first, lo, side="right") :]) else n
-                while to < until and not len(gaps := np.flatnonzero(~_WORD[data[to : min(to + WINDOW, until)]])):
-                    to = min(to + WINDOW, until)
-                to += int(gaps[0]) if to < until else 0
-                hashes.append(np.array([one(lo, to)], U))
-                places.append(np.array([lo]))
-                lo = to
-                continue
-            hi, word, inner = cut, word[: cut - lo], inner[inner < cut]
-        apart = np.zeros(hi - lo + 1, bool)
-        apart[inner - lo] = True
-        before, after = np.concatenate(([False], word[:-1])), np.concatenate((word[1:], [False]))
-        at = np.flatnonzero(word & (~before | apart[:-1]))
-        to = np.flatnonzero(word & (~after | apart[1:])) + 1
-        total = np.concatenate(([U(0)], np.cumsum(_MIXED[data[lo:hi]] * _POWER[: hi - lo], dtype=U)))
-        size = to - at
-        h = mix((total[to] - total[at]) * _UNPOWER[at] ^ size.astype(U) << U(48))
-        for i in np.flatnonzero(size > SHORT).tolist():
-            h[i] = one(lo + int(at[i]), lo + int(to[i]))
-        hashes.append(h)
-        places.append(at + lo)
-        lo = hi
-    return np.concatenate(hashes), np.concatenate(places)
-
-
 def tokens(text: str | None) -> np.ndarray:
     """Hashes of the text's words, and of the end."""
     h, _ = hashed_words(np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8), np.zeros(1, np.int64))
@@ -370,14 +318,9 @@ def _parts(batches, training: bool):
     for b in batches:
         if training:
             b = b.filter(pa.array([not held_out(d) for d in b.column(0).to_pylist()], pa.bool_()))
-        text = b.column(1).cast(pa.large_string())
-        if not len(text):
-            continue
-        _, offsets, data = text.buffers()
-        offsets = np.frombuffer(offsets, np.int64)[text.offset : text.offset + len(text) + 1]
-        data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        data, offsets = text_buffer(b.column(1))
         at = 0
-        while at < len(text):
+        while at < b.num_rows:
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + 6 * CHUNK, side="right")) - 1)
             first = offsets[at : to + 1] - offsets[at]
             h, place = hashed_words(data[offsets[at] : offsets[to]], first[:-1])

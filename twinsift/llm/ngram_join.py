@@ -13,35 +13,39 @@ a segment's bucket all sets are first held against one leader of the bucket and
 is linear in the bucket. What then is still unconnected is compared in tiles of bounded size on the sketches, so that
 only pairs that pass the bound become rows. Buckets have no cap.
 
-Equal sets are one node from the start (their fingerprint), so groups of exact copies cost nothing beyond one row a task.
+Equal sets are one node from the start (their fingerprint), so groups of exact copies cost nothing beyond one row a task. Two sets are
+compared by the 64-bit hashes of their n-grams, not by the words.
+
+What is known of a bucket (its size, its leader, whether it holds different sets) comes from a partial aggregate joined back by key, so that no
+task needs a whole bucket, and adaptive execution may split a join's large ones.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, materialize, mix, words
+from .common import U, discard, hashed_words, materialize, mix, settle, text_buffer
 
-_hash = xxhash.xxh3_64_intdigest
 _MUL = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0x27D4EB2F165667C5), U(0x85EBCA77C2B2AE63), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB)]
-#: Bits of the filter of documents to read again; its size is fixed, a fuller one only lets more documents through.
-FILTER_BITS = 1 << 23
+#: Least and most bits of the filter of documents to read again, 16 for each document in between; a fuller one only lets more documents through.
+FILTER_BITS = 1 << 23, 1 << 30
+#: Fingerprints that a task remembers as sent.
+SEEN = 1 << 20
 #: Sets compared at once within a bucket.
 TILE = 512
 
 
-def shingle_set(text: str | None, n: int, seed: int = 0) -> np.ndarray:
-    """Sorted distinct hashes of the text's word n-grams; a shorter text is one n-gram; no words, no n-grams."""
-    w = words(text) if text else []
-    if not w:
+def shingles(a: np.ndarray, n: int) -> np.ndarray:
+    """Sorted distinct hashes of the n-grams of a text's word hashes; a shorter text is one n-gram; no words, no n-grams."""
+    if not len(a):
         return np.zeros(0, U)
-    a = np.fromiter(map(_hash, w) if not seed else (_hash(x, seed) for x in w), U, len(w))
     if len(a) < n:
         return mix(np.array([(a * np.array(_MUL[: len(a)], U)).sum(dtype=U) ^ U(len(a) * 0x9E3779B1)], U))
     s = a[: len(a) - n + 1] * _MUL[0]
@@ -50,6 +54,21 @@ def shingle_set(text: str | None, n: int, seed: int = 0) -> np.ndarray:
     return np.unique(mix(s))
 
 
+def shingle_sets(texts: pa.Array, n: int, seed: int = 0) -> Iterator[np.ndarray]:
+    """The n-gram set of each text, null ones are empty; words are hashed for some millions of characters at once."""
+    data, offsets = text_buffer(texts)
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (1 << 22), side="right")) - 1)
+        first = offsets[at : to + 1] - offsets[at]
+        h, place = hashed_words(data[offsets[at] : offsets[to]], first[:-1])
+        h = mix(h ^ mix(np.array([seed], U))) if seed else h
+        cut = np.searchsorted(place, first)
+        for i in range(to - at):
+            yield shingles(h[cut[i] : cut[i + 1]], n)
+        at = to
+
+
 def fingerprint(s: np.ndarray) -> tuple[int, int]:
     """Two independent 64-bit fingerprints of a set, as signed integers."""
     b = s.tobytes()
@@ -126,82 +145,74 @@ def _far(x: list[bytes], y: list[bytes]) -> np.ndarray:
     return out
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, str | None]]:
-    for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-        yield d, t.as_py()
-
-
 def _same(a: np.ndarray, b: np.ndarray) -> int:
     return len(np.intersect1d(a, b, assume_unique=True))
 
 
-def heads(docs: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """(doc_id, n, f1, f2): set size and fingerprints of each document."""
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for d, t in _rows(b):
-                s = shingle_set(t, n, seed)
-                out.append((d, len(s), *(fingerprint(s) if len(s) else (None, None))))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 4, names=["doc_id", "n", "f1", "f2"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, f1 long, f2 long")
-
-
-def _segments(docs: DataFrame, n: int, bands: Bands, seed: int) -> DataFrame:
-    """(key, f1, n): the segments of each set; copies within a task are sent once."""
+def heads(docs: DataFrame, n: int, bands: Bands, seed: int = 0) -> DataFrame:
+    """(doc_id, n, f1, f2, keys): set size, fingerprints and segments of each document; copies within a task send their segments once."""
 
     def run(batches):
         seen: set[int] = set()
         for b in batches:
-            keys, ids, sizes = [], [], []
-            for _, t in _rows(b):
-                s = shingle_set(t, n, seed)
-                if not len(s) or (f := fingerprint(s)[0]) in seen:
-                    continue
-                seen.add(f)
-                keys.append(bands.keys(s))
-                ids.append(np.full(len(keys[-1]), f, np.int64))
-                sizes.append(np.full(len(keys[-1]), len(s), np.int32))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes))], names=["key", "f1", "n"])
-
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, f1 long, n int")
-
-
-def _filter_bits(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of two bits for each id, FILTER_BITS in all, whatever the number of ids."""
+            ids, size, f1, f2, keys = b.column(0), [], [], [], []
+            for s in shingle_sets(b.column(1), n, seed):
+                size.append(len(s))
+                f = fingerprint(s) if len(s) else (None, None)
+                f1.append(f[0])
+                f2.append(f[1])
+                keys.append(bands.keys(s).view(np.int64) if len(s) and f[0] not in seen else None)
+                seen.add(f[0])
+            if len(seen) > SEEN:
+                seen.clear()
+            offsets = pa.array([*np.cumsum([0] + [0 if k is None else len(k) for k in keys]).tolist()], pa.int32())
+            flat = pa.array(np.concatenate([np.zeros(0, np.int64), *(k for k in keys if k is not None)]))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "n", "f1", "f2", "keys"])
+            settle()
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, f1 long, f2 long, keys array<long>")
+
+
+def _filter_bits(ids: DataFrame, size: int) -> np.ndarray:
+    """A Bloom filter of two bits for each id, of size bits."""
     h = F.xxhash64("_id")
-    bit = ids.select(F.explode(F.array(F.pmod(h, F.lit(FILTER_BITS)), F.pmod(F.shiftrightunsigned(h, 32), F.lit(FILTER_BITS)))).alias("bit"), "_id").select("bit")
-    words_ = bit.groupBy(F.expr("bit div 32").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("m")).collect()
-    out = np.zeros(FILTER_BITS // 32, np.uint32)
-    for w, m in words_:
-        out[w] = m
+    bit = ids.filter("_id IS NOT NULL").select(F.explode(F.array(F.pmod(h, F.lit(size)), F.pmod(F.shiftrightunsigned(h, 32), F.lit(size)))).alias("bit"))
+    parts = bit.groupBy(F.expr("bit div 32768").alias("w")).agg(F.bitmap_construct_agg(F.expr("bit % 32768")).alias("m")).collect()
+    out = np.zeros(size // 8, np.uint8)
+    for w, m in parts:
+        out[4096 * w : 4096 * w + len(m)] = np.frombuffer(bytes(m), np.uint8)
     return out
 
 
-def _again(docs: DataFrame, chosen: DataFrame, n: int, whole: bool, seed: int) -> DataFrame:
-    """(f1, n, data) of the chosen nodes, data: the set or else its sketch; chosen: _id, a document of each node.
+def _again(docs: DataFrame, chosen: DataFrame, size: int, n: int, whole: bool, seed: int) -> DataFrame:
+    """(f1, n, data) of the chosen nodes, data: the set or else its sketch; chosen: _id, a document of each node; size: the filter's bits.
 
-    Texts are not shuffled: a filter of fixed size tells which to read. It lets some others through, and copies; rows may be too many, never too few.
+    Texts are not shuffled: a filter of bounded size tells which to read, and those without an id are read always. It lets some others
+    through, and copies; rows may be too many, never too few.
     """
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(np.unpackbits(_filter_bits(chosen.select("_id")).view(np.uint8), bitorder="little"))
+    bits = spark.sparkContext.broadcast(_filter_bits(chosen.select("_id"), size))
     maybe = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("doc_id").cast("long")).alias("_h"), F.col("text").cast("string").alias("text"))
 
     def run(batches):
-        on = bits.value
+        on, sent = bits.value, set()
+
+        def holds(bit):
+            return (on[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+
         for b in batches:
             h = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            yes = np.flatnonzero((on[h % FILTER_BITS] & on[(h.view(U) >> U(32)).astype(np.int64) % FILTER_BITS]).astype(bool) & b.column(0).is_valid().to_numpy(zero_copy_only=False))
-            texts, out = b.column(2), []
-            for i in yes:
-                s = shingle_set(texts[i].as_py(), n, seed)
-                if len(s):
-                    out.append((fingerprint(s)[0], len(s), (s if whole else sketch(s)).tobytes()))
+            yes = holds(h % size) & holds((h.view(U) >> U(32)).astype(np.int64) % size) | b.column(0).is_null().to_numpy(zero_copy_only=False)
+            out = []
+            for s in shingle_sets(b.column(2).filter(pa.array(yes)), n, seed):
+                if len(s) and (f := fingerprint(s)[0]) not in sent:
+                    sent.add(f)
+                    out.append((f, len(s), (s if whole else sketch(s)).tobytes()))
+            if len(sent) > SEEN:
+                sent.clear()
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["f1", "n", "data"])
+            settle()
 
     return maybe.mapInArrow(run, "f1 long, n long, data binary")
 
@@ -210,8 +221,8 @@ def _bound(bands: Bands, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (bands.den - bands.num) * (a + b) // (bands.den + bands.num)
 
 
-def verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, reps: DataFrame, n: int, bands: Bands, seed: int = 0) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets link; first by sketches, then by the sets. reps: (f1, _id), a document of each node."""
+def verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, reps: DataFrame, size: int, n: int, bands: Bands, seed: int = 0) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets link; first by sketches, then by the sets. reps: (f1, _id), a document of each node; size: the filter's bits."""
     num, den = bands.num, bands.den
 
     def near(batches):
@@ -235,16 +246,23 @@ def verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, reps: DataF
     p = pairs.join(of(sketches, "a"), "a").join(of(sketches, "b"), "b").select("a", "b", "n_a", "data_a", "n_b", "data_b").mapInArrow(near, "a long, b long")
     p = materialize(p.distinct(), "near")
     nodes = p.select(F.col("a").alias("f1")).unionByName(p.select(F.col("b").alias("f1"))).distinct()
-    sets = _again(docs, nodes.join(reps, "f1").select("_id"), n, True, seed).join(nodes, "f1", "left_semi")
-    return p.join(of(sets, "a"), "a").join(of(sets, "b"), "b").select("a", "b", "data_a", "data_b").mapInArrow(link, "a long, b long")
+    sets = _again(docs, nodes.join(reps, "f1").select("_id"), size, n, True, seed).join(nodes, "f1", "left_semi").dropDuplicates(["f1"])
+    links = materialize(p.join(of(sets, "a"), "a").join(of(sets, "b"), "b").select("a", "b", "data_a", "data_b").mapInArrow(link, "a long, b long"), "links")
+    discard(p)
+    return links
+
+
+def _mixed_buckets(rows: DataFrame, by: str) -> DataFrame:
+    """The keys of buckets that hold different values."""
+    return rows.groupBy("key").agg(F.min(by).alias("lo"), F.max(by).alias("hi")).filter("lo <> hi").select("key")
 
 
 def _tiles(active: DataFrame, sketches: DataFrame, bands: Bands) -> DataFrame:
     """Pairs (a, b) of unconnected members of a bucket whose sketches pass the bound. A bucket of m members is dealt into blocks
     of about TILE; each pair of blocks is a task's group of its own, so no group grows with the bucket."""
     num, den = bands.num, bands.den
-    size = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    blocks = active.withColumn("nb", F.ceil(size / F.lit(TILE)).cast("int")).withColumn("blk", F.pmod(F.xxhash64("f1"), F.col("nb")).cast("int"))
+    sizes = active.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("int").alias("nb"))
+    blocks = active.join(sizes, "key").withColumn("blk", F.pmod(F.xxhash64("f1"), F.col("nb")).cast("int"))
     dealt = blocks.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
         "key", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), (F.col("blk") > F.col("o")).alias("second"), "f1", "n", "label")
     with_sketch = dealt.join(sketches.select("f1", "data"), "f1")
@@ -302,53 +320,59 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialize(large.filter("u <> v").distinct(), "large")
+        before, large = e, materialize(large.filter("u <> v").distinct(), "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         e = materialize(small.filter("u <> v").distinct(), "small")
+        discard(before, large)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1000003)).first()
         if now == state:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("label"))
+            out = e.select(F.col("u").alias("node"), F.col("v").alias("label"))
+            out.made_at = e.made_at
+            return out
         state = now
 
 
 def _star(active: DataFrame, order: Column) -> DataFrame:
     """Each member of a bucket with the bucket's leader, if they are not connected yet."""
-    lead = F.min(F.struct(order.alias("o"), F.col("f1").alias("f1"), F.col("n").alias("n"), F.col("label").alias("label"))).over(Window.partitionBy("key"))
-    return active.withColumn("lead", lead).filter("label <> lead.label").select(F.least("f1", "lead.f1").alias("a"), F.greatest("f1", "lead.f1").alias("b"), F.col("n"), F.col("lead.n").alias("m"))
+    lead = active.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("f1").alias("f1"), F.col("n").alias("n"), F.col("label").alias("label"))).alias("lead"))
+    return active.join(lead, "key").filter("label <> lead.label").select(F.least("f1", "lead.f1").alias("a"), F.greatest("f1", "lead.f1").alias("b"), F.col("n"), F.col("lead.n").alias("m"))
 
 
 def ngram_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, rounds: int = 2, seed: int = 0) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, f1.
 
     docs: doc_id, text. Documents link when den * |intersection| >= num * |union| of their n-gram sets; component_id is the least
-    doc_id that links reach. Null or wordless texts: no n-grams, their own component. Null doc_id: component_id is that of its
-    linked documents, or null. Extra columns are ignored. A repeated doc_id is one document for component_id.
+    doc_id that links reach. Null or wordless texts: no n-grams, their own component. Null doc_id: the row links as others do, its component_id is that
+    of its linked documents, or null. Texts of any length are taken whole; no documents give no rows. Extra columns are ignored. A repeated doc_id
+    is one document for component_id.
     """
     bands = Bands(num, den)
-    head = materialize(heads(docs, n, seed), "heads")
+    made = materialize(heads(docs, n, bands, seed), "heads")
+    head = made.select("doc_id", "n", "f1", "f2")
     nodes = head.filter("n > 0").groupBy("f1").agg(F.min("doc_id").alias("rep"), F.min("f2").alias("f2"), F.max("f2").alias("f3"))
     if nodes.filter("f2 <> f3").limit(1).count():
         return ngram_join(docs, n, num, den, rounds, seed + 1)  # two different sets have one 64-bit fingerprint: other hashes tell them apart
-    both = Window.partitionBy("key")
-    met = _segments(docs, n, bands, seed).withColumn("lo", F.min("f1").over(both)).withColumn("hi", F.max("f1").over(both))
-    buckets = materialize(met.filter("lo <> hi").select("key", "f1", "n"), "buckets")
-    reps = materialize(buckets.select("f1").distinct().join(nodes, "f1").filter("rep IS NOT NULL").select("f1", F.col("rep").alias("_id")), "reps")
-    sketches = materialize(_again(docs, reps.select("_id"), n, False, seed).join(reps.hint("shuffle_hash"), "f1", "left_semi").dropDuplicates(["f1"]), "sketches")
-    active = buckets.distinct().withColumn("label", F.col("f1"))
-    links, label = None, None
+    met = made.select(F.explode("keys").alias("key"), "f1", F.col("n").cast("int").alias("n"))
+    buckets = materialize(met.join(_mixed_buckets(met, "f1"), "key", "left_semi"), "buckets")
+    reps = materialize(buckets.select("f1").distinct().join(nodes, "f1").select("f1", F.col("rep").alias("_id")), "reps")
+    size = min(FILTER_BITS[1], max(FILTER_BITS[0], 1 << (16 * reps.count()).bit_length()))
+    sketches = materialize(_again(docs, reps.select("_id"), size, n, False, seed).join(reps.hint("shuffle_hash"), "f1", "left_semi").dropDuplicates(["f1"]), "sketches")
+    active, links, label = buckets.withColumn("label", F.col("f1")), [], None
     fits = f"{den} * least(n, m) >= {num} * greatest(n, m)"
     for r in range(rounds + 1):
-        pairs = _star(active, F.xxhash64("f1", F.lit(r))).filter(fits).select("a", "b").distinct() if r < rounds else _tiles(active, sketches, bands)
-        new = materialize(verified(pairs, sketches, docs, reps, n, bands, seed), "links")
-        links = new if links is None else links.unionByName(new)
-        label = components(links)
+        pairs = _star(active, F.xxhash64("f1", F.lit(r))).filter(fits).select("a", "b").distinct() if r < rounds else _tiles(active.distinct(), sketches, bands)
+        links.append(verified(pairs, sketches, docs, reps, size, n, bands, seed))
+        before, label = label, components(functools.reduce(DataFrame.unionByName, links))
+        if before is not None:
+            discard(before)
         if r < rounds:
-            named = buckets.distinct().join(label, F.col("f1") == F.col("node"), "left").select("key", "f1", "n", F.coalesce("label", "f1").alias("label"))
-            both = Window.partitionBy("key")
-            active = named.withColumn("lo", F.min("label").over(both)).withColumn("hi", F.max("label").over(both)).filter("lo <> hi").drop("lo", "hi")
-            active = materialize(active, "active")
+            named = buckets.join(label, F.col("f1") == F.col("node"), "left").select("key", "f1", "n", F.coalesce("label", "f1").alias("label"))
+            before, active = active, materialize(named.join(_mixed_buckets(named, "label"), "key", "left_semi"), "active")
+            if r:
+                discard(before)
+    discard(*links, buckets, reps, sketches, *[active] * (rounds > 0))
     rooted = nodes.join(label, F.col("f1") == F.col("node"), "left").select("f1", "rep", F.coalesce("label", "f1").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = rooted.join(least, "root").select("f1", "component_id")
