@@ -49,6 +49,71 @@ def test_secret_names_by_any_separator():
         assert S.sensitivity(name) > 0 and [text[a:b] for a, b, _ in S.lexed_spans(text)] == ["ab12cd34ef56gh78"]
 
 
+def test_secret_syntax():
+    v = "aB3dE5fG7hJ9kL1m"
+    found = lambda t: [t[a:b] for a, b, _ in S.lexed_spans(t)]
+    for text in (f'DB_SECRET_KEY          = "{v}"', f'pass_word = "{v}"', f'private.key: "{v}"', f'const auth_salt: string = "{v}";', f'pwd: str | None = "{v}"', f'var pwd string = "{v}"', f'os.environ["DB_PWD"] = "{v}"',
+                 f"#define PRIVATE_KEY {v}", f'setPassword("{v}")', f'getenv("DB_PWD", "{v}")', f'{{"name": "private_key", "value": "{v}"}}', f"<add key='db.pwd' value='{v}'/>", f"<privateKey>{v}</privateKey>", f"pwd = `{v}`", f'pwd = b"{v}"', f'if pwd == "{v}":',
+                 f"# don't\npwd = '{v}'", f"// pwd = '{v}'", f'/* """ */ pwd = "{v}"', f'pwd = ("aB3dE5f"\n       "G7hJ9kL1m")', f'secret_key = """{v}"""', f'db_pwd = first\nfirst = second\nsecond = "{v}"', f'K = "{v}"\nother.pwd = cfg.K\n', f"--db-pwd={v}"):
+        got = found(text)
+        assert v in got or got == ['aB3dE5f"\n       "G7hJ9kL1m'], text
+    assert found('secret_key = """\n' + v + '\n"""') == []  # with its line ends it is no single literal of a secret
+    assert found('secret_key = "correct-horse-battery-staple"') == ["correct-horse-battery-staple"]
+    assert found('P = "sk1_"\nprivate_key = P + "aB3dE"') == ["sk1_", "aB3dE"]
+    assert found(f"# K = '{v}'\ndb_pwd = K") == [] == found(f'colour = "{v}"  # salt') == found('pwd = "${DB_PWD_FROM_ENV_1}"')
+
+
+def test_secret_lexer_equals_plain_one_on_random_programs():
+    """Programs put together from statements whose strings, comments and pairs are known by construction."""
+    rng = random.Random(12)
+    names = ["db_pwd", "privateKey", "salt_auth", "colour", "count", "title", "x1", "y2"]
+    for _ in range(300):
+        lines, want, defined, uses = [], [], {}, []
+        for _ in range(rng.randint(1, 12)):
+            name, kind = rng.choice(names) + str(rng.randrange(10**6)), rng.randrange(6)
+            value = "".join(rng.choice("abcdefGHIJKL0123456789") for _ in range(20)) + "7z"
+            if kind == 0:
+                quote = rng.choice(['"', "'", "`", '"""'])
+                lines.append(f"{rng.choice(['', 'let ', 'export '])}{name}{rng.choice(['', ': str', ' '])} = {quote}{value}{quote}")
+                defined[name] = value
+            elif kind == 1:
+                lines.append(f"# it's {name} = '{value}'")
+                want += [value] if S.sensitivity(name) >= 0.6 else []
+            elif kind == 2:
+                lines.append(f'note("{rng.choice(["he said", "don't", "a = b", "/* no"])}")')
+            elif kind == 3 and defined:
+                uses.append((name, rng.choice(sorted(defined))))
+                lines.append(f"{name} = {uses[-1][1]}")
+            elif kind == 4:
+                lines.append(f'{name} = "{value[:11]}" + "{value[11:]}"')
+                want += [value[:11] + '" + "' + value[11:]] if S.sensitivity(name) >= 0.6 else []
+            else:
+                lines.append(rng.choice(["", "return x + 1", "// plain words", "/* one\n two */"]))
+        source = dict(uses)
+        rate = {}
+        for name in [*defined, *source]:
+            end = name
+            while end in source:
+                end = source[end]
+            rate[end] = max(rate.get(end, 0), S.sensitivity(name))
+        want += [v for n, v in defined.items() if rate[n] >= 0.6]
+        rng.shuffle(lines)
+        text = "\n".join(lines)
+        assert sorted(text[a:b] for a, b, _ in S.lexed_spans(text)) == sorted(want), text
+
+
+def test_secret_scan_is_linear():
+    import time
+
+    for unit in ("password = abcdefgh1\n", 'pwd = "aB3dE5fG7hJ9" + ', "pwd = x\nx = pwd\n", '"""', "'", "` ", "/* ", "<!-- ", "# '\n", 'pwd("', "pwd: a: b: ", "(\n"):
+        took = []
+        for n in (5_000, 20_000):
+            t = time.process_time()
+            S.scan(unit * n)
+            took.append(time.process_time() - t)
+        assert took[1] < 9 * max(took[0], 0.1), (unit, took)
+
+
 def test_secret_pairs_of_any_width():
     value = "ab12cd34ef56gh78"
     for text in (f'private_key{" " * 30}=\t\t{" " * 30}"{value}"', f"{'x' * 200}_pwd={value}", f"command: --db-pwd={value}", f"Environment=DB_PWD={value}.", f"note: db_pwd = '{value}'", f'run = "serve --db-pwd={value}"'):
