@@ -23,11 +23,24 @@ def test_re_pair_round_trip():
     rng = np.random.default_rng(2)
     for n, k in ((0, 5), (1, 5), (5, 3), (4000, 3), (60_000, 30), (60_000, 900)):
         seq = rng.zipf(1.5, n).clip(max=k).astype(np.uint32) if n else np.zeros(0, np.uint32)
-        s, rules, lengths = T.re_pair(seq, 1000, 2, rounds=6, least=4)
+        s, rules, lengths = T.re_pair(seq, 1000, 2)
         assert np.array_equal(T.expand(s, 1000, rules, lengths), seq)
         assert (s == 2).sum() == (seq == 2).sum() and (n < 4000 or len(s) < 0.7 * n)
 
 
+    s, rules, lengths = T.re_pair(np.tile(np.arange(3, 13, dtype=np.uint32), 12_800), 1000, 2)
+    assert len(s) < 40 and lengths.max() > 1000  # rounds go on until no pair is frequent
+
+
+def test_encoder_tells_pre_tokens_of_one_hash_apart():
+    a, b = "a", "b"
+    while len(a) < 4096:  # such words have one polynomial hash modulo 2**64, whatever its base
+        a, b = a + b, b + a
+    lib = Tokenizer.from_file(PATH)
+    for texts in ([f"{a} {b}"], [a, b], [b, a, f" {a} {b} word"]):
+        assert [list(x) for x in T.Encoder(PATH).encode_batch(texts)] == [x.ids for x in lib.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_files(spark, tmp_path):
     rng = random.Random(3)
     texts = {i: " ".join(rng.choice(["the", "and", "Zürich", "Ωmega", "#", "it's"]) for _ in range(rng.randrange(80))) for i in range(300)}

@@ -10,8 +10,9 @@ first symbol int64, last symbol int64); then int64 position of the index, int64
 n_rules, n_symbols; rules (left, right) uint32; expansion lengths uint32; symbols uint32. base: first nonterminal. A document's end id
 ends its symbols: no pair spans two documents.
 
-The tokenizer's own encode of each distinct pre-token is remembered (BPE never crosses pre-tokens), under a 64-bit hash of it; texts with
-characters beyond Latin-1 or with a special token's string go to the tokenizer as they are.
+The tokenizer's own encode of each distinct pre-token is remembered (BPE never crosses pre-tokens), under its bytes. Hashes only tell which
+pre-tokens of a stretch may be equal; all are compared with the one that stands for them, and a stretch with two of one hash, like texts with
+characters beyond Latin-1 or with a special token's string, goes to the tokenizer as it is.
 """
 
 from __future__ import annotations
@@ -79,10 +80,14 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)  # byte-level: a character of a token's string is a byte
+        for token, i in vocabulary.items():
+            self.n_bytes[i] = len(token)
         self._forget()
 
     def _forget(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.slot: dict[bytes, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.at, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
@@ -93,23 +98,44 @@ class Encoder:
             cls._of[path] = cls(path)
         return cls._of[path]
 
-    def _learn(self, keys: list[int], pre_tokens: list[str]) -> None:
-        for at in range(0, len(keys), 20_000):
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(pre_tokens[at : at + 20_000], add_special_tokens=False)]
-            n = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((x for i in ids for x in i), np.uint32, int(n.sum()))
-            first = len(self.slot)
-            self.slot.update(zip(keys[at : at + 20_000], range(first, first + len(ids)), strict=True))
-            while len(self.flat) < self.used + len(flat):
-                self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-            while len(self.at) < len(self.slot):
-                self.at, self.size = np.concatenate((self.at, np.zeros_like(self.at))), np.concatenate((self.size, np.zeros_like(self.size)))
-            self.flat[self.used : self.used + len(flat)] = flat
-            self.at[first : len(self.slot)], self.size[first : len(self.slot)] = self.used + np.cumsum(n) - n, n
-            self.used += len(flat)
-
-    def _split(self, data: bytes, cuts: list[int]) -> list[np.ndarray]:
-        """The ids of texts that stand one after the other in data, of at most CHUNK characters; cuts: where they end."""
+    def _ids_of(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pre_tokens: list[bytes]) -> None:
+        """Encodes pre-tokens. Those of a space and letters are joined, as the tokenizer splits them at the spaces again, and told apart by their ids' bytes."""
+        plain, others = [], []
+        for x in pre_tokens:
+            (plain if x[0] == 0x20 and x[1:].decode("latin-1").isalpha() else others).append(x)
+        for at in range(0, len(others), 20_000):
+            part = others[at : at + 20_000]
+            ids = self._ids_of([x.decode("latin-1") for x in part])
+            self._keep(part, np.fromiter((x for i in ids for x in i), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
+        for at in range(0, len(plain), 20_000):
+            part = plain[at : at + 20_000]
+            texts = [x.decode("latin-1") for x in part]
+            flat = np.fromiter((x for i in self._ids_of(["".join(texts[k : k + 500]) for k in range(0, len(texts), 500)]) for x in i), np.uint32)
+            ends = np.cumsum([len(t.encode()) for t in texts])
+            upto = np.cumsum(self.n_bytes[flat])
+            last = np.searchsorted(upto, ends)
+            if len(upto) and last[-1] < len(upto) and np.array_equal(upto[last], ends) and upto[-1] == ends[-1]:
+                self._keep(part, flat, np.diff(np.concatenate(([-1], last))))
+            else:
+                ids = self._ids_of(texts)
+                self._keep(part, np.fromiter((x for i in ids for x in i), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
+
+    def _keep(self, pre_tokens: list[bytes], flat: np.ndarray, n: np.ndarray) -> None:
+        first = len(self.slot)
+        self.slot.update(zip(pre_tokens, range(first, first + len(n)), strict=True))
+        while len(self.flat) < self.used + len(flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        while len(self.at) < len(self.slot):
+            self.at, self.size = np.concatenate((self.at, np.zeros_like(self.at))), np.concatenate((self.size, np.zeros_like(self.size)))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.at[first : len(self.slot)], self.size[first : len(self.slot)] = self.used + np.cumsum(n) - n, n
+        self.used += len(flat)
+
+    def _split(self, data: bytes, cuts: list[int]) -> list[np.ndarray] | None:
+        """The ids of texts that stand one after the other in data, of at most CHUNK characters; cuts: where they end. None if two pre-tokens have one hash."""
         c = np.frombuffer(data, np.uint8)
         begin = np.zeros(len(c), bool)
         lo = 0
@@ -121,11 +147,14 @@ class Encoder:
         ends = np.append(first[1:], len(c))
         total = np.concatenate(([U(0)], np.cumsum(_BYTE[c] * _POWER[: len(c)], dtype=U)))
         key = mix((total[ends] - total[first]) * _UNPOWER[first] ^ (ends - first).astype(U) << U(48))
-        distinct, where, inverse = np.unique(key, return_index=True, return_inverse=True)
-        keys, slot = distinct.tolist(), self.slot
-        if new := [i for i, x in enumerate(keys) if x not in slot]:
-            self._learn([keys[i] for i in new], [data[first[where[i]] : ends[where[i]]].decode("latin-1") for i in new])
-        code = np.fromiter(map(slot.__getitem__, keys), np.int64, len(keys))[inverse]
+        _, where, inverse = np.unique(key, return_index=True, return_inverse=True)
+        like, size = first[where[inverse]], ends - first
+        if not (np.array_equal(size, size[where[inverse]]) and np.array_equal(c, c[np.arange(len(c)) + np.repeat(like - first, size)])):
+            return None
+        own, slot = [data[a:b] for a, b in zip(first[where].tolist(), ends[where].tolist(), strict=True)], self.slot
+        if new := [x for x in own if x not in slot]:
+            self._learn(new)
+        code = np.fromiter(map(slot.__getitem__, own), np.int64, len(own))[inverse]
         n = self.size[code]
         stop = np.cumsum(n)
         ids = self.flat[np.arange(stop[-1] if len(stop) else 0) + np.repeat(self.at[code] - stop + n, n)]
@@ -138,12 +167,16 @@ class Encoder:
         if len(self.slot) > CACHE:
             self._forget()
 
+        def whole(t: str) -> np.ndarray:
+            return np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
+
         def flush() -> None:
             nonlocal size
             if held:
                 cuts = np.cumsum([len(d) for _, d in held]).tolist()
-                for (i, _), ids in zip(held, self._split(b"".join(d for _, d in held), cuts), strict=True):
-                    out[i] = ids
+                split = self._split(b"".join(d for _, d in held), cuts)
+                for k, (i, _) in enumerate(held):
+                    out[i] = split[k] if split else whole(texts[i])
                 held.clear()
                 size = 0
 
@@ -153,7 +186,7 @@ class Encoder:
             except UnicodeEncodeError:
                 d = None
             if d is None or len(d) > CHUNK or any(x in t for x in self.special):
-                out[i] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32)
+                out[i] = whole(t)
                 continue
             if size + len(d) > CHUNK:
                 flush()
@@ -163,14 +196,13 @@ class Encoder:
         return out
 
 
-def re_pair(seq: np.ndarray, base: int, fence: int, rounds: int = 3, least: int = 32, most: int = 8192) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, rules, lengths): in each round the most frequent pairs, at least `least` times each, become nonterminals from base on.
+def re_pair(seq: np.ndarray, base: int, fence: int, least: int = 4, most: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, rules, lengths): round by round the most frequent pairs, `most` at once, become nonterminals from base on, until no pair stands
+    `least` times: a rule takes 12 bytes and saves 4 for each use, so rarer pairs gain nothing.
     Ids equal to fence take no part. Overlapping occurrences are taken from the left, every second one."""
     bins, s, rules, lengths = 1 << 20, seq.astype(np.uint32), [], []
     size_of = np.ones(base, np.uint32)
-    for _ in range(rounds):
-        if len(s) < 2:
-            break
+    while len(s) > 1:
         a, b = s[:-1], s[1:]
         h = (a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA77)) >> np.uint32(12)
         count = np.bincount(h, minlength=bins)
