@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 
@@ -7,16 +8,41 @@ from twinsift.llm import decontaminate as D
 DOC = "doc_id long, text string, item_id string"
 
 
+def plain_words(text):
+    return re.findall(r"\w+", text.lower())
+
+
+def plain_parts(text):
+    """Question and answer: up to the last question mark that something follows, or else all but the last sentence."""
+    text = text.rstrip()
+    head, mark, tail = text.rpartition("?")
+    if mark and tail:
+        return plain_words(head), plain_words(tail)
+    sentences = re.split(r"(?<=[.!?])\s+", text)
+    return plain_words(" ".join(sentences[:-1])) or plain_words(text), plain_words(sentences[-1]) if len(sentences) > 1 else []
+
+
 def brute(text, items, overlap=0.8, n=5):
-    w, out = D.words(text), []
+    def grams(w):
+        k = min(n, len(w))
+        return [tuple(w[i : i + k]) for i in range(len(w) - k + 1)] if w else []
+
+    w, out = plain_words(text or ""), []
     for i, t in items:
-        q, a = (D.grams(x, n) for x in D.question_answer(t))
-        have = {g for m in {len(x[0]) for x in (q, a) if x} for g in D.grams(w, m)} if w else set()
-        if q and sum(g in have for g in q) >= overlap * len(q) and (not a or sum(g in have for g in a) >= overlap * len(a)):
+        q, a = map(grams, plain_parts(t))
+        shares = [sum(any(tuple(w[j : j + len(g)]) == g for j in places.get(g[0], ())) for g in x) / len(x) for x in (q, a) if x] if (places := positions(w)) and q else [0]
+        if min(shares) >= overlap:
             out.append(i)
     return out
 
 
+def positions(w):
+    out = {}
+    for j, x in enumerate(w):
+        out.setdefault(x, []).append(j)
+    return out
+
+
 def corpus():
     rng = random.Random(7)
     w = [f"w{int(rng.expovariate(0.02))}" for _ in range(3000)]
@@ -41,8 +67,8 @@ def test_decontaminate_equals_brute_force(spark):
     docs = spark.createDataFrame([(d, t, "x") for d, t in rows], DOC)
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, doc_id string")
     want = sorted((d is not None, d or 0, i) for d, t in rows for i in brute(t, [x for x in items if x[0] is not None and x[1]]))
-    for most in (20_000, 7):
-        got = sorted((r.doc_id is not None, r.doc_id or 0, r.item_id) for r in D.decontaminate(docs, bench, most_items=most).collect())
+    for most in ({}, {"most_items": 7}, {"most_bytes": 60_000}):
+        got = sorted((r.doc_id is not None, r.doc_id or 0, r.item_id) for r in D.decontaminate(docs, bench, **most).collect())
         assert got == want and len(want) > 60
     kept = {r.doc_id for r in D.drop_contaminated(docs, bench).collect()}
     assert kept == {d for d, _ in rows} - {d for ok, d, _ in want if ok}

@@ -8,8 +8,8 @@ passages of a document at once, the sum of their terms' block maxima; then, for
 the postings with block maxima. Retrieved items are verified on the words: the 5-word n-grams of its question and of its
 answer that the passage holds.
 
-Items are grouped by length (a passage fits its group), and the index is sent to the executors only below a stated size;
-a larger set of items is cut into parts, each a query run of its own over the documents.
+Items are grouped by length (a passage fits its group). Block maxima stand beside the postings, only for blocks that hold a term. The index is sent
+to the executors only below a stated number of bytes; a larger set of items is cut into parts, each a query run of its own over the documents.
 """
 
 from __future__ import annotations
@@ -70,9 +70,16 @@ class Index:
         self.items = [np.array([k for k, _ in p]) for p in postings.values()]
         self.impact = [np.array([x for _, x in p]) for p in postings.values()]
         self.n_blocks = (len(items) + BLOCK - 1) // BLOCK
-        self.most = np.zeros((len(postings) + 1, self.n_blocks), np.float32)  # block maxima of each term; the last row: no term
-        for i, (k, x) in enumerate(zip(self.items, self.impact, strict=True)):
-            np.maximum.at(self.most[i], k // BLOCK, x)
+        blocks, most = [], []  # of each term, the blocks that hold it and its largest impact in each
+        for k, x in zip(self.items, self.impact, strict=True):
+            first = np.flatnonzero(np.concatenate(([True], np.diff(k // BLOCK) > 0)))
+            blocks.append((k[first] // BLOCK).astype(np.int32))
+            most.append(np.maximum.reduceat(x, first).astype(np.float32))
+        self.from_ = np.concatenate(([0], np.cumsum([len(b) for b in blocks], dtype=np.int64)))
+        self.blocks, self.most = np.concatenate(blocks), np.concatenate(most)
+
+    def nbytes(self) -> int:
+        return sum(x.nbytes + 120 for x in (*self.items, *self.impact)) + self.blocks.nbytes + self.most.nbytes + sum(len(t) + 150 for t in self.terms)
 
     def passages(self, ids: np.ndarray, threshold: float) -> list[tuple[int, int, int]]:
         """(from, to, block) of passages and blocks of items whose upper bounds reach the threshold. ids: terms of a document's words, -1 for none."""
@@ -86,10 +93,10 @@ class Index:
         step_of, term = key // (len(self.terms) + 1), key % (len(self.terms) + 1)
         n_steps = (n + step - 1) // step
         out = []
-        if len(key) * self.n_blocks <= 1 << 22:
-            bound = np.zeros((n_steps + 1, self.n_blocks), np.float32)
-            first = np.flatnonzero(np.concatenate(([True], step_of[1:] != step_of[:-1])))
-            bound[step_of[first]] = np.add.reduceat(self.most[term], first, axis=0)
+        number = self.from_[term + 1] - self.from_[term]
+        if max(n_steps * self.n_blocks, int(number.sum())) <= 1 << 22:
+            entry = np.arange(int(number.sum())) + np.repeat(self.from_[term] - np.cumsum(number) + number, number)
+            bound = np.bincount(np.repeat(step_of, number) * self.n_blocks + self.blocks[entry], self.most[entry], (n_steps + 1) * self.n_blocks).reshape(n_steps + 1, self.n_blocks)
             two = bound[:-1] + bound[1:]
             for s, block in zip(*np.nonzero(two >= threshold - 1e-4), strict=True):
                 out.append((int(s) * step, min(n, int(s + 2) * step), int(block)))
@@ -109,7 +116,7 @@ class Index:
             k = self.items[t]
             a, b = np.searchsorted(k, (lo, hi))
             if a < b:
-                lists.append([k[a:b].tolist(), self.impact[t][a:b].tolist(), float(self.most[t, block]), 0])
+                lists.append([k[a:b].tolist(), self.impact[t][a:b].tolist(), float(self.most[self.from_[t] + np.searchsorted(self.blocks[self.from_[t] : self.from_[t + 1]], block)]), 0])
         out = []
         while lists:
             lists.sort(key=lambda x: x[0][x[3]])
@@ -143,6 +150,7 @@ class Items:
     """A part of the benchmark: its words, the indexes by length, and what verification needs."""
 
     def __init__(self, rows: list[tuple[int | None, str]], n: int):
+        self.rows, self.n = rows, n
         self.of, self.item_id = {}, [i for i, _ in rows]  # by row: ids may repeat or be null
         self.groups: dict[int, list[tuple[int, list[bytes]]]] = defaultdict(list)
         for i, (_, text) in enumerate(rows):
@@ -163,6 +171,18 @@ class Items:
             self.local.append(local)
         return self
 
+    def nbytes(self) -> int:
+        """About the bytes that a worker holds of this part."""
+        return sum(x.nbytes() for x in self.indexes) + sum(x.nbytes for x in self.local) + sum(250 * (len(q) + len(a)) for q, a in self.of.values()) + sum(2 * len(t) + 100 for _, t in self.rows)
+
+    def halves(self) -> list[Items]:
+        """Two parts of about equal size; rows of one id stay together. One if there is but one id."""
+        cuts = [k for k in range(1, len(self.rows)) if self.rows[k][0] is None or self.rows[k][0] != self.rows[k - 1][0]]
+        if not cuts:
+            return [self]
+        cut = min(cuts, key=lambda k: abs(2 * k - len(self.rows)))
+        return [Items(self.rows[:cut], self.n), Items(self.rows[cut:], self.n)]
+
     def matches(self, text: str | None, threshold: float, overlap: float) -> list[tuple[int | None, float, float, float]]:
         """(item_id, best score, question overlap, answer overlap) of items that the text holds; rows of one id are one item, those without an id one each."""
         w = words(text)
@@ -207,19 +227,27 @@ def parts(benchmark: DataFrame, n: int, most_items: int, most_chars: int):
         yield Items(held, n)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.7, overlap: float = 0.8, n: int = 5, most_items: int = 20_000, most_chars: int = 8_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.7, overlap: float = 0.8, n: int = 5, most_items: int = 20_000, most_chars: int = 8_000_000, most_bytes: int = 256 << 20) -> DataFrame:
     """A row for each document and test item that it holds: doc_id, item_id, score, question_overlap, answer_overlap.
 
     docs: doc_id, text; benchmark: item_id, text. score: the passage's BM25 score as a share of the item's own. Words are \\w+ in lower
     case. Null or empty texts hold nothing; items without words or text are not searched; texts that share an item_id are all searched and give
     one row, of the best; each item without an id gives a row with a null item_id; repeated documents give repeated rows; extra columns are
-    ignored. most_items, most_chars: bound of an index sent to the executors, passed only by the texts of one item_id.
+    ignored; empty tables give no rows; texts of any length are searched whole. most_items, most_chars: bound of the items read at once; most_bytes:
+    bound of an index sent to the executors, larger ones are halved first. Only the texts of one item_id may pass them.
     """
     out = None
     for items in parts(benchmark, n, most_items, most_chars):
-        got = _run(docs, items, threshold, overlap)
-        out = got if out is None else out.unionByName(got)
-    return out if out is not None else _run(docs, Items([], n), threshold, overlap)
+        df, total = _frequencies(docs, frozenset(items.vocabulary))
+        left = [items]
+        while left:
+            part = left.pop().weigh(df, total)
+            if part.nbytes() > most_bytes and len(halves := part.halves()) == 2:
+                left += halves[::-1]
+                continue
+            got = _run(docs, part, threshold, overlap)
+            out = got if out is None else out.unionByName(got)
+    return out if out is not None else _run(docs, Items([], n).weigh({}, 0), threshold, overlap)
 
 
 def _frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> tuple[dict[bytes, int], int]:
@@ -238,7 +266,7 @@ def _frequencies(docs: DataFrame, vocabulary: frozenset[bytes]) -> tuple[dict[by
 
 
 def _run(docs: DataFrame, items: Items, threshold: float, overlap: float) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(items.weigh(*_frequencies(docs, frozenset(items.vocabulary))))
+    sent = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches):
         items = sent.value
