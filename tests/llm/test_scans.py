@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -141,13 +142,31 @@ def test_license_blocks_equal_brute_force():
         templates = {f"t{k}": " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for k in range(3)}
         m = L.Matcher(templates, {x.encode(): rng.randrange(5) for x in "abcdefgh"}, 0.7)
         w = [rng.choice("abcdefghijklm").encode() for _ in range(rng.randint(0, 40))]
-        got = {x for x, _, _ in m.blocks(w)}
-        want = set()
-        for label, size, have, _, need in m.of:
-            starts = range(max(1, len(w) - size + 1))
-            if any(len(have & set(w[s : s + size])) >= need for s in starts):
-                want.add(label)
-        assert got == want
+        got = {(x, s) for x, _, _, lo, hi in m.blocks(w) for s in range(lo, hi + 1)}
+        want = {}
+        for label, text in templates.items():
+            words, have = text.split(), {t.encode() for t in text.split()}
+            for s in range(max(1, len(w) - len(words) + 1)):
+                if w and len(have & set(w[s : s + len(words)])) >= max(1, math.ceil(0.7 * len(have) - 1e-9)):
+                    want[label, s] = len(have & set(w[s : s + len(words)])) / len(have)
+        assert got == set(want)
+        for label, s, c, lo, hi in m.blocks(w):
+            assert c == want[label, s] == max(want[label, x] for x in range(lo, hi + 1)) and (label, lo - 1) not in want and (label, hi + 1) not in want
+
+
+def test_license_base_and_texts():
+    import time
+
+    took = []
+    for n in (10_000, 40_000):
+        t = time.process_time()
+        assert len(L.base_places(L.tokens("cc by " * n), L.BASE)) == n
+        took.append(time.process_time() - t)
+    assert took[1] < 9 * max(took[0], 0.05)
+    m = L.Matcher(L.TEMPLATES, {}, 0.85)
+    for label, text in L.TEMPLATES.items():
+        w = L.tokens("Some words before. " + text.replace("copyright", "copyleft") + " And words behind.")
+        assert label in {x[0] for x in m.blocks(w)}
 
 
 def test_html(spark):

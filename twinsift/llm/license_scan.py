@@ -6,17 +6,20 @@ template's distinct tokens stand in it. Tokens are ordered by document frequency
  - prefix filter: a block that holds t of m tokens holds one of the m - t + 1 rarest, so only windows that cover such an
    occurrence are looked at (words that are no prefix token of any template cost one look-up);
  - positional filter: a window with too few template tokens around the occurrence is dropped before sets are compared.
-Every qualifying block is found; overlapping blocks of a template count once, as their best.
+Every qualifying block is found: blocks that begin at consecutive words are given as one, from the first start to the last, with the best of
+them.
 """
 
 from __future__ import annotations
 
-import bisect
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import settle
+
 # Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 # Licence notices and their labels.
@@ -28,6 +31,18 @@ TEMPLATES = {
     "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3",
     "gpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "isc-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+        THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "mit-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+        The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "bsd-2-clause-text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+        1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+        THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "apache-2.0-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+        Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions""",
     "mit": "Released under the MIT License",
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
@@ -48,9 +63,11 @@ def base_places(w: list[bytes], phrases: dict[str, str]) -> list[tuple[int, str]
     line = b" " + b" ".join(w) + b" "
     out = []
     for phrase, label in phrases.items():
-        want, at = b" " + phrase.encode() + b" ", 0
+        want, at, n, last = b" " + phrase.encode() + b" ", 0, 0, 0
         while (at := line.find(want, at)) >= 0:
-            out.append((line.count(b" ", 0, at), label))
+            n += line.count(b" ", last, at)
+            last = at
+            out.append((n, label))
             at += 1
     return sorted(out)
 
@@ -68,8 +85,8 @@ class Matcher:
                 self.index.setdefault(t, []).append(len(self.of))
             self.of.append((label, len(w), frozenset(order), len(order), need))
 
-    def blocks(self, w: list[bytes]) -> list[tuple[str, int, float]]:
-        """(label, start, containment) of the best block of each run of qualifying windows."""
+    def blocks(self, w: list[bytes]) -> list[tuple[str, int, float, int, int]]:
+        """(label, best start, containment, first start, last start) of each run of qualifying windows that begin at consecutive words."""
         hits: dict[int, list[int]] = {}
         index = self.index
         for i in [i for i, t in enumerate(w) if t in index]:
@@ -78,29 +95,41 @@ class Matcher:
         out = []
         for k, at in hits.items():
             label, size, have, m, need = self.of[k]
+            end = max(0, len(w) - size)
             if len(w) < need:
                 continue
-            best, done = None, -1
+            spans: list[list[int]] = []  # starts of windows that cover a prefix token
             for i in at:
-                lo, hi = max(0, i - size + 1), min(i, max(0, len(w) - size))
-                near = [j for j in range(lo, min(len(w), i + size)) if w[j] in have]
-                if len(near) < need:
-                    continue
-                for s in sorted({max(lo, min(j, hi)) for j in near} | {max(lo, min(hi, j - size + 1)) for j in near}):
-                    inside = near[bisect.bisect_left(near, s) : bisect.bisect_left(near, s + size)]
-                    if len(inside) < need:
-                        continue
-                    got = len({w[j] for j in inside})
-                    if got >= need:
-                        if best and s <= done + size:
-                            best = max(best, (got / m, -s))
+                lo, hi = max(0, i - size + 1), min(i, end)
+                if spans and lo <= spans[-1][1] + 1:
+                    spans[-1][1] = hi
+                else:
+                    spans.append([lo, hi])
+            for lo, hi in spans:
+                near = [j for j in range(lo, min(len(w), hi + size)) if w[j] in have]
+                if not any(b - a < size for a, b in zip(near, near[need - 1 :], strict=False)):
+                    continue  # too few template tokens around the occurrences
+                count = Counter(w[j] for j in near if j < lo + size)
+                run: list[int] = []  # first start, last start, best count, best start
+                for s in range(lo, hi + 1):
+                    if s > lo:
+                        if (t := w[s - 1]) in count:
+                            count[t] -= 1
+                            if not count[t]:
+                                del count[t]
+                        if s + size <= len(w) and (t := w[s + size - 1]) in have:
+                            count[t] += 1
+                    if (got := len(count)) >= need:
+                        if run and run[1] == s - 1:
+                            run[1] = s
+                            if got > run[2]:
+                                run[2:] = got, s
                         else:
-                            if best:
-                                out.append((label, -best[1], best[0]))
-                            best = (got / m, -s)
-                        done = max(done, s)
-            if best:
-                out.append((label, -best[1], best[0]))
+                            if run:
+                                out.append((label, run[3], run[2] / m, run[0], run[1]))
+                            run = [s, s, got, s]
+                if run:
+                    out.append((label, run[3], run[2] / m, run[0], run[1]))
         return sorted(out, key=lambda x: (x[1], x[0]))
 
 
@@ -122,14 +151,16 @@ def frequencies(docs: DataFrame, templates: dict[str, str]) -> dict[bytes, int]:
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None, threshold: float = 0.85) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_words, places array<struct<start, label>> of the base phrases,
-    blocks array<struct<label, start, containment>> of the templates, whole texts.
+    blocks array<struct<label, start, containment, first, last>> of the templates, whole texts: blocks begin at every word from first to last, the
+    best (of equal ones, the first) at start.
 
-    A null text counts as empty; null ids stay; extra columns are ignored; an empty table gives no rows.
+    A null text counts as empty; null ids and repeated rows stay, each a row; texts of any length are read whole, in linear time a template; extra
+    columns are ignored; an empty table gives no rows.
     """
     templates, phrases = TEMPLATES if templates is None else templates, BASE if phrases is None else phrases
     matcher = Matcher(templates, frequencies(docs, templates), threshold)
     place = pa.list_(pa.struct([("start", pa.int64()), ("label", pa.string())]))
-    block = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("containment", pa.float64())]))
+    block = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("containment", pa.float64()), ("first", pa.int64()), ("last", pa.int64())]))
 
     def run(batches):
         for b in batches:
@@ -138,11 +169,11 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, phras
                 w = tokens(t.as_py())
                 n.append(len(w))
                 places.append([{"start": s, "label": x} for s, x in base_places(w, phrases)])
-                blocks.append([{"label": x, "start": s, "containment": c} for x, s, c in matcher.blocks(w)])
+                blocks.append([{"label": x, "start": s, "containment": c, "first": lo, "last": hi} for x, s, c, lo, hi in matcher.blocks(w)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(places, place), pa.array(blocks, block)], names=["doc_id", "n_words", "places", "blocks"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, n_words long, places array<struct<start long, label string>>, blocks array<struct<label string, start long, containment double>>")
+        run, "doc_id long, n_words long, places array<struct<start long, label string>>, blocks array<struct<label string, start long, containment double, first long, last long>>")
 
 
 def digest(scanned: DataFrame) -> DataFrame:
