@@ -36,6 +36,8 @@ from .token_output import open_store
 LONG = 256
 #: Hashes that a task remembers as sent; beyond, some chunks are sent again and grouped after the shuffle.
 SEEN = 1 << 19
+#: Partitions of the lattice for each of the session's shuffle partitions.
+FINER = 8
 #: Codes that are hashed at once.
 SPAN = 1 << 18
 UNKNOWN = 1_000_000.0
@@ -178,8 +180,8 @@ def chunks(docs: DataFrame, model: str) -> DataFrame:
             settle()
 
     found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, chunk string")
-    # a number of partitions of their own: the lattice makes a hundred rows of each, which their bytes do not show
-    return found.repartition(max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "h").dropDuplicates(["h", "chunk"])
+    # a number of partitions of their own: the lattice makes a hundred rows of each, which their bytes do not show, and sorts them by chunk in memory
+    return found.repartition(FINER * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "h").dropDuplicates(["h", "chunk"])
 
 
 def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
@@ -414,8 +416,8 @@ def chunks(docs: DataFrame, model: str) -> DataFrame:
             settle()
 
     found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, chunk string")
-    # a number of partitions of their own: the lattice makes a hundred rows of each, which their bytes do not show
-    return found.repartition(max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "h").dropDuplicates(["h", "chunk"])
+    # a number of partitions of their own: the lattice makes a hundred rows of each, which their bytes do not show, and sorts them by chunk in memory
+    return found.repartition(FINER * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "h").dropDuplicates(["h", "chunk"])
 
 
 def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
