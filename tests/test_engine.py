@@ -184,3 +184,26 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema(b.schema).parquet(str(tmp_path / "in"))
     compare_stream(stream, Side(b), Settings(), lambda i, r: got.append((i, r)), str(tmp_path / "c")).awaitTermination()
     assert len(got) == 1 and got[0][1].keys.matched == 100 and got[0][1].content.changed > 20
+
+
+def test_mixed_typed_keys_follow_the_policy(spark):
+    b = Side(spark.createDataFrame([(1, "x"), (2, "y")], "k long, v string"), ("k",))
+    c = Side(spark.createDataFrame([("1", "x")], "k string, v string"), ("k",), name="candidate")
+    with pytest.raises(ComparisonError):
+        compare(b, c, Settings(keyFields=("k",)))
+    r = compare(b, c, Settings(keyFields=("k",), mixedKeyTypes=MixedKeyPolicy.COMPARE))
+    assert (r.keys.matched, r.keys.added, r.keys.removed) == (0, 1, 2)
+    d = Side(spark.createDataFrame([(1.0, "x"), (9007199254740992.0, "z")], "k double, v string"), ("k",), name="candidate")
+    e = Side(spark.createDataFrame([(1, "x"), (9007199254740993, "z")], "k long, v string"), ("k",))
+    r = compare(e, d, Settings(keyFields=("k",)))
+    assert (r.keys.matched, r.keys.added, r.keys.removed, r.content.unchanged) == (1, 1, 1, 1)
+
+
+def test_documents_are_looked_up_sampled_and_named_when_broken(spark):
+    docs = lambda *xs: Side(spark.createDataFrame([(x,) for x in xs], "doc string"), ("_id",), "doc")
+    side = docs('{"_id": 1, "a": 2}', '{"_id": "1", "a": 3}', '{"_id": 2}')
+    assert [r[0] for r in side.lookup(docs('{"_id": 1.0}', '{"_id": 9}')).df.collect()] == ['{"_id": 1, "a": 2}']
+    assert [r[0] for r in side.lookup(spark.createDataFrame([("1",)], "_id string")).df.collect()] == ['{"_id": "1", "a": 3}']
+    assert side.sample(2, "s").count() == 2 and side.sample(9, "s").count() == 3 and side.keys_only().count() == 3
+    with pytest.raises(Exception, match="baseline: a document can't be read"):
+        docs('{"_id": 1', "{}").documents().collect()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import canon
 from .functions.expressions import hit, wilson
 from .model import AtLeast, Below, Settings
-from .operators import history, maps, pairs, summary
+from .operators import history, maps, pairs, rates, summary
 from .operators.generate import mutate
 from .paths import PathMatcher
 from .plans.compare import compare, resolve_mode
@@ -174,6 +174,43 @@ def cross_type_key_join(spark, sf):
     return pairs.document_pairs(b.documents(), c.documents(), Settings()).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""SELECT CASE WHEN o_orderkey % 4 = 3 THEN 'changed' ELSE 'unchanged' END AS status, o_orderkey % 4 AS kind, count(*) AS n FROM orders GROUP BY ALL""")
+def numeric_equality(spark, sf):
+    """Equal numbers of other types (float and double, long and double, decimals of other scales, decimal and double), and in each fourth row one that differs in its last digit."""
+    o, off = orders(spark, sf).select("o_orderkey"), F.when(F.col("o_orderkey") % 4 == 3, 1).otherwise(0)
+    key = F.col("o_orderkey")
+    b = o.select(key, (key / 8).cast("float").alias("f"), (key * 1000003 + 4503599627370496).alias("l"), (F.lit("10000000000000000000000000.").cast("decimal(38,0)") + key).cast("decimal(38,0)").alias("w"), (key / 10).cast("decimal(20,5)").alias("d"), F.lit("1e-20").cast("double").alias("s"))
+    c = o.select(key, (key / 8).cast("double").alias("f"), (key * 1000003 + 4503599627370496 + off).cast("double").alias("l"), (F.lit("10000000000000000000000000").cast("decimal(30,0)") + key).cast("decimal(30,0)").alias("w"), (key / 10).alias("d"), F.lit("0.00000000000000000001").cast("decimal(38,20)").alias("s"))
+    p = pairs.typed_pairs(Side(b, ("o_orderkey",)), Side(c, ("o_orderkey",)), SETTINGS)
+    return p.groupBy("status", (F.col("_kvalue").cast("long") % 4).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'unchanged' ELSE 'removed' END AS status, count(*) AS n FROM orders GROUP BY 1 UNION ALL SELECT 'added', count(*) FROM orders WHERE o_orderkey % 2 = 1 HAVING count(*) > 0")
+def typed_cross_type_keys(spark, sf):
+    """Long keys against double ones, beyond the doubles that hold every integer: odd keys have no equal double."""
+    big = (F.lit(9007199254740992) + F.col("o_orderkey")).alias("o_orderkey")
+    even = (F.lit(9007199254740992.0) + (F.col("o_orderkey") - F.col("o_orderkey") % 2).cast("double") + F.when(F.col("o_orderkey") % 2 == 1, 1e12).otherwise(0.0)).alias("o_orderkey")
+    b, c = (orders(spark, sf).select(k, "o_orderstatus") for k in (big, even))
+    return pairs.typed_pairs(Side(b, ("o_orderkey",)), Side(c, ("o_orderkey",)), SETTINGS).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT 'o_orderstatus' AS path, 'STRING' AS type, count(*) AS docs FROM orders WHERE o_orderkey % 3 = 0")
+def json_lookup(spark, sf):
+    """Documents looked up by their keys, and their structure."""
+    o = orders(spark, sf)
+    side = Side(_json_orders(o), doc="doc").lookup(Side(_json_orders(o.filter("o_orderkey % 3 = 0").withColumn("k", F.col("o_orderkey").cast("double")), "k"), doc="doc"))
+    found = side.documents().select(F.get_json_object("_doc", "$.s").alias("s"))
+    return found.agg(F.lit("o_orderstatus").alias("path"), F.lit("STRING").alias("type"), F.count("s").alias("docs")).select("path", "type", "docs")
+
+
+@query("SELECT unchanged, changed, expected, round(500.0 * unchanged / n) AS unchanged_estimate, round(500.0 * (unchanged + expected) / n) - round(500.0 * unchanged / n) AS expected_estimate FROM (SELECT count(*) FILTER (o_orderkey % 5 > 1) AS unchanged, count(*) FILTER (o_orderkey % 5 <= 1) AS changed, count(*) FILTER (o_orderkey % 5 = 0) AS expected, count(*) AS n FROM orders)")
+def sample_content(spark, sf):
+    """Estimated counts of a sample that stands for 500 matched documents."""
+    r = orders(spark, sf).agg(*[F.count(F.when(F.expr(e), 1)).alias(n) for n, e in (("unchanged", "o_orderkey % 5 > 1"), ("changed", "o_orderkey % 5 <= 1"), ("expected", "o_orderkey % 5 = 0"))]).first()
+    m = rates.sample_content(r.unchanged, r.changed, r.expected, 500.0)
+    return one_row(spark, unchanged=r.unchanged, changed=r.changed, expected=r.expected, unchanged_estimate=float(m.unchanged), expected_estimate=float(m.changedExpectedOnly))
+
+
 @query(CTE + "SELECT k, status FROM s")
 def content_classification(spark, sf):
     return order_pairs(spark, sf).select(F.col("_key.k0").alias("k"), "status")

@@ -24,27 +24,34 @@ def type_name(t: T.DataType) -> str:
     return TYPE_NAMES.get(t.simpleString(), "STRING")
 
 
+def number_text(c: Column, t: T.DataType) -> Column:
+    """A number as one text for each value, whatever its type: sign, digits without zeros at either end, exponent of ten.
+
+    A double stands for its shortest decimal text, a float for the double it is; NaN and the infinities for themselves.
+    """
+    text = (c.cast("double") if isinstance(t, T.FloatType) else c).cast("string")
+    mantissa, exponent = F.regexp_extract(text, "^-?([0-9.]+)", 1), F.regexp_extract(text, "[eE]([+-]?[0-9]+)$", 1)
+    digits = F.regexp_replace(mantissa, "[.]", "")
+    behind = F.when(F.instr(mantissa, ".") > 0, F.length(mantissa) - F.instr(mantissa, ".")).otherwise(F.lit(0))
+    short = F.regexp_replace(digits, "0+$", "")
+    power = F.coalesce(exponent.try_cast("int"), F.lit(0)) - behind + F.length(digits) - F.length(short)
+    sign = F.when(text.startswith("-"), "-").otherwise("")
+    exact = F.when(short == "", "0").otherwise(F.concat(sign, F.regexp_replace(short, "^0+", ""), F.lit("e"), power.cast("string")))
+    return F.when(text.rlike("^[+-]?(NaN|Infinity)$"), text).otherwise(exact)
+
+
 def same(a: Column, ta: T.DataType, b: Column, tb: T.DataType) -> Column:
-    """Whether two leaves have equal content; an integer equals a double only if it is exactly that number; null equals null."""
+    """Whether two leaves have equal content; numbers of different types are equal if their values are; null equals null."""
     na, nb = type_name(ta), type_name(tb)
-    if ta == tb:
-        return a.eqNullSafe(b)
-    both_null = a.isNull() & b.isNull()
-    if {na, nb} <= {"INT32", "INT64"} or na == nb == "DATE_TIME":
+    if ta == tb or {na, nb} <= {"INT32", "INT64"} or na == nb == "DATE_TIME":
         return a.eqNullSafe(b)
-    if {na, nb} <= {"INT32", "INT64", "DOUBLE"}:
-        i, d = (a, b) if nb == "DOUBLE" else (b, a)
-        whole = d.isNotNull() & ~F.isnan(d) & (F.abs(d) < 9.2e18)
-        n = F.when(whole, d).cast("bigint")
-        return F.coalesce((n == i) & (n.cast("double") == d), F.lit(False)) | both_null
-    if {na, nb} <= {"INT32", "INT64", "DECIMAL128"}:
-        return a.cast("decimal(38,18)").eqNullSafe(b.cast("decimal(38,18)"))
-    if {na, nb} == {"DOUBLE", "DECIMAL128"}:
-        text = lambda c, t: c.cast("decimal(38,18)") if t == "DECIMAL128" else c.cast("string").try_cast("decimal(38,18)")
-        return text(a, na).eqNullSafe(text(b, nb)) & a.isNull().eqNullSafe(b.isNull())
+    if na == nb == "DOUBLE":
+        return a.cast("double").eqNullSafe(b.cast("double"))
+    if {na, nb} <= {"INT32", "INT64", "DOUBLE", "DECIMAL128"}:
+        return number_text(a, ta).eqNullSafe(number_text(b, tb))
     if na == nb:
         return a.cast("string").eqNullSafe(b.cast("string"))
-    return both_null
+    return a.isNull() & b.isNull()
 
 
 def rendered(c: Column, t: T.DataType) -> Column:

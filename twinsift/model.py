@@ -210,7 +210,7 @@ class Settings:
 
     def __post_init__(self):
         if self.baseline == self.candidate:
-            raise ValueError("baseline and candidate are the same")
+            raise ValueError("a comparison needs two different sides")
         if not self.keyFields or any(not k or "." in k for k in self.keyFields):
             raise ValueError("key fields must be top-level")
         for f in ("ignoredPaths", "orderSensitivePaths", "wildcardPaths", "expectedChangePaths", "redactedPaths"):

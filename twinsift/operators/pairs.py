@@ -7,6 +7,8 @@ joined by Spark and compared in Arrow batches, changed ones only.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ from .. import canon
 from ..functions.expressions import rendered, same, type_name
 from ..model import Settings
 from ..paths import PathMatcher, Rules
-from ..sources.side import Side, key_text
+from ..sources.side import Side, key_text, mixed_keys
 
 VALUES = "map<string,struct<baseline:array<string>,candidate:array<string>>>"
 
@@ -63,6 +65,9 @@ def typed_join(base: Side, cand: Side, how: str = "full_outer") -> DataFrame:
 
 
 def typed_pairs(base: Side, cand: Side, s: Settings, how: str = "full_outer") -> DataFrame:
+    """Pairs of typed rows. Keys of different types on the two sides are matched exactly, as documents' keys."""
+    if mixed_keys(base, cand):
+        return document_pairs(base.documents(), cand.documents(), replace(s, keyFields=tuple(base.keys)), how)
     rules, redacted = rules_of(s), PathMatcher(s.redactedPaths)
     left = {x[1]: x for x in leaf_columns(base.df.schema, rules, base.keys)}
     right = {x[1]: x for x in leaf_columns(cand.df.schema, rules, cand.keys)}

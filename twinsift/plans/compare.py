@@ -14,7 +14,7 @@ from .. import canon
 from ..model import ComparisonError, Examples, KeyRef, Mode, PathChange, PathPresence, Rate, Report, RunMetadata, Settings, StructureMetrics, TypeShare, TypeShift, ValueChange
 from ..operators import maps, pairs, rates, summary, verdict
 from ..paths import PathMatcher
-from ..sources.side import Side, check_documents, check_typed, read_side
+from ..sources.side import Side, check_documents, check_typed, mixed_keys, read_side
 
 BACKUP_SUFFIX = "_backup"
 
@@ -84,8 +84,9 @@ class Comparator:
 
 def compare(base: Side, cand: Side, s: Settings, threshold_source: str = "configured") -> Report:
     started = datetime.now(timezone.utc)
-    typed = base.typed and cand.typed
-    native = base.native and cand.native
+    mixed = mixed_keys(base, cand)  # then only documents' keys compare exactly
+    typed = base.typed and cand.typed and not mixed
+    native = base.native and cand.native and not mixed
     warnings: list[str] = []
     held: list[DataFrame] = []
 
@@ -206,12 +207,20 @@ def _assemble(s, ours, pb, pc, nb, nc, cand_sampled, read_base, warnings, decisi
 
 
 def _structure(s, pb, pc, base_total, cand_total, warnings):
-    """Metrics of the structure, the candidate's profile, and all paths. The joined profile is as long as there are paths; the most frequent maxTrackedPaths are taken."""
-    joined = summary.joined_profiles(pb, pc).orderBy(F.desc(F.col("base_docs") + F.col("cand_docs")), "path").limit(s.maxTrackedPaths * 8 + 1).collect()
+    """Metrics of the structure, the candidate's profile, and all paths: of the most frequent maxTrackedPaths, with all their types."""
+    rows, docs = summary.joined_profiles(pb, pc), F.col("base_docs") + F.col("cand_docs")
+    joined = rows.orderBy(F.desc(docs), "path").limit(s.maxTrackedPaths * 8 + 1).collect()
     ranked = sorted((r for r in joined if r.type is None), key=lambda r: (-(r.base_docs + r.cand_docs), r.path))
-    over = ranked[s.maxTrackedPaths :]
+    over, untracked = len(ranked) - s.maxTrackedPaths, sum(r.base_docs + r.cand_docs for r in ranked[s.maxTrackedPaths :])
+    if len(joined) > s.maxTrackedPaths * 8:  # more than was read: paths first, then the types of those that are tracked
+        whole = rows.filter("type IS NULL")
+        top = whole.orderBy(F.desc(docs), "path").limit(s.maxTrackedPaths)
+        ranked = top.collect()
+        joined = ranked + rows.filter("type IS NOT NULL").join(top.select("path"), "path", "left_semi").collect()
+        n, total = whole.agg(F.count(F.lit(1)), F.sum(docs)).first()
+        over, untracked = n - len(ranked), total - sum(r.base_docs + r.cand_docs for r in ranked)
     tracked = {r.path: r for r in ranked[: s.maxTrackedPaths]}
-    if over:
+    if over > 0:
         warnings.append(f"More than {s.maxTrackedPaths} distinct paths: new or vanished ones may be missing from the report. Consider wildcard paths for maps with dynamic keys.")
     share = lambda k, n: k / n if n else 0.0
     at = {p: PathPresence(p, r.base_docs, r.cand_docs, share(r.base_docs, base_total), share(r.cand_docs, cand_total)) for p, r in tracked.items()}
@@ -231,6 +240,6 @@ def _structure(s, pb, pc, base_total, cand_total, warnings):
     order = sorted(at.values(), key=lambda x: utf16(x.path))
     both = [x for x in order if x.baselineDocs and x.candidateDocs and abs(x.presenceDelta) > t.presenceDelta]
     metrics = StructureMetrics(base_total, cand_total, sum(bool(x.baselineDocs) for x in order), sum(bool(x.candidateDocs) for x in order), tuple(x for x in order if not x.baselineDocs), tuple(x for x in order if not x.candidateDocs), tuple(shifts),
-                               tuple(sorted(both, key=lambda x: (-abs(x.presenceDelta), utf16(x.path)))), bool(over), sum(r.base_docs + r.cand_docs for r in over))
+                               tuple(sorted(both, key=lambda x: (-abs(x.presenceDelta), utf16(x.path)))), over > 0, untracked)
     profile = {p: (r.cand_docs, {x.type: x.cand_docs for x in types[p]}) for p, r in tracked.items() if r.cand_docs}
     return metrics, profile, set(tracked)

@@ -167,7 +167,8 @@ class FileStore(Queries):
 
 
 class TableStore(Queries):
-    """Reports as rows of a Parquet folder, with columns to query by; saving appends, retention rewrites."""
+    """Reports as rows of a Parquet folder, with columns to query by; saving appends. Reports older than the retention aren't read any more, so no
+    file is ever rewritten and a crash loses none."""
 
     SCHEMA = "id string, baseline string, candidate string, verdict string, finished_at string, labels map<string,string>, report_json string"
 
@@ -178,13 +179,10 @@ class TableStore(Queries):
         s = report.run.settings
         row = (report.id, s.baseline, s.candidate, report.verdict.value, report.run.finishedAt, dict(report.labels), to_json(report, None))
         self.spark.createDataFrame([row], self.SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
-        if self.retention is not None:
-            limit = (datetime.now(timezone.utc) - self.retention).isoformat()
-            kept = self.frame().filter(F.col("finished_at") >= limit).collect()
-            self.spark.createDataFrame(kept, self.SCHEMA).coalesce(1).write.mode("overwrite").parquet(self.path)
 
     def frame(self) -> DataFrame:
-        return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        rows = self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        return rows if self.retention is None else rows.filter(F.col("finished_at") >= (datetime.now(timezone.utc) - self.retention).isoformat())
 
     def _reports(self, rows: DataFrame, n: int | None = None) -> list[Report]:
         rows = rows.orderBy(F.desc("finished_at"), F.desc("id"))

@@ -42,14 +42,25 @@ class Side:
         return self.df.count()
 
     def keys_only(self) -> DataFrame:
-        return self.df.select(*self.keys)
-
-    def lookup(self, keys: DataFrame) -> Side:
-        """The rows whose keys are asked for."""
+        """The key columns; of documents _ksort, _ktype, _kvalue and _kbracket."""
+        return self.df.select(*self.keys) if self.doc is None else self.documents().select(*KEY)
+
+    def lookup(self, keys: DataFrame | Side) -> Side:
+        """The rows whose keys are asked for: a frame of the key columns, or a side. Documents are looked up by equal keys of any type."""
+        if isinstance(keys, Side) and (self.doc is not None or keys.doc is not None or mixed_keys(self, keys)):
+            return self._documents_of(self.documents().join(keys.documents().select("_ksort").distinct(), "_ksort", "left_semi"))
+        if self.doc is not None:  # key columns: as documents of their own
+            return self.lookup(Side(keys, self.keys))
+        keys = keys.keys_only() if isinstance(keys, Side) else keys
         return replace(self, df=self.df.join(keys.select(*self.keys).distinct(), list(self.keys), "left_semi"))
 
+    def _documents_of(self, docs: DataFrame) -> Side:
+        return Side(docs.select("_doc"), self.keys, "_doc", self.name)
+
     def sample(self, n: int, seed: str) -> Side:
         """n rows (all, if there are fewer), without repetition; the same ones in every run."""
+        if self.doc is not None:
+            return self._documents_of(self.documents().orderBy(sample_order(F.col("_kvalue"), seed), "_ksort").limit(n))
         text = F.concat_ws("|", *[F.col(k).cast("string") for k in self.keys])
         return replace(self, df=self.df.orderBy(sample_order(text, seed), text).limit(n))
 
@@ -61,15 +72,15 @@ class Side:
 
     def documents(self) -> DataFrame:
         """_ksort, _ktype, _kvalue, _kbracket and _doc (canonical Extended JSON) of each row."""
-        keys, doc = self.keys, self.doc
+        keys, doc, name = self.keys, self.doc, self.name
         rows = self.df.select(F.col(doc).cast("string").alias("_doc")) if doc else self.df
         schema = None if doc else rows.schema
 
         def run(batches):
             for b in batches:
                 if doc:
-                    raws = [canon.parse_document(x) if x is not None else ("DOCUMENT", []) for x in b.column(0).to_pylist()]
                     docs = b.column(0).to_pylist()
+                    raws = [parsed(x, name) if x is not None else ("DOCUMENT", []) for x in docs]
                 else:
                     raws = [("DOCUMENT", [(f.name, typed(v, f.dataType)) for f, v in zip(schema.fields, row, strict=True)]) for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
                     docs = [canon.to_json(r, True) for r in raws]
@@ -83,6 +94,22 @@ class Side:
         return rows.mapInArrow(run, _DOC)
 
 
+def parsed(text: str, side: str) -> tuple:
+    """A raw document of a side's text; the error says which side and which text."""
+    try:
+        return canon.parse_document(text)
+    except (ValueError, TypeError, AttributeError, KeyError) as e:
+        raise ComparisonError(f"{side}: a document can't be read ({e}): {text[:120]}") from e
+
+
+def mixed_keys(a: Side, b: Side) -> bool:
+    """Whether key columns of one name have types that Spark would compare by widening, or not at all: such sides are compared as documents."""
+    if not (a.native and b.native) or len(a.keys) != len(b.keys):
+        return False
+    integral = lambda t: "integral" if isinstance(t, T.IntegralType) else t
+    return any(integral(a.df.schema[x].dataType) != integral(b.df.schema[y].dataType) for x, y in zip(a.keys, b.keys, strict=True))
+
+
 def key_of(doc: tuple, keys: tuple[str, ...]) -> tuple | None:
     """The key of a raw document; a document of the key's fields if there are several. None if a field is missing."""
     have = dict(doc[1])

@@ -21,7 +21,6 @@ def compare_stream(stream: DataFrame, base: Side, settings: Settings, on_report:
         if df.isEmpty():
             return
         cand = Side(df, base.keys, base.doc, settings.candidate)
-        near = base.lookup(cand.keys_only()) if base.doc is None else base
-        on_report(number, compare(near, cand, settings))
+        on_report(number, compare(base.lookup(cand), cand, settings))
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
