@@ -201,28 +201,37 @@ def re_pair(seq: np.ndarray, base: int, fence: int, least: int = 4, most: int =
     `least` times: a rule takes 12 bytes and saves 4 for each use, so rarer pairs gain nothing.
     Ids equal to fence take no part. Overlapping occurrences are taken from the left, every second one."""
     bins, s, rules, lengths = 1 << 20, seq.astype(np.uint32), [], []
-    size_of = np.ones(base, np.uint32)
+    size_of, mul, exact = np.ones(base, np.uint32), 0x9E3779B1, False
     while len(s) > 1:
         a, b = s[:-1], s[1:]
-        h = (a * np.uint32(0x9E3779B1) ^ b * np.uint32(0x85EBCA77)) >> np.uint32(12)
+        h = (a * np.uint32(mul) ^ b * np.uint32(0x85EBCA77)) >> np.uint32(12)
+        mul = (mul * 0x2C1B3C6D + 0x4000) & 0xFFFFFFFF | 1
         count = np.bincount(h, minlength=bins)
-        cut = max(least, int(np.partition(count, bins - most)[bins - most]))
+        cut = least if exact else max(least, int(np.partition(count, bins - most)[bins - most]))
         at = np.flatnonzero((count >= cut)[h] & (a != fence) & (b != fence))
-        if not len(at):
-            break
-        key, inverse, n = np.unique(a[at].astype(np.uint64) << np.uint64(32) | b[at], return_inverse=True, return_counts=True)
-        good = n >= least
+        key = a[at].astype(np.uint64) << np.uint64(32) | b[at]
+        if exact:
+            distinct, bin_ = np.unique(key, return_inverse=True)
+        else:  # one pair stands for each bin; others of the bin wait for a round with another hash
+            distinct, bin_ = np.zeros(bins, np.uint64), h[at]
+            distinct[bin_] = key
+            same = distinct[bin_] == key
+            at, bin_ = at[same], bin_[same]
+        good = np.bincount(bin_, minlength=len(distinct)) >= least
         if not good.any():
-            break
-        name = np.full(len(key), 0, np.uint32)
-        first = base + len(rules)
+            if exact:
+                break
+            exact = True  # before it ends, all pairs are counted
+            continue
+        exact = False
+        name, first = np.zeros(len(distinct), np.uint32), base + len(rules)
         name[good] = np.arange(first, first + good.sum(), dtype=np.uint32)
-        at, sym = at[good[inverse]], name[inverse[good[inverse]]]
+        at, bin_ = at[sel := good[bin_]], bin_[sel]
+        sym, pair = name[bin_], distinct[good]
         gap = np.concatenate(([True], np.diff(at) != 1))  # runs of adjacent occurrences: every second one is taken
         run = np.maximum.accumulate(np.where(gap, np.arange(len(at)), 0))
         take = (np.arange(len(at)) - run) % 2 == 0
         at, sym = at[take], sym[take]
-        pair = key[good]
         left, right = (pair >> np.uint64(32)).astype(np.uint32), (pair & np.uint64(0xFFFFFFFF)).astype(np.uint32)
         new = size_of[left] + size_of[right]
         rules += list(zip(left.tolist(), right.tolist(), strict=True))
