@@ -566,18 +566,19 @@ def hints_technical_and_investigate(spark, sf):
     return _hints(spark, sf, Side(b, KEY), Side(mutate(b, "o_orderkey", ["modify:o_orderdate:1", "modify:o_totalprice:1"]), KEY, name="candidate"))
 
 
-@query("SELECT 'INVESTIGATE' AS kind, CAST(NULL AS VARCHAR) AS path")
+@query("""WITH b AS (SELECT o_orderkey AS k FROM orders), c AS (SELECT CASE WHEN o_orderkey % 10 = 0 THEN o_orderkey ELSE -o_orderkey END AS k FROM orders), q AS (SELECT (SELECT count(*) FROM b) AS nb, (SELECT count(*) FROM c) AS nc, (SELECT count(*) FROM b JOIN c USING (k)) AS m)
+    SELECT 'INVESTIGATE' AS kind, CAST(NULL AS VARCHAR) AS path FROM q WHERE (nb - m) / nb > 0.5 AND (nc - m) / nc > 0.5""")
 def hints_replaced_keys(spark, sf):
     b = orders(spark, sf)
     return _hints(spark, sf, Side(b, KEY), Side(b.withColumn("o_orderkey", F.when(F.col("o_orderkey") % 10 == 0, F.col("o_orderkey")).otherwise(-F.col("o_orderkey"))), KEY, name="candidate"))
 
 
-@query("SELECT 'MATCHED_ONLY' AS kind, CAST(NULL AS VARCHAR) AS path")
+@query(_SUBSET + "SELECT 'MATCHED_ONLY' AS kind, CAST(NULL AS VARCHAR) AS path FROM q WHERE m > 0 AND (nb - m) / nb >= 0.5 AND (nc - m) / nc <= 0.05")
 def hints_subset(spark, sf):
     return _hints(spark, sf, *_subset(spark, sf))
 
 
-@query("SELECT 'WILDCARD' AS kind, 'm' AS path")
+@query("SELECT 'WILDCARD' AS kind, 'm' AS path FROM orders HAVING count(DISTINCT o_orderkey % 150) >= 100")
 def hints_wildcard(spark, sf):
     d = orders(spark, sf).select(F.concat(F.lit('{"_id":'), F.col("o_orderkey").cast("string"), F.lit(',"m":{"k'), F.pmod("o_orderkey", F.lit(150)).cast("string"), F.lit('":1}}')).alias("doc"))
     return _hints(spark, sf, Side(d, doc="doc"), Side(d, doc="doc", name="candidate"), mapDetection=False)
