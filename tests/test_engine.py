@@ -8,13 +8,13 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from twinsift.cli import main
-from twinsift.model import ComparisonError, Level, MixedKeyPolicy, Mode, Report, Settings
+from twinsift.model import ComparisonError, Level, MixedKeyPolicy, Mode, Report, Request, Settings
 from twinsift.operators.generate import ChangeSpec, mutate, product_documents
 from twinsift.operators.maps import detect
 from twinsift.operators.verdict import Adaptive, learned
 from twinsift.plans.compare import Comparator, compare, resolve_mode
 from twinsift.sources.reports import FileStore, TableStore, copy_reports, from_json, to_html, to_json
-from twinsift.sources.side import Side
+from twinsift.sources.side import Side, key_range, preflight
 from twinsift.canon import parse_document
 
 
@@ -138,6 +138,7 @@ def test_reports_and_history(spark, tmp_path):
     table = TableStore(spark, str(tmp_path / "t"))
     for r in store.all():
         table.save(r)
+    assert table.summaries({"job": "1"}, 2) == store.summaries({"job": "1"}, 2) and [x.id for x in store.summaries()] == [r.id for r in store.all()] and store.summaries({"job": "9"}) == []
     assert [r.id for r in table.recent(2)] == [r.id for r in store.recent(2)] and table.find(last.id) == last and table.by_labels({"job": "1"}, 1)[0] == last
     assert copy_reports(table, FileStore(str(tmp_path / "copy"))) == 3 and len(FileStore(str(tmp_path / "copy")).all()) == 3
     old = FileStore(str(tmp_path / "r"), retention=timedelta(0))
@@ -162,6 +163,8 @@ def test_cli(spark, tmp_path, capsys):
     report = json.loads(capsys.readouterr().out)
     assert code == {"GREEN": 0, "YELLOW": 1, "RED": 2}[report["verdict"]] and report["labels"] == {"job": "7"} and os.path.exists(f"{d}/r.html")
     assert main(["report", f"--report-dir={d}/reports", "--label=job=7"]) == code and json.loads(capsys.readouterr().out)["id"] == report["id"]
+    assert main(["reports", f"--report-dir={d}/reports", "--label=job=7"]) == 0 and [x["id"] for x in json.loads(capsys.readouterr().out)] == [report["id"]]
+    assert main(["reports", f"--report-dir={d}/reports", "--label=job=8"]) == 0 and json.loads(capsys.readouterr().out) == []
     assert main(["report", f"--report-dir={d}/none"]) == 3 and main(["compare", "--baseline=x"], spark) == 3 and main(["nothing"]) == 3
 
 
@@ -207,3 +210,39 @@ def test_documents_are_looked_up_sampled_and_named_when_broken(spark):
     assert side.sample(2, "s").count() == 2 and side.sample(9, "s").count() == 3 and side.keys_only().count() == 3
     with pytest.raises(Exception, match="baseline: a document can't be read"):
         docs('{"_id": 1', "{}").documents().collect()
+
+
+def test_request_and_progress(spark):
+    b = spark.range(3000).select(F.col("id").alias("_id"), (F.col("id") % 7).alias("v"))
+    seen = []
+    c = Comparator(progress=[seen.append], progress_seconds=0.05)
+    r = c.run(Side(b), Side(mutate(b, "_id", ["modify:v:0.1"]), name="candidate"), Request().sample(500).label("job", "1").label("night", "2"))
+    assert r.run.settings.mode == Mode("SAMPLE", 500) and r.labels == {"job": "1", "night": "2"}
+    last = seen[-1]
+    assert last.finished and not seen[0].finished and last.baselineDocs == r.run.baselineDocsRead == 500 and last.docsPerSecond > 0
+    assert all(0 <= p.tasksDone <= p.tasks for p in seen) and any(p.tasks for p in seen) and any(p.baselineDocs == 3000 for p in seen[:-1])
+    full = c.run(Side(b), Side(b, name="candidate"), Request().full_scan().matched_only())
+    assert full.run.settings.matchedOnly and full.run.settings.mode == Mode("FULL") and seen[-1].baselineDocs == 3000
+    with pytest.raises(ValueError, match="nothing"):
+        Request().options(nothing=1)
+    n = len(seen)
+    with pytest.raises(ComparisonError):
+        c.compare(Side(b), Side(b.unionByName(b), name="candidate"))
+    assert not any(p.finished for p in seen[n:])
+
+
+def test_preflight_and_key_range(spark):
+    b = spark.range(5, 20).select(F.col("id").alias("_id"), F.lit("x").alias("p"))
+    far = Side(b.withColumn("_id", F.col("_id") + 100), name="candidate")
+    p = preflight(Side(b), far, Settings())
+    assert (p.baselineCount, p.candidateCount, p.baselineRange, p.candidateRange) == (15, 15, (5, 19), (105, 119)) and "No key can match" in p.warnings[0]
+    assert not preflight(Side(b), Side(b, name="candidate"), Settings()).warnings
+    assert tuple(key_range(Side(b.limit(0))).first()) == (None, None) and preflight(Side(b.limit(0)), Side(b, name="candidate"), Settings()).warnings == ()
+    assert tuple(map(tuple, key_range(Side(b, ("p", "_id"))).first())) == (("x", 5), ("x", 19))
+    mixed = docs(spark, [{"_id": 10}, {"_id": 9}, {"_id": "a"}])
+    assert tuple(key_range(mixed).first()) == ("9", '"a"')
+    with pytest.raises(ComparisonError, match="several types"):
+        preflight(mixed, docs(spark, [{"_id": 1}], "candidate"), Settings())
+    assert preflight(mixed, docs(spark, [{"_id": 1}], "candidate"), Settings(mixedKeyTypes=MixedKeyPolicy.COMPARE)).warnings
+    with pytest.raises(ComparisonError, match="2 times"):
+        preflight(Side(b), Side(b.unionByName(b), name="candidate"), Settings())

@@ -10,7 +10,7 @@ from conftest import SF
 import __spark_entry__ as entry
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-FAST = ["generate_mutations", "key_metrics", "composite_key_compare", "content_classification", "array_multiset_equality", "changed_paths", "value_examples", "type_shares", "sample_metrics", "verdict", "learned_thresholds", "bson_key_order", "numeric_equality", "typed_cross_type_keys", "json_lookup", "sample_content"]
+FAST = ["generate_mutations", "key_metrics", "composite_key_compare", "content_classification", "array_multiset_equality", "changed_paths", "value_examples", "type_shares", "sample_metrics", "verdict", "learned_thresholds", "bson_key_order", "numeric_equality", "typed_cross_type_keys", "json_lookup", "key_bounds", "json_key_bounds", "sample_content"]
 
 
 def rows(columns, data):

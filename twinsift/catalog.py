@@ -17,7 +17,7 @@ from .operators import history, maps, pairs, rates, summary
 from .operators.generate import mutate
 from .paths import PathMatcher
 from .plans.compare import compare, resolve_mode
-from .sources.side import Side, duplicate_keys
+from .sources.side import Side, duplicate_keys, key_range
 
 SPECS = ["modify:o_totalprice:0.06", "set-null:o_orderpriority:0.08", "modify:o_orderstatus:0.01", "int-to-double:o_custkey:1", "delete-docs:0.01", "add-docs:0.02"]
 KEY = ("o_orderkey",)
@@ -154,6 +154,16 @@ def duplicate_keys_lineitem(spark, sf):
     return duplicate_keys(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
+@query("SELECT min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders")
+def key_bounds(spark, sf):
+    return key_range(sides(spark, sf)[0])
+
+
+@query("SELECT CAST(min(o_orderkey) AS VARCHAR) AS lo, CAST(max(o_orderkey) AS VARCHAR) AS hi FROM orders")
+def json_key_bounds(spark, sf):
+    return key_range(Side(_json_orders(orders(spark, sf)), doc="doc"))
+
+
 def _json_orders(df: DataFrame, key: str = "o_orderkey") -> DataFrame:
     return df.select(F.to_json(F.struct(F.col(key).alias("_id"), F.col("o_orderstatus").alias("s"))).alias("doc"))
 

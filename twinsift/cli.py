@@ -1,15 +1,16 @@
-"""Command line: compare, report, copy-reports, generate. Exit code 0 GREEN, 1 YELLOW, 2 RED, 3 error."""
+"""Command line: compare, report, reports, copy-reports, generate. Exit code 0 GREEN, 1 YELLOW, 2 RED, 3 error."""
 
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 
-from .model import Level, MixedKeyPolicy, Mode, Settings, VerdictBasis, parse_labels
+from .model import Level, MixedKeyPolicy, Mode, Settings, VerdictBasis, parse_labels, to_plain
 from .operators.generate import ChangeSpec, mutate, product_documents
 from .operators.verdict import Adaptive
 from .plans.compare import BACKUP_SUFFIX, Comparator
-from .sources.reports import FileStore, TableStore, copy_reports, to_html, to_json
+from .sources.reports import LISTED, FileStore, TableStore, copy_reports, to_html, to_json
 from .sources.side import read_side
 
 EXIT = {Level.GREEN: 0, Level.YELLOW: 1, Level.RED: 2}
@@ -50,6 +51,9 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--id")
     r.add_argument("--label", action="append", default=[])
     r.add_argument("--candidate")
+    z = sub.add_parser("reports", help="list the newest stored reports as JSON")
+    z.add_argument("--label", action="append", default=[])
+    z.add_argument("--limit", type=_int, default=LISTED)
     y = sub.add_parser("copy-reports", help="copy the reports of a table into files")
     y.add_argument("--table", required=True)
     g = sub.add_parser("generate", help="write a baseline of product documents and a changed copy")
@@ -62,7 +66,7 @@ def parser() -> argparse.ArgumentParser:
     for q in (c, r):
         q.add_argument("--out")
         q.add_argument("--html")
-    for q in (c, r, y):
+    for q in (c, r, y, z):
         q.add_argument("--report-dir", default="./reports")
     return p
 
@@ -106,6 +110,12 @@ def _report(a, spark) -> int:
     return _emit(found, a)
 
 
+def _reports(a, spark) -> int:
+    found = FileStore(a.report_dir, read_only=True).summaries(parse_labels(a.label), a.limit)
+    print(json.dumps(to_plain(found), ensure_ascii=False, indent=2))
+    return 0
+
+
 def _generate(a, spark) -> int:
     specs = [ChangeSpec.parse(x) for x in a.changes]
     docs = product_documents(spark, a.docs, a.seed)
@@ -123,14 +133,14 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     except SystemExit as e:
         return ERROR if e.code else 0
     try:
-        if spark is None and a.command != "report":
+        if spark is None and a.command not in ("report", "reports"):
             from pyspark.sql import SparkSession
 
             spark = SparkSession.builder.appName("twinsift").getOrCreate()
         if a.command == "copy-reports":
             print(copy_reports(TableStore(spark, a.table), FileStore(a.report_dir)), "reports copied")
             return 0
-        return {"compare": _compare, "report": _report, "generate": _generate}[a.command](a, spark)
+        return {"compare": _compare, "report": _report, "reports": _reports, "generate": _generate}[a.command](a, spark)
     except Exception as e:
         print(f"error: {e}", file=sys.stderr)
         return ERROR

@@ -226,6 +226,50 @@ class Settings:
         return replace(self, **given)
 
 
+@dataclass(frozen=True)
+class Request:
+    """The options of one comparison; what is left out keeps the comparator's defaults. Each method gives a new request."""
+
+    given: dict = field(default_factory=dict)
+
+    def options(self, **more) -> Request:
+        unknown = more.keys() - {f.name for f in fields(Settings)}
+        if unknown:
+            raise ValueError(f"no such option: {', '.join(sorted(unknown))}")
+        return Request({**self.given, **more})
+
+    def full_scan(self) -> Request:
+        return self.options(mode=Mode("FULL"))
+
+    def sample(self, size: int) -> Request:
+        return self.options(mode=Mode("SAMPLE", size))
+
+    def matched_only(self, only: bool = True) -> Request:
+        return self.options(matchedOnly=only)
+
+    def label(self, key: str, value: str) -> Request:
+        return self.options(labels=check_labels({**self.given.get("labels", {}), key: value}))
+
+
+# ---- progress ----
+
+
+@dataclass(frozen=True)
+class Progress:
+    """How far a comparison is: documents read (known once they are counted), tasks done of those submitted so far."""
+
+    baselineDocs: int
+    candidateDocs: int
+    tasksDone: int
+    tasks: int
+    seconds: float
+    finished: bool = False
+
+    @property
+    def docsPerSecond(self) -> float:
+        return (self.baselineDocs + self.candidateDocs) / max(self.seconds, 1e-9)
+
+
 # ---- report ----
 
 

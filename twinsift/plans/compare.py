@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import threading
+import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 from datetime import datetime, timezone
 
@@ -11,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import canon
-from ..model import ComparisonError, Examples, KeyRef, Mode, PathChange, PathPresence, Rate, Report, RunMetadata, Settings, StructureMetrics, TypeShare, TypeShift, ValueChange
+from ..model import ComparisonError, Examples, KeyRef, Mode, PathChange, PathPresence, Progress, Rate, Report, Request, RunMetadata, Settings, StructureMetrics, TypeShare, TypeShift, ValueChange
 from ..operators import maps, pairs, rates, summary, verdict
 from ..paths import PathMatcher
 from ..sources.side import Side, check_documents, check_typed, mixed_keys, read_side
@@ -45,16 +48,51 @@ class Comparator:
     listeners: list[Callable] = field(default_factory=list)
     group: str = field(default_factory=lambda: f"comparison-{uuid.uuid4()}")
     metrics: dict = field(default_factory=lambda: {"runs": 0, "errors": 0, "seconds": 0.0})
+    progress: list[Callable[[Progress], None]] = field(default_factory=list)
+    progress_seconds: float = 10.0
 
     def compare_with_backup(self, spark: SparkSession, dataset: str, keys=("_id",), fmt: str = "parquet", doc: str | None = None, **request) -> Report:
         return self.compare(*backup_sides(spark, dataset, keys, fmt, doc), **request)
 
+    def run(self, base: Side, cand: Side, request: Request) -> Report:
+        return self.compare(base, cand, **request.given)
+
+    @contextmanager
+    def _watched(self, spark: SparkSession) -> Iterator[dict]:
+        """Tells progress listeners from a thread of its own, every progress_seconds, what Spark's status tracker knows of this comparator's jobs."""
+        started, docs, ended = time.monotonic(), {"baseline": 0, "candidate": 0}, threading.Event()
+        tracker, before = spark.sparkContext.statusTracker(), set()
+
+        def now(finished: bool = False) -> Progress:
+            jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(self.group) if j not in before]
+            stages = [x for j in jobs if j for i in j.stageIds if (x := tracker.getStageInfo(i))]
+            return Progress(docs["baseline"], docs["candidate"], sum(x.numCompletedTasks for x in stages), sum(x.numTasks for x in stages), time.monotonic() - started, finished)
+
+        def tell() -> None:
+            while not ended.wait(self.progress_seconds):
+                for f in self.progress:
+                    f(now())
+
+        if not self.progress:
+            yield docs
+            return
+        before.update(tracker.getJobIdsForGroup(self.group))
+        watcher = threading.Thread(target=tell, daemon=True)
+        watcher.start()
+        try:
+            yield docs
+        finally:
+            ended.set()
+            watcher.join()
+        for f in self.progress:
+            f(now(True))
+
     def cancel(self, spark: SparkSession) -> None:
         """Stops this comparator's running jobs, from another thread; the comparison then fails."""
         spark.sparkContext.cancelJobGroup(self.group)
 
     def compare(self, base: Side, cand: Side, **request) -> Report:
-        """Runs one comparison. Listeners get ("completed", report) or ("failed", error, labels); a report that can't be saved is returned nonetheless."""
+        """Runs one comparison. Listeners get ("completed", report) or ("failed", error, labels), progress listeners a Progress at intervals and at the end; a report that can't be saved is returned nonetheless."""
         s = self.settings.merged(**{"baseline": base.name, "candidate": cand.name, "keyFields": tuple(base.keys)} | request)
         base.df.sparkSession.sparkContext.setJobGroup(self.group, f"{s.baseline} -> {s.candidate}", True)
         try:
@@ -65,7 +103,9 @@ class Comparator:
                 if self.store is None:
                     raise ComparisonError("learned thresholds need a report store")
                 thresholds, source = verdict.learned(self.store.history(s.baseline, s.candidate, False, self.adaptive.historySize), s.thresholds, self.adaptive)
-            report = compare(base, cand, replace(s, thresholds=thresholds), source)
+            with self._watched(base.df.sparkSession) as docs:
+                report = compare(base, cand, replace(s, thresholds=thresholds), source, lambda nb, nc: docs.update(baseline=nb, candidate=nc))
+                docs.update(baseline=report.run.baselineDocsRead, candidate=report.run.candidateDocsRead)
         except Exception as e:
             self.metrics["errors"] += 1
             for f in self.listeners:
@@ -82,7 +122,8 @@ class Comparator:
         return report
 
 
-def compare(base: Side, cand: Side, s: Settings, threshold_source: str = "configured") -> Report:
+def compare(base: Side, cand: Side, s: Settings, threshold_source: str = "configured", counted: Callable[[int, int], None] = lambda nb, nc: None) -> Report:
+    """counted is told both sides' numbers of documents as soon as they are known."""
     started = datetime.now(timezone.utc)
     mixed = mixed_keys(base, cand)  # then only documents' keys compare exactly
     typed = base.typed and cand.typed and not mixed
@@ -108,6 +149,7 @@ def compare(base: Side, cand: Side, s: Settings, threshold_source: str = "config
             more, nb, nc = check_documents({"baseline": b, "candidate": c}, s)
             warnings += more
             by = ["_ksort"]
+        counted(nb, nc)
         mode, decision = resolve_mode(s, nb, nc)
         decisions = [decision]
         s = replace(s, mode=mode)

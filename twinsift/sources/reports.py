@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
 import tempfile
-from dataclasses import fields, is_dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, fields, is_dataclass
 from datetime import datetime, timedelta, timezone
 from enum import Enum
 from types import UnionType
@@ -105,27 +107,49 @@ def to_html(report: Report) -> str:
 # ---- stores ----
 
 
-def _newest(reports: list[Report]) -> list[Report]:
-    return sorted(reports, key=lambda r: (r.run.finishedAt, r.id), reverse=True)
+#: Reports that a listing shows unless it is told otherwise.
+LISTED = 50
+
+
+@dataclass(frozen=True)
+class Summary:
+    """A line of a listing."""
+
+    id: str
+    baseline: str
+    candidate: str
+    verdict: str
+    finishedAt: str
+    labels: dict
 
 
 class Queries:
-    """What both stores answer; all() gives the reports, newest first."""
+    """What both stores answer; newest() gives the reports one by one, the latest first."""
 
-    def all(self) -> list[Report]:
+    def newest(self) -> Iterator[Report]:
         raise NotImplementedError
 
+    def all(self) -> list[Report]:
+        return list(self.newest())
+
+    def _first(self, n: int, wanted) -> list[Report]:
+        return list(itertools.islice(filter(wanted, self.newest()), n))
+
     def find(self, id: str) -> Report | None:
-        return next((r for r in self.all() if r.id == id), None)
+        return next(iter(self._first(1, lambda r: r.id == id)), None)
 
     def recent(self, n: int, candidate: str | None = None) -> list[Report]:
-        return [r for r in self.all() if candidate in (None, r.run.settings.candidate)][:n]
+        return self._first(n, lambda r: candidate in (None, r.run.settings.candidate))
 
     def by_labels(self, labels: dict[str, str], n: int) -> list[Report]:
-        return [r for r in self.all() if all(r.labels.get(k) == v for k, v in labels.items())][:n]
+        return self._first(n, lambda r: all(r.labels.get(k) == v for k, v in labels.items()))
 
     def history(self, baseline: str, candidate: str, include_red: bool, n: int) -> list[Report]:
-        return [r for r in self.all() if (r.run.settings.baseline, r.run.settings.candidate) == (baseline, candidate) and (include_red or r.verdict != Level.RED)][:n]
+        return self._first(n, lambda r: (r.run.settings.baseline, r.run.settings.candidate) == (baseline, candidate) and (include_red or r.verdict != Level.RED))
+
+    def summaries(self, labels: dict[str, str] | None = None, n: int = LISTED) -> list[Summary]:
+        """The newest reports' summaries, of those with all the labels."""
+        return [Summary(r.id, r.run.settings.baseline, r.run.settings.candidate, r.verdict.value, r.run.finishedAt, dict(r.labels)) for r in self.by_labels(labels or {}, n)]
 
 
 class FileStore(Queries):
@@ -155,15 +179,14 @@ class FileStore(Queries):
     def _files(self) -> list[str]:
         return sorted((n for n in os.listdir(self.directory) if n.endswith(".json")), reverse=True) if os.path.isdir(self.directory) else []
 
-    def all(self) -> list[Report]:
-        out = []
+    def newest(self) -> Iterator[Report]:
+        """By file names, which begin with the time and end with the id: no more files are read than the caller takes reports."""
         for n in self._files():
             try:
                 with open(os.path.join(self.directory, n), encoding="utf-8") as f:
-                    out.append(from_json(f.read()))
+                    yield from_json(f.read())
             except (ValueError, TypeError, KeyError, OSError):
                 continue
-        return _newest(out)
 
 
 class TableStore(Queries):
@@ -188,8 +211,20 @@ class TableStore(Queries):
         rows = rows.orderBy(F.desc("finished_at"), F.desc("id"))
         return [from_json(r.report_json) for r in (rows.limit(n) if n is not None else rows).select("report_json").collect()]
 
-    def all(self) -> list[Report]:
-        return self._reports(self.frame())
+    def newest(self) -> Iterator[Report]:
+        rows = self.frame().orderBy(F.desc("finished_at"), F.desc("id")).select("report_json")
+        return (from_json(r.report_json) for r in rows.toLocalIterator())
+
+    def summaries(self, labels: dict[str, str] | None = None, n: int = LISTED) -> list[Summary]:
+        """From the columns; no report is read."""
+        rows = self._labelled(labels or {}).orderBy(F.desc("finished_at"), F.desc("id")).limit(n)
+        return [Summary(*r[:5], dict(r.labels)) for r in rows.select("id", "baseline", "candidate", "verdict", "finished_at", "labels").collect()]
+
+    def _labelled(self, labels: dict[str, str]) -> DataFrame:
+        rows = self.frame()
+        for k, v in labels.items():
+            rows = rows.filter(F.col("labels")[k] == v)
+        return rows
 
     def find(self, id: str) -> Report | None:
         return next(iter(self._reports(self.frame().filter(F.col("id") == id), 1)), None)
@@ -198,10 +233,7 @@ class TableStore(Queries):
         return self._reports(self.frame().filter(F.col("candidate") == candidate) if candidate else self.frame(), n)
 
     def by_labels(self, labels: dict[str, str], n: int) -> list[Report]:
-        rows = self.frame()
-        for k, v in labels.items():
-            rows = rows.filter(F.col("labels")[k] == v)
-        return self._reports(rows, n)
+        return self._reports(self._labelled(labels), n)
 
     def history(self, baseline: str, candidate: str, include_red: bool, n: int) -> list[Report]:
         rows = self.frame().filter((F.col("baseline") == baseline) & (F.col("candidate") == candidate))
@@ -209,11 +241,11 @@ class TableStore(Queries):
 
 
 def copy_reports(source: Queries, target: FileStore) -> int:
-    """Copies all reports; those that are there already are written again, with the same content."""
-    reports = source.all()
-    for r in reports:
+    """Copies all reports, one by one; those that are there already are written again, with the same content."""
+    n = 0
+    for n, r in enumerate(source.newest(), 1):  # noqa: B007
         target.save(r)
-    return len(reports)
+    return n
 
 
-__all__ = ["AtLeast", "Below", "FileStore", "Queries", "TableStore", "copy_reports", "from_json", "to_html", "to_json"]
+__all__ = ["AtLeast", "Below", "FileStore", "Queries", "Summary", "TableStore", "copy_reports", "from_json", "to_html", "to_json"]

@@ -230,6 +230,38 @@ def check_documents(docs: dict[str, DataFrame], settings: Settings) -> tuple[lis
     return warnings, facts["baseline"][0], facts["candidate"][0]
 
 
+def key_range(side: Side) -> DataFrame:
+    """One row: the least and the greatest key (lo, hi) in the order of keys, null of an empty side. Of several key columns, structs; of documents, the keys' text."""
+    if side.doc is not None or not side.native:
+        return side.documents().agg(F.min_by("_kvalue", "_ksort").alias("lo"), F.max_by("_kvalue", "_ksort").alias("hi"))
+    key = F.col(f"`{side.keys[0]}`") if len(side.keys) == 1 else F.struct(*[f"`{k}`" for k in side.keys])
+    return side.df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+
+
+@dataclass(frozen=True)
+class Preflight:
+    """What is known before a comparison: both sides' numbers of rows, least and greatest keys, and warnings."""
+
+    baselineCount: int
+    candidateCount: int
+    baselineRange: tuple
+    candidateRange: tuple
+    warnings: tuple[str, ...] = ()
+
+
+def preflight(base: Side, cand: Side, settings: Settings) -> Preflight:
+    """All checks of a comparison without the comparison; a ComparisonError if the sides can't be compared. Sides whose ranges of keys do not meet give a warning."""
+    mixed = mixed_keys(base, cand)
+    if base.native and cand.native and not mixed:
+        warnings, (nb, nc) = [], check_typed(base, cand)
+    else:
+        warnings, nb, nc = check_documents({"baseline": base.documents(), "candidate": cand.documents()}, settings)
+    ranges = [tuple(key_range(s).first()) for s in (base, cand)]
+    if base.native and cand.native and not mixed and nb and nc and (ranges[0][1] < ranges[1][0] or ranges[1][1] < ranges[0][0]):
+        warnings.append(f"No key can match: the baseline's are {ranges[0][0]} to {ranges[0][1]}, the candidate's {ranges[1][0]} to {ranges[1][1]}")
+    return Preflight(nb, nc, *ranges, tuple(warnings))
+
+
 # ---- readers ----
 
 
