@@ -7,6 +7,7 @@ joined by Spark and compared in Arrow batches, changed ones only.
 
 from __future__ import annotations
 
+import json
 from dataclasses import replace
 
 import pyarrow as pa
@@ -18,7 +19,7 @@ from .. import canon
 from ..functions.expressions import rendered, same, type_name
 from ..model import Settings
 from ..paths import PathMatcher, Rules
-from ..sources.side import Side, key_text, mixed_keys
+from ..sources.side import Side, field_text, key_text, mixed_keys, quoted
 
 VALUES = "map<string,struct<baseline:array<string>,candidate:array<string>>>"
 
@@ -160,47 +161,45 @@ def profiled(schema: T.StructType, s: Settings) -> bool:
 
 
 def typed_profile(df: DataFrame, s: Settings) -> DataFrame:
-    """(path, type, docs): rows whose path has the type, key fields included; all paths of the schema in one aggregate, arrays and maps by exists()."""
+    """(path, type, docs): rows whose path has the type, key fields included; all paths of the schema in one aggregate, arrays and maps by exists().
+
+    Conditions are SQL text: a column built call by call costs the driver more than a small comparison takes.
+    """
     rules = rules_of(s)
-    nodes: list[tuple[str, Column, str]] = []
+    by: dict[tuple[str, str], list[str]] = {}
 
-    def walk(t, state, path, some):
-        """some(test): whether some value of this node passes the test."""
+    def walk(t, state, path, some, depth):
+        """some(test): the condition that some value of this node passes the test; test makes a condition of a value's expression."""
+        x = f"x{depth}"
         if isinstance(t, T.StructType):
-            steps = [(state.field(f.name), state.name(path, f.name), f.dataType, lambda test, n=f.name: some(lambda c: c.isNotNull() & test(c.getField(n))), s.nullEqualsMissing) for f in t.fields]
+            steps = [(state.field(f.name), state.name(path, f.name), f.dataType, lambda test, n=f.name: some(lambda c: f"({c} IS NOT NULL AND {test(field_text(c, n))})"), s.nullEqualsMissing) for f in t.fields]
         elif isinstance(t, T.ArrayType):
-            steps = [(state.element(), path + "[]", t.elementType, lambda test: some(lambda c: F.coalesce(F.exists(c, test), F.lit(False))), False)]
+            steps = [(state.element(), path + "[]", t.elementType, lambda test: some(lambda c: f"coalesce(exists({c}, {x} -> {test(x)}), false)"), False)]
         elif isinstance(t, T.MapType):
-            steps = [(state.field("*"), state.name(path, "*"), t.valueType, lambda test: some(lambda c: F.coalesce(F.exists(F.map_values(c), test), F.lit(False))), s.nullEqualsMissing)]
+            steps = [(state.field("*"), state.name(path, "*"), t.valueType, lambda test: some(lambda c: f"coalesce(exists(map_values({c}), {x} -> {test(x)}), false)"), s.nullEqualsMissing)]
         else:
             return
         for st, p, kind, any_of, no_null in steps:
-            if not st.ignored:
-                nodes.append((p, any_of(lambda c: c.isNotNull()), type_name(kind)))
-                if not no_null:
-                    nodes.append((p, any_of(lambda c: c.isNull()), "NULL"))
-                walk(kind, st, p, any_of)
+            node(st, p, kind, any_of, no_null, depth + 1)
 
-    for f in df.schema.fields:
-        st, p = rules.root.field(f.name), rules.root.name("", f.name)
+    def node(st, p, kind, any_of, no_null, depth):
         if not st.ignored:
-            top = lambda test, n=f.name: test(F.col(f"`{n}`"))
-            nodes.append((p, top(lambda c: c.isNotNull()), type_name(f.dataType)))
-            if not s.nullEqualsMissing:
-                nodes.append((p, top(lambda c: c.isNull()), "NULL"))
-            walk(f.dataType, st, p, top)
-    by: dict[tuple[str, str], Column] = {}
-    for p, on, t in nodes:
-        by[p, t] = by[p, t] | on if (p, t) in by else on
-    any_of: dict[str, Column] = {}
+            by.setdefault((p, type_name(kind)), []).append(any_of(lambda c: f"{c} IS NOT NULL"))
+            if not no_null:
+                by.setdefault((p, "NULL"), []).append(any_of(lambda c: f"{c} IS NULL"))
+            walk(kind, st, p, any_of, depth)
+
+    for f in df.schema.fields:
+        node(rules.root.field(f.name), rules.root.name("", f.name), f.dataType, lambda test, n=f.name: test(quoted(n)), s.nullEqualsMissing, 0)
+    whole: dict[str, list[str]] = {}
     for (p, _), on in by.items():
-        any_of[p] = any_of[p] | on if p in any_of else on
-    rows = [(p, t, on) for (p, t), on in by.items()] + [(p, None, on) for p, on in any_of.items()]
+        whole.setdefault(p, []).extend(on)
+    rows = [(p, t, on) for (p, t), on in by.items()] + [(p, None, on) for p, on in whole.items()]
     if not rows:
         return df.sparkSession.createDataFrame([], "path string, type string, docs long")
-    one = df.agg(*[F.count_if(on).alias(f"n{i}") for i, (_, _, on) in enumerate(rows)])
-    each = F.array(*[F.struct(F.lit(p).alias("path"), F.lit(t).cast("string").alias("type"), F.col(f"n{i}").alias("docs")) for i, (p, t, _) in enumerate(rows)])
-    return one.select(F.inline(each)).filter("docs > 0")
+    counts = df.selectExpr("array(" + ", ".join(f"count_if({' OR '.join(on)})" for _, _, on in rows) + ") AS docs")
+    names = F.from_json(F.lit(json.dumps([{"path": p, "type": t} for p, t, _ in rows])), "array<struct<path:string,type:string>>")
+    return counts.select(F.inline(F.arrays_zip(names.alias("name"), F.col("docs")))).select("name.path", "name.type", "docs").filter("docs > 0")
 
 
 def document_profile(docs: DataFrame, s: Settings) -> DataFrame:

@@ -140,31 +140,45 @@ def key_text(side: Side, keys: list[str]) -> list[Column]:
     return [F.lit(name).alias("_ktype"), (quoted if name == "STRING" else text).alias("_kvalue")]
 
 
+def quoted(name: str) -> str:
+    """A column's or field's name in SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def field_text(c: str, name: str) -> str:
+    """SQL text of a struct's field. A subscript can't be taken for a table's column; names that a literal would have to escape are rare."""
+    return f"{c}.{quoted(name)}" if "'" in name or "\\" in name else f"{c}['{name}']"
+
+
 def document_column(schema: T.StructType) -> Column:
-    """A row as canonical Extended JSON: numbers with their types, times to the microsecond, nulls as they are."""
+    """A row as canonical Extended JSON: numbers with their types, times to the microsecond, nulls as they are. One expression of SQL text."""
 
-    def tagged(c: Column, t: T.DataType) -> Column:
-        one = lambda name, x: F.when(c.isNotNull(), F.struct(x.alias(name)))
+    def tagged(c: str, t: T.DataType, depth: int) -> str:
+        one = lambda name, x: f"if({c} IS NOT NULL, struct({x} AS {quoted(name)}), NULL)"
+        k, x = f"k{depth}", f"x{depth}"
         if isinstance(t, T.StructType):
-            return F.when(c.isNotNull(), F.struct(*[tagged(c.getField(f.name), f.dataType).alias(f.name) for f in t.fields])) if t.fields else c
+            return f"if({c} IS NOT NULL, struct({fields(t, lambda n: field_text(c, n), depth)}), NULL)" if t.fields else c
         if isinstance(t, T.ArrayType):
-            return F.transform(c, lambda x: tagged(x, t.elementType))
+            return f"transform({c}, {x} -> {tagged(x, t.elementType, depth + 1)})"
         if isinstance(t, T.MapType):
-            return F.transform_values(F.transform_keys(c, lambda k, _: k.cast("string")), lambda _, v: tagged(v, t.valueType))
+            return f"transform_values(transform_keys({c}, ({k}, {x}) -> CAST({k} AS STRING)), ({k}, {x}) -> {tagged(x, t.valueType, depth + 1)})"
         if isinstance(t, T.LongType):
-            return one("$numberLong", c.cast("string"))
+            return one("$numberLong", f"CAST({c} AS STRING)")
         if isinstance(t, (T.DoubleType, T.FloatType)):
-            return one("$numberDouble", c.cast("double").cast("string"))
+            return one("$numberDouble", f"CAST(CAST({c} AS DOUBLE) AS STRING)")
         if isinstance(t, T.DecimalType):
-            return one("$numberDecimal", c.cast("string"))
+            return one("$numberDecimal", f"CAST({c} AS STRING)")
         if isinstance(t, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-            wall = F.to_utc_timestamp(c, F.current_timezone()) if isinstance(t, T.TimestampType) else c.cast("timestamp")
-            return one("$date", F.date_format(wall, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+            wall = f"to_utc_timestamp({c}, current_timezone())" if isinstance(t, T.TimestampType) else f"CAST({c} AS TIMESTAMP)"
+            return one("$date", f"date_format({wall}, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\")")
         if isinstance(t, T.BinaryType):
-            return one("$binary", F.struct(F.base64(c).alias("base64"), F.lit("00").alias("subType")))
-        return c if isinstance(t, (T.IntegralType, T.BooleanType, T.StringType, T.NullType)) else c.cast("string")
+            return one("$binary", f"struct(base64({c}) AS base64, '00' AS subType)")
+        return c if isinstance(t, (T.IntegralType, T.BooleanType, T.StringType, T.NullType)) else f"CAST({c} AS STRING)"
+
+    def fields(t: T.StructType, at, depth: int) -> str:
+        return ", ".join(f"{tagged(at(f.name), f.dataType, depth)} AS {quoted(f.name)}" for f in t.fields)
 
-    return F.to_json(F.struct(*[tagged(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in schema.fields]), {"ignoreNullFields": "false"})
+    return F.expr(f"to_json(struct({fields(schema, quoted, 0)}), map('ignoreNullFields', 'false'))")
 
 
 # ---- checks ----
