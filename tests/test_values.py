@@ -243,3 +243,25 @@ def test_settings():
     s = Settings(ignoredPaths=["b", "a", "a"], labels={"x": "1"}).merged(labels={"y": "2"}, mode=None)
     assert s.ignoredPaths == ("_class", "a", "b") and s.labels == {"x": "1", "y": "2"} and s.mode == Mode()
     assert Level.worst([]) == Level.GREEN and Level.worst([Level.YELLOW, Level.RED, Level.GREEN]) == Level.RED
+
+
+def test_numbers_of_different_types_compare_as_their_texts(spark):
+    """Where numbers are compared natively the result is that of their texts."""
+    from itertools import combinations
+
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    from twinsift.functions.expressions import number_text, same
+
+    values = ["null", "0", "-0.0", "1", "-1", "1.5", "0.1", "127", "2147483647", "-2147483648", "2147483648", "9007199254740991", "9007199254740992", "9007199254740993", "-9007199254740993", "1152921504606846976", "1152921504606846980", "9223372036854775807", "1e-20", "1e25", "NaN", "Infinity"]
+    kinds = [T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType(), T.FloatType(), T.DoubleType(), T.DecimalType(10, 2), T.DecimalType(38, 0), T.DecimalType(38, 20), T.DecimalType(21, 1)]
+    whole = spark.createDataFrame([(v,) for v in values], "v string")
+    one = whole.select(*[F.col("v").try_cast(k).alias(f"a{i}") for i, k in enumerate(kinds)])
+    both = one.crossJoin(one.toDF(*[f"b{i}" for i in range(len(kinds))]))
+    checks = []
+    for (i, x), (j, y) in combinations(enumerate(kinds), 2):
+        for (p, tp), (q, tq) in (((f"a{i}", x), (f"b{j}", y)), ((f"a{j}", y), (f"b{i}", x))):
+            checks.append((same(F.col(p), tp, F.col(q), tq) != number_text(F.col(p), tp).eqNullSafe(number_text(F.col(q), tq))).alias(f"{p}_{q}"))
+    differ = both.agg(*[F.coalesce(F.count_if(F.coalesce(c, F.lit(True))), F.lit(0)).alias(f"n{k}") for k, c in enumerate(checks)]).first()
+    assert [k for k, n in enumerate(differ) if n] == []

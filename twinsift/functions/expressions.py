@@ -11,7 +11,8 @@ Z = 1.959963984540054
 
 # Document types of column types.
 TYPE_NAMES = {"boolean": "BOOLEAN", "tinyint": "INT32", "smallint": "INT32", "int": "INT32", "bigint": "INT64", "float": "DOUBLE", "double": "DOUBLE", "string": "STRING", "date": "DATE_TIME", "timestamp": "DATE_TIME", "timestamp_ntz": "DATE_TIME", "binary": "BINARY", "void": "NULL"}
-_INTEGRAL = ("tinyint", "smallint", "int", "bigint")
+# Most digits of integral types.
+WHOLE_DIGITS = {"tinyint": 3, "smallint": 5, "int": 10, "bigint": 19}
 
 
 def type_name(t: T.DataType) -> str:
@@ -40,6 +41,29 @@ def number_text(c: Column, t: T.DataType) -> Column:
     return F.when(text.rlike("^[+-]?(NaN|Infinity)$"), text).otherwise(exact)
 
 
+def _room(t: T.DataType) -> tuple[int, int]:
+    """Digits before and behind the point that hold any value of a decimal or integral type."""
+    return (t.precision - t.scale, t.scale) if isinstance(t, T.DecimalType) else (WHOLE_DIGITS[t.simpleString()], 0)
+
+
+def _same_number(a: Column, ta: T.DataType, b: Column, tb: T.DataType) -> Column:
+    """Equality of numbers of different types; as numbers wherever that is exact, else by number_text()."""
+    if "DOUBLE" not in (type_name(ta), type_name(tb)):
+        whole, scale = map(max, _room(ta), _room(tb))
+        if whole + scale <= 38:
+            wide = T.DecimalType(whole + scale, scale)
+            return a.cast(wide).eqNullSafe(b.cast(wide))
+    text = number_text(a, ta).eqNullSafe(number_text(b, tb))
+    i, d = (a, b) if type_name(tb) == "DOUBLE" else (b, a)
+    kind = type_name(ta if type_name(tb) == "DOUBLE" else tb)
+    native = i.cast("double").eqNullSafe(d.cast("double"))
+    if kind == "INT32":
+        return native
+    if kind == "INT64":  # a double below 2^53 is a whole number's only if it is that number; above, its shortest text decides
+        return F.when(F.abs(d) < float(1 << 53), native).otherwise(text)
+    return text
+
+
 def same(a: Column, ta: T.DataType, b: Column, tb: T.DataType) -> Column:
     """Whether two leaves have equal content; numbers of different types are equal if their values are; null equals null."""
     na, nb = type_name(ta), type_name(tb)
@@ -48,7 +72,7 @@ def same(a: Column, ta: T.DataType, b: Column, tb: T.DataType) -> Column:
     if na == nb == "DOUBLE":
         return a.cast("double").eqNullSafe(b.cast("double"))
     if {na, nb} <= {"INT32", "INT64", "DOUBLE", "DECIMAL128"}:
-        return number_text(a, ta).eqNullSafe(number_text(b, tb))
+        return _same_number(a, ta, b, tb)
     if na == nb:
         return a.cast("string").eqNullSafe(b.cast("string"))
     return a.isNull() & b.isNull()
