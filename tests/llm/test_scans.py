@@ -124,6 +124,41 @@ def test_secret_pairs_of_any_width():
     assert S.lexed_spans("pwd-" * pairs + " " * pairs + ":") == [] == S.lexed_spans("pwd: " + "a-" * pairs + " ." * pairs)
 
 
+def test_secret_literals_of_any_length_and_all_definitions():
+    found = lambda t: sorted(t[a:b] for a, b, _ in S.lexed_spans(t))
+    long, more = "correcthorsebatterystaple" * 40, "x" * 300 + "abcdefgh"
+    assert found(f'K = "{long}"\nprivate_key = K + "7"') == ["7", long]  # neither alone: one is too short, one has no digit
+    assert found(f'K = "{long}"\nL = "{more}"\nprivate_key = K + L + "7"') == ["7", long, more]
+    assert found('K = "sk1_"\nK = "local"\nK = "two words"\nprivate_key = K + "aB3dE7"') == ["aB3dE7", "local", "sk1_"]
+    assert found('K = "$"\nprivate_key = K + "{aB3dE}"') == [] == found('K = "abcdef"\nprivate_key = K + "ghijklm"')
+    assert found('K = "abcdef"\nprivate_key = K + "Ghijklm"') == ["Ghijklm", "abcdef"]
+    assert found(f'{{"name": "private_key",{" " * 100}"value": "aB3dE5fG7hJ9kL1m"}}') == ["aB3dE5fG7hJ9kL1m"]
+
+
+def test_secret_look_equals_plain_formula():
+    rng = random.Random(8)
+
+    def plain(t):
+        if len(t) < 8 or re.search(r"\s", t) or t.startswith(("${", "{{", "%(", "$(")):
+            return 0.0
+        mixed = 1.0 if re.search(r"[0-9]", t) else 0.9 if len(t) >= 12 and (re.search(r"[^A-Za-z]", t) or re.search(r"[a-z][A-Z]", t)) else 0.0
+        return mixed * min(1.0, S.entropy(t) / 3.0) * min(1.0, len(t) / 12)
+
+    for _ in range(3000):
+        parts = ["".join(rng.choice("aabbcdeABC127_${(% é"[: rng.choice([3, 7, 13, 19, 20])]) for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(1, 4))]
+        assert abs(S._look([S._Literal(x) for x in parts]) - plain("".join(parts))) < 1e-8, parts
+
+
+def test_secret_definitions_are_tried_in_bounded_time():
+    import time
+
+    for unit, n in (('token = token + "{}"\n', 4000), ('K = "{}"\ntoken = K + "a{}"\n', 4000), ('K = "' + "ab1" * 2000 + '"\ntoken = K + "{}"\n', 300)):
+        for word in (lambda i: str(i), lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))):
+            t = time.process_time()
+            S.scan("".join(unit.format(word(i), word(i)) for i in range(n)))
+            assert time.process_time() - t < 30, unit
+
+
 def test_licenses(spark):
     text = "Ämter CC  by-nc x.\nAll rights reserved; all Rights_reserved GNU General Public-License"
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))

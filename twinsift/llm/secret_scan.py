@@ -6,7 +6,8 @@ map["name"] = literal, --name=literal, <name>literal</name>, #define name litera
 entries ({"name": "x", "value": "literal"}). Literals that are added or stand side by side are one. A bare value is read again for pairs in it.
 
 Constants are propagated backwards, wherever they are defined: what a sensitive name is assigned from is as sensitive, over any number of steps;
-assignments in comments define nothing. A literal is scored by how sensitive its targets are, times how random it looks.
+assignments in comments define nothing. A literal is scored by how sensitive its targets are, times how random it looks; one that is added to names
+is scored with their literals, of any length and of every definition.
 """
 
 from __future__ import annotations
@@ -47,6 +48,7 @@ _OPEN = re.compile(r"""(?<![\w\\])([rRbBfFuU]{1,2}(?=["']))?(\"{3}|'{3}|["'`])|(
 _LINE = {'"': re.compile(r'(?:[^"\\\n]|\\.)*+"'), "'": re.compile(r"(?:[^'\\\n]|\\.)*+'")}
 _ENTRY, _VALUE = frozenset("name key id field variable".split()), frozenset("value val content default".split())
 _NAMED = re.compile(r"[A-Za-z_$][\w.$-]*+", re.A)
+_TEMPLATE = ("${", "{{", "%(", "$(")
 
 
 def lex(text: str) -> tuple[dict[int, tuple[int, int, int]], list[tuple[int, int]]]:
@@ -112,17 +114,49 @@ def sensitivity(name: str) -> float:
     return max((v for k, v in SENSITIVE.items() if k in low or k in flat), default=0.0)
 
 
-def _look(literal: str) -> float:
-    """The randomness of a literal in quotes. One without a digit must mix letters with other characters, or cases; blanks and templates are none."""
-    if len(literal) < 8 or re.search(r"\s", literal) or literal.startswith(("${", "{{", "%(", "$(")):
+class _Literal:
+    """What the randomness of a literal, and of those that it is added to, hangs on; its length costs nothing once this is read."""
+
+    __slots__ = ("n", "of", "weight", "digit", "space", "other", "camel", "head", "upper", "lower")
+
+    def __init__(self, text: str):
+        self.n, self.of = len(text), Counter(text)
+        self.weight = sum(c * math.log2(c) for c in self.of.values())
+        self.digit, self.space, self.other, self.camel = (bool(re.search(x, text)) for x in (r"[0-9]", r"\s", r"[^A-Za-z]", r"[a-z][A-Z]"))
+        self.head, self.upper, self.lower = text[:2] if text[:1] in ("$", "{", "%", "(") else "", "A" <= text[:1] <= "Z", "a" <= text[-1:] <= "z"
+
+    def key(self) -> tuple:
+        """Equal for literals that look alike beside any others."""
+        return frozenset(self.of.items()), self.head, self.upper, self.lower, self.camel
+
+    def plain(self) -> bool:
+        return not (self.other or self.camel)
+
+
+def _look(parts: list[_Literal]) -> float:
+    """The randomness of a literal in quotes, or of several one after the other. One without a digit must mix letters with other characters, or cases;
+    blanks and templates are none."""
+    parts = [x for x in parts if x.n]
+    n = sum(x.n for x in parts)
+    if n < 8 or any(x.space for x in parts) or (parts[0].head + (parts[1].head[:1] if len(parts) > 1 and parts[0].n == 1 else "")).startswith(_TEMPLATE):
+        return 0.0
+    if not any(x.digit for x in parts) and not (n >= 12 and (any(x.other or x.camel for x in parts) or any(x.lower and y.upper for x, y in zip(parts, parts[1:], strict=False)))):
         return 0.0
-    mixed = 1.0 if re.search(r"[0-9]", literal) else 0.9 if len(literal) >= 12 and (re.search(r"[^A-Za-z]", literal) or re.search(r"[a-z][A-Z]", literal)) else 0.0
-    return mixed * min(1.0, entropy(literal) / 3.0) * min(1.0, len(literal) / 12)
+    most = max(range(len(parts)), key=lambda k: len(parts[k].of))
+    of, weight, more = parts[most].of, parts[most].weight, Counter()
+    for k, x in enumerate(parts):
+        if k != most:
+            more.update(x.of)
+    for ch, c in more.items():  # only the characters of the others: the part with the most is not gone through again
+        b = of.get(ch, 0)
+        weight += (b + c) * math.log2(b + c) - (b * math.log2(b) if b else 0.0)
+    bits = round(math.log2(n) - weight / n, 9)
+    return (1.0 if any(x.digit for x in parts) else 0.9) * min(1.0, bits / 3.0) * min(1.0, n / 12)
 
 
 def score(name: str, literal: str) -> float:
     """Sensitivity of the name times the randomness of the literal (entropy against 3 bits a character, and length), 0 to 1."""
-    return sensitivity(name) * _look(literal)
+    return sensitivity(name) * _look([_Literal(literal)])
 
 
 def _looks(text: str, spans: set[tuple[int, int]]) -> dict[tuple[int, int], float]:
@@ -204,7 +238,7 @@ def pairs_of(text: str) -> list[_Pair]:
             at = strings[at][0] if at in strings and strings[at][0] > at else at
         m = (_INNER.match(text, at) if op else None) or _PAIR.search(text, at)
     for x, y in zip(out, out[1:], strict=False):
-        if x.name.lower() in _ENTRY and y.name.lower() in _VALUE and len(x.parts) == 1 and y.start - x.end < 40 and not re.search(r"\w", text[x.end : y.start]):
+        if x.name.lower() in _ENTRY and y.name.lower() in _VALUE and len(x.parts) == 1 and not re.search(r"\w", text[x.end : y.start]):
             if _NAMED.fullmatch(named := text[slice(*x.parts[0])]):
                 out.append(_Pair(named, y.start, y.end, y.parts, y.refs, y.bare, y.comment))
     return out
@@ -238,19 +272,79 @@ def lexed_spans(text: str, threshold: float = 0.6) -> list[tuple[int, int, str]]
                     expanded.add(name)
                     stack += defined(name)
 
-    def literal(x: _Pair) -> str:
-        return "".join(text[a:b] for a, b in x.parts)
+    seen: dict[int, _Literal] = {}
+    tries: dict[str, tuple] = {}
+    tried: dict[tuple, tuple[bool, bool]] = {}
+
+    def literal(i: int) -> _Literal:
+        if i not in seen:
+            seen[i] = _Literal("".join(text[a:b] for a, b in pairs[i].parts))
+        return seen[i]
+
+    def definitions(name: str) -> tuple[list[int], list[int], list[list[int]], list[list[list[int]]]]:
+        """(definitions by literals in order, their starts, those that look alike together, of these the ones not reported yet); of the last two, each plain ones apart."""
+        name = name if name in of else name.rpartition(".")[2]
+        if name not in tries:
+            own = sorted((i for i in of.get(name, []) if pairs[i].parts), key=lambda i: pairs[i].start)
+            able = [i for i in own if not literal(i).space]  # one with blanks is never part of a secret
+            own = able or own
+            alike: dict[tuple, list[int]] = defaultdict(list)
+            for i in able:
+                alike[literal(i).key()].append(i)
+            split = [[g for g in alike.values() if literal(g[0]).plain() == plain] for plain in (False, True)]
+            tries[name] = own, [pairs[i].start for i in own], split, [list(x) for x in split]
+        return tries[name]
+
+    def composed(i: int, rate: float) -> None:
+        """Reports a value and the definitions of the names in it that together look random. A name stands for its last definition before the value, else
+        its first; each other definition is tried in its place."""
+        x, whole = pairs[i], literal(i)
+        names = [r for r in x.refs if definitions(r)[0]]
+        reached = {r: definitions(r)[0][max(0, bisect_right(definitions(r)[1], x.start - 1) - 1)] for r in names}
+
+        # all of one look are tried once: what the others would pass with is reported already
+        key = rate, whole.key(), tuple(names), tuple(literal(reached[r]).key() for r in names) if len(names) > 1 else ()
+
+        def report(*of_: int) -> None:
+            out.update((pairs[k].parts[0][0], pairs[k].parts[-1][1], "lexed") for k in of_)
+
+        def passes(chosen: dict[str, int]) -> bool:
+            if rate * _look([*(literal(chosen[r]) for r in names), whole]) < threshold:
+                return False
+            report(i, *chosen.values())
+            return True
+
+        if not names:
+            return
+        if key in tried:
+            if tried[key][0]:
+                report(i, *(reached.values() if tried[key][1] else ()))
+            return
+        hit = together = passes(reached)
+        # two plain literals are a mixed one only at a change of case between them; of several names, any may mix
+        kinds = (0,) if len(names) == 1 and whole.plain() and not whole.upper else (0, 1)
+        for r in dict.fromkeys(names):
+            left = definitions(r)[3]
+            for k in kinds:
+                rest = []
+                for g in left[k]:
+                    if passes(reached | {r: g[0]}):
+                        hit = True
+                        report(*g)
+                    else:
+                        rest.append(g)
+                left[k] = rest
+        tried[key] = hit or any(passes(reached | {r: g[0]}) for r in dict.fromkeys(names) for k in kinds for g in definitions(r)[2][k]), together and len(names) > 1
 
     out, bare = set(), {}
-    for rate, x in zip(much, pairs, strict=True):
+    for i, (rate, x) in enumerate(zip(much, pairs, strict=True)):
         if not rate:
             continue
         if x.parts:
-            whole = literal(x)
-            known = [pairs[d[0]] for r in x.refs if (d := defined(r)) and pairs[d[0]].parts]
-            short = [y for y in known if sum(b - a for a, b in y.parts) <= 256]
-            if rate * max(_look(whole), _look("".join(map(literal, short)) + whole) if short else 0.0) >= threshold:
-                out |= {(y.parts[0][0], y.parts[-1][1], "lexed") for y in [x, *(short if rate * _look(whole) < threshold else [])]}
+            if rate * _look([literal(i)]) >= threshold:
+                out.add((x.parts[0][0], x.parts[-1][1], "lexed"))
+            elif not literal(i).space:
+                composed(i, rate)
         elif x.bare and not any(map(defined, x.refs)):
             bare[x.bare] = max(rate, bare.get(x.bare, 0.0))
     looks = _looks(text, set(bare))
@@ -274,7 +368,7 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, spans array<struct<kind, start, end>>, base_spans likewise; code points, end exclusive.
 
     A null text counts as empty and has no spans; null ids and repeated rows stay, each a row; no documents give no rows; texts of any length are
-    read whole, in linear time; spans that tie in start and kind stand by their end; extra columns are ignored.
+    read whole, in linear time but for literals added to a name that differ in look as often as its definitions do; spans that tie in start and kind stand by their end; extra columns are ignored.
     """
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
