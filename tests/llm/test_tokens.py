@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -19,6 +20,25 @@ def test_encoder_equals_library():
     assert all(list(a) == b.ids for a, b in zip(got, want, strict=True))
 
 
+def test_re_pair_looks_at_new_symbols_only(monkeypatch):
+    rng = np.random.default_rng(6)
+    words = rng.integers(3, 50_000, (30_000, 3)).astype(np.uint32)  # three ids a word, words of skewed frequency
+    seq = words[(30_000 * rng.random(1 << 18) ** 4).astype(int)].reshape(-1)
+    seq[rng.integers(0, len(seq), 2000)] = 2
+
+    looked, sort = [], np.sort
+    monkeypatch.setattr(T.np, "sort", lambda x, **k: looked.append(len(x)) or sort(x, **k))
+    T.re_pair(seq, 50_000, 2)
+    assert len(looked) > 3 and sum(looked) < 5 * len(seq), looked  # not some twenty rounds over the whole sequence
+    for s in (seq, rng.integers(1, 5, 5000).astype(np.uint32), np.full(999, 7, np.uint32)):
+        for most in (1, 50, 1 << 14):
+            if most > 1 or len(s) < 9999:
+                symbols, rules, lengths = T.re_pair(s, 50_000, 2, most=most)
+                assert np.array_equal(T.expand(symbols, 50_000, rules, lengths), s)
+                left = Counter((a, b) for a, b in zip(symbols.tolist(), symbols[1:].tolist()) if 2 not in (a, b))
+                assert max(left.values(), default=0) < 4  # none is left that gains
+
+
 def test_re_pair_round_trip():
     rng = np.random.default_rng(2)
     for n, k in ((0, 5), (1, 5), (5, 3), (4000, 3), (60_000, 30), (60_000, 900)):

@@ -11,7 +11,7 @@ n_rules, n_symbols; rules (left, right) uint32; expansion lengths uint32; symbol
 ends its symbols: no pair spans two documents.
 
 The tokenizer's own encode of each distinct pre-token is remembered (BPE never crosses pre-tokens), under its bytes. Hashes only tell which
-pre-tokens of a stretch may be equal; all are compared with the one that stands for them, and a stretch with two of one hash, like texts with
+of them a pre-token may be; all are compared with the bytes kept for it, and a stretch with another one of the same hash, like texts with
 characters beyond Latin-1 or with a special token's string, goes to the tokenizer as it is.
 """
 
@@ -21,6 +21,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,25 +46,30 @@ _S, _L, _N, _O = 0, 1, 2, 3
 _CLASS = np.full(256, _O, np.uint8)
 for _k, _chars in ((_L, _LETTERS), (_N, _NUMBERS), (_S, _SPACES)):
     _CLASS[[ord(c) for c in _chars]] = _k
+_LETTER = frozenset(map(ord, _LETTERS))
 _BYTE = mix(np.arange(1, 257, dtype=U))
 _POWER = np.cumprod(np.concatenate(([U(1)], np.full(CHUNK, U(0xD6E8FEB86659FD93)))))
 _UNPOWER = np.cumprod(np.concatenate(([U(1)], np.full(CHUNK, U(pow(0xD6E8FEB86659FD93, -1, 1 << 64))))))
 
 
-def starts(c: np.ndarray) -> np.ndarray:
-    """Where the pre-tokens of one Latin-1 text begin: runs of letters, numbers or other characters take one space before them;
-    white space before such a run leaves its last character apart; contractions are cut off."""
+def starts(c: np.ndarray, first: np.ndarray | None = None) -> np.ndarray:
+    """Where the pre-tokens of Latin-1 texts begin, which stand one after the other from `first` on (one text if None): runs of letters, numbers or
+    other characters take one space before them; white space before such a run leaves its last character apart; contractions are cut off."""
+    edge = np.zeros(len(c) + 1, bool)  # a text begins or ends
+    edge[0] = edge[-1] = True
+    if first is not None:
+        edge[first] = True
     k = _CLASS[c]
     s = k == _S
-    before, after = np.concatenate(([False], s[:-1])), np.concatenate((s[1:], [True]))
-    out = np.concatenate(([True], k[1:] != k[:-1]))  # a run begins
+    before, after = np.concatenate(([False], s[:-1])) & ~edge[:-1], np.concatenate((s[1:], [True])) | edge[1:]
+    out = np.concatenate(([True], k[1:] != k[:-1])) | edge[:-1]  # a run begins
     out &= ~(~s & before & (np.concatenate(([0], c[:-1])) == 0x20))  # its space has been taken
     out |= s & ~after  # the last white space before a run
-    for i in np.flatnonzero(out & (c == 0x27)):
-        rest = c[i + 1 : i + 3].tobytes().decode("latin-1")
+    for i in np.flatnonzero(out & (c == 0x27)).tolist():
+        rest = "" if edge[i + 1] else c[i + 1 : i + (2 if edge[i + 2] else 3)].tobytes().decode("latin-1")
         if n := next((len(x) for x in _CONTRACTIONS if rest.startswith(x)), 0):
             out[i + 1] = False
-            if i + 1 + n < len(c) and k[i + 1 + n] == _L:
+            if not edge[i + 1 + n] and k[i + 1 + n] == _L:
                 out[i + 1 + n] = True
             if n == 2:
                 out[i + 2] = False
@@ -87,9 +93,40 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.slot: dict[bytes, int] = {}
+        """What is remembered: for each slot the bytes of a pre-token in pool and its ids in flat; slots by hash, in an open-addressed table."""
+        self.known, self.keys, self.slots = 0, np.zeros(1 << 17, U), np.zeros(1 << 17, np.int32)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.at, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.pool, self.pooled = np.zeros(1 << 16, np.uint8), 0
+        self.at, self.size, self.begin, self.long = (np.zeros(1 << 16, np.int64) for _ in range(4))
+
+    def _find(self, key: np.ndarray) -> np.ndarray:
+        """Slots of hashes, or -1."""
+        out, todo, place, last = np.full(len(key), -1, np.int64), np.arange(len(key)), (key & U(len(self.keys) - 1)).astype(np.int64), len(self.keys) - 1
+        while len(todo):
+            there = self.keys[place]
+            same = there == key[todo]
+            out[todo[same]] = self.slots[place[same]]
+            go = np.flatnonzero(~same & (there != 0))
+            todo, place = todo[go], place[go] + 1 & last
+        return out
+
+    def _enter(self, key: np.ndarray, slot: np.ndarray) -> None:
+        """Distinct hashes that the table doesn't hold."""
+        if 2 * self.known > len(self.keys):
+            held = np.flatnonzero(self.keys)
+            key, slot = np.concatenate((self.keys[held], key)), np.concatenate((self.slots[held], slot))
+            n = len(self.keys)
+            while 2 * self.known > n:
+                n *= 2
+            self.keys, self.slots = np.zeros(n, U), np.zeros(n, np.int32)
+        last = len(self.keys) - 1
+        place = (key & U(last)).astype(np.int64)
+        while len(key):
+            free = self.keys[place] == 0
+            self.keys[place[free]] = key[free]
+            mine = self.keys[place] == key
+            self.slots[place[mine]] = slot[mine]
+            key, slot, place = key[~mine], slot[~mine], place[~mine] + 1 & last
 
     @classmethod
     def get(cls, path: str) -> Encoder:
@@ -101,60 +138,58 @@ class Encoder:
     def _ids_of(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pre_tokens: list[bytes]) -> None:
-        """Encodes pre-tokens. Those of a space and letters are joined, as the tokenizer splits them at the spaces again, and told apart by their ids' bytes."""
-        plain, others = [], []
-        for x in pre_tokens:
-            (plain if x[0] == 0x20 and x[1:].decode("latin-1").isalpha() else others).append(x)
-        for at in range(0, len(others), 20_000):
-            part = others[at : at + 20_000]
-            ids = self._ids_of([x.decode("latin-1") for x in part])
-            self._keep(part, np.fromiter((x for i in ids for x in i), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
-        for at in range(0, len(plain), 20_000):
-            part = plain[at : at + 20_000]
-            texts = [x.decode("latin-1") for x in part]
-            flat = np.fromiter((x for i in self._ids_of(["".join(texts[k : k + 500]) for k in range(0, len(texts), 500)]) for x in i), np.uint32)
-            ends = np.cumsum([len(t.encode()) for t in texts])
-            upto = np.cumsum(self.n_bytes[flat])
-            last = np.searchsorted(upto, ends)
-            if len(upto) and last[-1] < len(upto) and np.array_equal(upto[last], ends) and upto[-1] == ends[-1]:
-                self._keep(part, flat, np.diff(np.concatenate(([-1], last))))
-            else:
-                ids = self._ids_of(texts)
-                self._keep(part, np.fromiter((x for i in ids for x in i), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
-
-    def _keep(self, pre_tokens: list[bytes], flat: np.ndarray, n: np.ndarray) -> None:
-        first = len(self.slot)
-        self.slot.update(zip(pre_tokens, range(first, first + len(n)), strict=True))
-        while len(self.flat) < self.used + len(flat):
-            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        while len(self.at) < len(self.slot):
-            self.at, self.size = np.concatenate((self.at, np.zeros_like(self.at))), np.concatenate((self.size, np.zeros_like(self.size)))
+    def _learn(self, pre_tokens: list[bytes], key: np.ndarray) -> None:
+        """Encodes pre-tokens of these hashes. Those of a space and letters are joined, as the tokenizer splits them at the spaces again, and told apart by their ids' bytes."""
+        plain = np.fromiter((len(x) > 1 and x[0] == 0x20 and x[1] in _LETTER for x in pre_tokens), bool, len(pre_tokens))
+        for joined in (False, True):
+            all_ = np.flatnonzero(plain == joined)
+            for at in range(0, len(all_), 20_000):
+                own = all_[at : at + 20_000]
+                part = [pre_tokens[i] for i in own.tolist()]
+                data, ends = np.frombuffer(b"".join(part), np.uint8), np.cumsum(np.fromiter(map(len, part), np.int64, len(part)))
+                if joined:
+                    flat = np.fromiter(chain.from_iterable(self._ids_of([b"".join(part[k : k + 500]).decode("latin-1") for k in range(0, len(part), 500)])), np.uint32)
+                    in_utf8 = ends + np.concatenate(([0], np.cumsum(data >= 0x80)))[ends]
+                    upto = np.cumsum(self.n_bytes[flat])
+                    last = np.searchsorted(upto, in_utf8)
+                    if len(upto) and last[-1] < len(upto) and np.array_equal(upto[last], in_utf8) and upto[-1] == in_utf8[-1]:
+                        self._keep(data, ends, key[own], flat, np.diff(np.concatenate(([-1], last))))
+                        continue
+                ids = self._ids_of([x.decode("latin-1") for x in part])
+                self._keep(data, ends, key[own], np.fromiter(chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids)))
+
+    def _keep(self, data: np.ndarray, ends: np.ndarray, key: np.ndarray, flat: np.ndarray, n: np.ndarray) -> None:
+        def room(a: np.ndarray, size: int) -> np.ndarray:
+            return a if len(a) >= size else np.concatenate((a, np.zeros(max(size, 2 * len(a)) - len(a), a.dtype)))
+
+        first, self.known = self.known, self.known + len(n)
+        self.flat, self.pool = room(self.flat, self.used + len(flat)), room(self.pool, self.pooled + len(data))
+        self.at, self.size, self.begin, self.long = (room(x, self.known) for x in (self.at, self.size, self.begin, self.long))
         self.flat[self.used : self.used + len(flat)] = flat
-        self.at[first : len(self.slot)], self.size[first : len(self.slot)] = self.used + np.cumsum(n) - n, n
+        self.pool[self.pooled : self.pooled + len(data)] = data
+        own = slice(first, self.known)
+        self.at[own], self.size[own] = self.used + np.cumsum(n) - n, n
+        self.long[own] = np.diff(np.concatenate(([0], ends)))
+        self.begin[own] = self.pooled + ends - self.long[own]
         self.used += len(flat)
+        self.pooled += len(data)
+        self._enter(key, np.arange(first, self.known, dtype=np.int32))
 
     def _split(self, data: bytes, cuts: list[int]) -> list[np.ndarray] | None:
         """The ids of texts that stand one after the other in data, of at most CHUNK characters; cuts: where they end. None if two pre-tokens have one hash."""
         c = np.frombuffer(data, np.uint8)
-        begin = np.zeros(len(c), bool)
-        lo = 0
-        for hi in cuts:
-            if hi > lo:
-                begin[lo:hi] = starts(c[lo:hi])
-            lo = hi
-        first = np.flatnonzero(begin)
-        ends = np.append(first[1:], len(c))
+        first = np.flatnonzero(starts(c, np.array([0, *cuts[:-1]]))) if len(c) else np.zeros(0, np.int64)
+        ends = np.append(first[1:], len(c)) if len(c) else first
         total = np.concatenate(([U(0)], np.cumsum(_BYTE[c] * _POWER[: len(c)], dtype=U)))
-        key = mix((total[ends] - total[first]) * _UNPOWER[first] ^ (ends - first).astype(U) << U(48))
-        _, where, inverse = np.unique(key, return_index=True, return_inverse=True)
-        like, size = first[where[inverse]], ends - first
-        if not (np.array_equal(size, size[where[inverse]]) and np.array_equal(c, c[np.arange(len(c)) + np.repeat(like - first, size)])):
+        size = ends - first
+        key = mix((total[ends] - total[first]) * _UNPOWER[first] ^ size.astype(U) << U(48)) | U(1)
+        code = self._find(key)
+        if len(new := np.flatnonzero(code < 0)):
+            own, where = np.unique(key[new], return_index=True)
+            self._learn([data[a:b] for a, b in zip(first[new[where]].tolist(), ends[new[where]].tolist(), strict=True)], own)
+            code[new] = self._find(key[new])
+        if not (np.array_equal(size, self.long[code]) and np.array_equal(c, self.pool[np.arange(len(c)) + np.repeat(self.begin[code] - first, size)])):
             return None
-        own, slot = [data[a:b] for a, b in zip(first[where].tolist(), ends[where].tolist(), strict=True)], self.slot
-        if new := [x for x in own if x not in slot]:
-            self._learn(new)
-        code = np.fromiter(map(slot.__getitem__, own), np.int64, len(own))[inverse]
         n = self.size[code]
         stop = np.cumsum(n)
         ids = self.flat[np.arange(stop[-1] if len(stop) else 0) + np.repeat(self.at[code] - stop + n, n)]
@@ -164,7 +199,7 @@ class Encoder:
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
         held, size = [], 0
-        if len(self.slot) > CACHE:
+        if self.known > CACHE:
             self._forget()
 
         def whole(t: str) -> np.ndarray:
@@ -196,53 +231,62 @@ class Encoder:
         return out
 
 
-def re_pair(seq: np.ndarray, base: int, fence: int, least: int = 4, most: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, rules, lengths): round by round the most frequent pairs, `most` at once, become nonterminals from base on, until no pair stands
+def re_pair(seq: np.ndarray, base: int, fence: int, least: int = 4, most: int = 1 << 14) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, rules, lengths): round by round the most frequent pairs, about `most` at once, become nonterminals from base on, until no pair stands
     `least` times: a rule takes 12 bytes and saves 4 for each use, so rarer pairs gain nothing.
-    Ids equal to fence take no part. Overlapping occurrences are taken from the left, every second one."""
-    bins, s, rules, lengths = 1 << 20, seq.astype(np.uint32), [], []
-    size_of, mul, exact = np.ones(base, np.uint32), 0x9E3779B1, False
+    Ids equal to fence take no part. Overlapping occurrences are taken from the left, every second one.
+
+    Once a round has taken all pairs that stand `least` times, each occurrence of them is replaced or has lost a side to its neighbour, and others have
+    not become more. Only pairs with a symbol of that round can then stand `least` times, so the next round looks at the places beside those alone."""
+    s, rules, n_rules, lengths = seq.astype(np.uint32), [], 0, []
+    size_of, at = np.ones(base, np.uint32), None  # at: the places of pairs to look at, ascending; None: all
     while len(s) > 1:
-        a, b = s[:-1], s[1:]
-        h = (a * np.uint32(mul) ^ b * np.uint32(0x85EBCA77)) >> np.uint32(12)
-        mul = (mul * 0x2C1B3C6D + 0x4000) & 0xFFFFFFFF | 1
-        count = np.bincount(h, minlength=bins)
-        cut = least if exact else max(least, int(np.partition(count, bins - most)[bins - most]))
-        at = np.flatnonzero((count >= cut)[h] & (a != fence) & (b != fence))
-        key = a[at].astype(np.uint64) << np.uint64(32) | b[at]
-        if exact:
-            distinct, bin_ = np.unique(key, return_inverse=True)
-        else:  # one pair stands for each bin; others of the bin wait for a round with another hash
-            distinct, bin_ = np.zeros(bins, np.uint64), h[at]
-            distinct[bin_] = key
-            same = distinct[bin_] == key
-            at, bin_ = at[same], bin_[same]
-        good = np.bincount(bin_, minlength=len(distinct)) >= least
-        if not good.any():
-            if exact:
-                break
-            exact = True  # before it ends, all pairs are counted
-            continue
-        exact = False
-        name, first = np.zeros(len(distinct), np.uint32), base + len(rules)
-        name[good] = np.arange(first, first + good.sum(), dtype=np.uint32)
-        at, bin_ = at[sel := good[bin_]], bin_[sel]
-        sym, pair = name[bin_], distinct[good]
+        if at is None:
+            at = np.flatnonzero((s[:-1] != fence) & (s[1:] != fence))
+        else:
+            at = at[(s[at] != fence) & (s[at + 1] != fence)]
+        wide, deep = (base + n_rules).bit_length(), len(s).bit_length()
+        if 2 * wide + deep <= 64:  # pair and place in one number: sorted, each pair's places stand together
+            key = s[at].astype(U) << U(wide) | s[at + 1]
+            key = np.sort(key << U(deep) | at.astype(U))
+            at, key = (key & U((1 << deep) - 1)).astype(np.int64), key >> U(deep)
+        else:
+            key = s[at].astype(U) << U(32) | s[at + 1]
+            order = np.argsort(key, kind="stable")
+            at, key, wide = at[order], key[order], 32
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        count = np.diff(np.append(first, len(key)))
+        cut, frequent = least, count[count >= least]
+        if not len(frequent):
+            break
+        if len(frequent) > most:
+            cut = int(np.partition(frequent, len(frequent) - most)[len(frequent) - most])
+        good = np.flatnonzero(count >= cut)
+        pair = key[first[good]]
+        name, of = np.zeros(len(s), np.uint32), np.repeat(count >= cut, count)
+        at = at[of]
+        name[at] = np.repeat(np.arange(base + n_rules, base + n_rules + len(good), dtype=np.uint32), count[good])
+        at = np.flatnonzero(name) if len(at) > len(s) >> 4 else np.sort(at)
         gap = np.concatenate(([True], np.diff(at) != 1))  # runs of adjacent occurrences: every second one is taken
         run = np.maximum.accumulate(np.where(gap, np.arange(len(at)), 0))
-        take = (np.arange(len(at)) - run) % 2 == 0
-        at, sym = at[take], sym[take]
-        left, right = (pair >> np.uint64(32)).astype(np.uint32), (pair & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        at = at[(np.arange(len(at)) - run) % 2 == 0]
+        left, right = (pair >> U(wide)).astype(np.uint32), (pair & U((1 << wide) - 1)).astype(np.uint32)
         new = size_of[left] + size_of[right]
-        rules += list(zip(left.tolist(), right.tolist(), strict=True))
-        lengths += new.tolist()
+        rules.append(np.stack((left, right), axis=1))
+        n_rules += len(good)
+        lengths.append(new)
         size_of = np.concatenate((size_of, new))
-        s = s.copy()
-        s[at] = sym
+        s[at] = name[at]
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
         s = s[keep]
-    return s, np.array(rules, np.uint32).reshape(-1, 2), np.array(lengths, np.uint32)
+        at -= np.arange(len(at))  # where the new symbols stand now
+        if cut > least:
+            at = None
+        else:
+            at = np.stack((at - 1, at), axis=1).reshape(-1)
+            at = at[np.concatenate((at[1:] != at[:-1], [True])) & (at >= 0) & (at < len(s) - 1)]
+    return s, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), np.concatenate(lengths) if lengths else np.zeros(0, np.uint32)
 
 
 def expand(symbols: np.ndarray, base: int, rules: np.ndarray, lengths: np.ndarray) -> np.ndarray:
