@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -134,3 +135,37 @@ def test_shards_are_cut_by_weight():
     assert fence[0] == 0 and len(fence) <= 8 and len(set(fence.tolist())) == len(fence)
     parts = np.split(counts, fence[1:])
     assert max(len(p) for p in parts if p.sum() >= 5000) < 500
+
+
+def test_token_hashes_tell_words_apart():
+    rng, of = random.Random(1), {}
+    for r in range(1500):
+        docs = ["".join(rng.choice(["a", "B", "b", " ", "\n", "\x1c", "é", "abcdefgh", "ABCDEFGHI", "\x0b", "x" * 300 if r % 50 == 0 else "-"]) for _ in range(rng.randint(0, 9))).encode() for _ in range(rng.randint(1, 6))]
+        first = np.cumsum([0] + [len(d) for d in docs])[:-1]
+        h, place = M._hashed(np.frombuffer(b"".join(docs), np.uint8), first)
+        words = [(int(f) + m.start(), m[0].lower()) for f, d in zip(first, docs, strict=True) for m in re.finditer(rb"[^\x20\x09-\x0D]+", d)]
+        assert place.tolist() == [p for p, _ in words]
+        assert all(of.setdefault(w, x) == x for x, (_, w) in zip(h.tolist(), words, strict=True))
+    assert len(set(of.values())) == len(of) > 500
+    for h in (np.array([1, 1, 5, (1 << 60) + 3, (1 << 60) + 2, (1 << 60) + 3], np.uint64), np.array([7], np.uint64), np.array([rng.randrange(1 << 64) for _ in range(500)] * 2, np.uint64)):
+        assert all(np.array_equal(a, b) for a, b in zip(M._distinct(h), np.unique(h, return_inverse=True), strict=True))
+
+
+def test_look_ups_do_not_go_through_all_tokens_for_each_shard(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") + rng.choice("xyz") for _ in range(200)) for _ in range(60)]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 12)
+    try:
+        trie = M.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert len(trie.bigrams) > 6
+    h = np.concatenate([M.tokens(t) for t in texts])
+    ends = np.cumsum([len(M.tokens(t)) for t in texts])
+    seen, plain = [], np.unique
+    monkeypatch.setattr(M.np, "unique", lambda x, **k: seen.append(len(x)) or plain(x, **k))
+    _, _, every = M.score(h, ends, trie)
+    assert sum(seen) < 3.5 * len(h), seen  # tokens, bigrams and trigrams once each, however many shards
+    one = np.concatenate([M.score(M.tokens(t), np.array([len(M.tokens(t))]), trie)[2] for t in texts])
+    assert np.array_equal(every, one)

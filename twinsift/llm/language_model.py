@@ -13,7 +13,7 @@ range of contexts; ranges are cut by the tokens that follow the contexts, so a f
 P1(w) = (c + 1) / (N + V + 1);  P(w | h) = (c(hw) - D) / c(h) + g(h) P(w | h') for kept hw, else g(h) P(w | h').
 Quantised values are rounded down, so probabilities never sum to more than one.
 
-Tokens are told apart by a 64-bit hash (a polynomial of their mixed bytes; xxh3 beyond 256 bytes): with a thousand million distinct tokens,
+Tokens are told apart by a 64-bit hash (mixed with each eight bytes): with a thousand million distinct tokens,
 the chance that any two share one is about 3 %, and such two would count as one token.
 """
 
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, hashed_words, settle, text_buffer, work_path
+from .common import U, mix, settle, text_buffer, work_path
 from .token_output import open_store
 
 _hash = xxhash.xxh3_64_intdigest
@@ -42,6 +42,7 @@ DISCOUNT = 0.5
 STEP = 5000  # quantisation steps of a unit of log10
 #: Tokens that are looked up or counted at once.
 CHUNK = 1 << 20
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 
 
 # ---- Elias-Fano ----
@@ -86,6 +87,11 @@ class EliasFano:
     def zeros(self) -> np.ndarray:
         return (np.arange(len(self.ones)) * 64 - self.ones).astype(np.uint32)
 
+    @functools.cached_property
+    def low_bytes(self) -> np.ndarray:
+        """The eight bytes from each byte of the low parts on."""
+        return np.ndarray((self.low.nbytes - 7,), "<u8", self.low, strides=(1,))
+
     def _select(self, k: np.ndarray, before: np.ndarray, flip: bool) -> np.ndarray:
         """Place of the k-th one (or zero), from 0: its word, its byte, its bit."""
         k = k.astype(np.uint32)
@@ -103,7 +109,7 @@ class EliasFano:
     def _ones_from(self, place: np.ndarray) -> np.ndarray:
         """How many ones stand at a place and directly after it, 64 at most."""
         word, off = place >> 6, (place & 63).astype(U)
-        after = np.where(off > 0, self.high[np.minimum(word + 1, len(self.high) - 1)] << (U(64) - np.maximum(off, U(1))), U(0))
+        after = self.high[np.minimum(word + 1, len(self.high) - 1)] << U(1) << (off ^ U(63))  # by 64 - off bits, none for off 0
         gaps = ~(self.high[word] >> off | after)
         return np.bitwise_count((gaps & (~gaps + U(1))) - U(1)).astype(np.int64)
 
@@ -111,8 +117,10 @@ class EliasFano:
         if not self.low_bits:
             return np.zeros(len(i), U)
         bit = i * self.low_bits
+        if self.low_bits <= 57:
+            return (self.low_bytes[bit >> 3] >> (bit & 7).view(U)) & ((U(1) << U(self.low_bits)) - U(1))
         word, off = bit >> 6, (bit & 63).astype(U)
-        after = np.where(off > 0, self.low[word + 1] << (U(64) - np.maximum(off, U(1))), U(0))
+        after = self.low[word + 1] << U(1) << (off ^ U(63))
         return (self.low[word] >> off | after) & ((U(1) << U(self.low_bits)) - U(1))
 
     def access(self, i: np.ndarray) -> np.ndarray:
@@ -122,6 +130,15 @@ class EliasFano:
             out[at : at + SLICE] = (self._select(j, self.ones, False) - j).astype(U) << U(self.low_bits) | self.low_of(j)
         return out
 
+    def pairs(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The elements i and those after them; i ascends, so that what stands between neighbours is read once."""
+        every = np.empty(2 * len(i), np.int64)
+        every[::2], every[1::2] = i, i + 1
+        new = np.ones(len(every), bool)
+        new[1:] = every[1:] != every[:-1]
+        got = self.access(every[new]).astype(np.int64)[np.cumsum(new) - 1]
+        return got[::2], got[1::2]
+
     def find(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Place of x in [lo, hi), -1 if it isn't there."""
         out = np.full(len(x), -1, np.int64)
@@ -144,15 +161,15 @@ class EliasFano:
         want = x[at] & ((U(1) << shift) - U(1))
         while len(at):
             more = np.flatnonzero(start < stop)
-            at, start, stop, want = at[more], start[more], stop[more], want[more]
-            mid = (start + stop) // 2
+            if len(more) < len(at):
+                at, start, stop, want = at[more], start[more], stop[more], want[more]
+            mid = start + stop >> 1
             got = self.low_of(mid)
             same = got == want
-            out[at[same]] = mid[same]
-            less = got < want
+            hit, go = np.flatnonzero(same), np.flatnonzero(~same)  # most are hits
+            out[at[hit]] = mid[hit]
+            at, start, stop, want, mid, less = at[go], start[go], stop[go], want[go], mid[go], (got < want)[go]
             start, stop = np.where(less, mid + 1, start), np.where(less, stop, mid)
-            go = np.flatnonzero(~same)
-            at, start, stop, want = at[go], start[go], stop[go], want[go]
 
 
 def write_arrays(path: str, name: str, arrays: dict[str, np.ndarray]) -> None:
@@ -204,6 +221,18 @@ def quantised(log10: np.ndarray) -> np.ndarray:
 # ---- levels ----
 
 
+@functools.cache
+def word_fence(n_shards: int) -> np.ndarray:
+    """The least hash of each shard of level 1."""
+    return np.array([-(-(i << 32) // n_shards) << 32 for i in range(n_shards)], U)
+
+
+def _runs(x: np.ndarray, fence: np.ndarray) -> list[tuple[int, slice]]:
+    """For each range from a fence to the next that holds some of the ascending numbers x: (its number, where they stand)."""
+    at = [*np.searchsorted(x, fence).tolist(), len(x)]
+    return [(k, slice(at[k], at[k + 1])) for k in range(len(fence)) if at[k] < at[k + 1]]
+
+
 class Words:
     """Level 1: token hashes and counts, in shards by range of hash."""
 
@@ -217,16 +246,15 @@ class Words:
         self.shards = list(self.of.values())
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids or -1, counts) of hashes."""
+        """(ids or -1, counts) of ascending hashes."""
         ids, c = np.full(len(h), -1, np.int64), np.zeros(len(h), np.int64)
-        shard = ((h >> U(32)) * U(self.n_shards) >> U(32)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(h) else []:
-            if (k := int(shard[part[0]])) in self.of:
+        for k, at in _runs(h, word_fence(self.n_shards)):
+            if k in self.of:
                 first, ef, values, rank = self.of[k]
-                p = ef.find(h[part], np.zeros(len(part), np.int64), np.full(len(part), ef.n))
-                ok = p >= 0
-                ids[part[ok]], c[part[ok]] = first + p[ok], values[rank[p[ok]]]
+                own = h[at]
+                p = ef.find(own, np.zeros(len(own), np.int64), np.full(len(own), ef.n))
+                ok = np.flatnonzero(p >= 0)
+                ids[at][ok], c[at][ok] = first + p[ok], values[rank[p[ok]]]
         return ids, c
 
     def count(self, ids: np.ndarray) -> np.ndarray:
@@ -250,34 +278,42 @@ class Level:
             at += n
         self.start, self.n = np.array([x[1] for x in self.shards], np.int64), at
 
-    def find(self, ctx: np.ndarray, child: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place of the child of a context or -1, log10 of the context's backoff). A child of -1 is looked for nowhere."""
-        place, back = np.full(len(ctx), -1, np.int64), np.zeros(len(ctx))
-        s = np.searchsorted(self.first, ctx, side="right") - 1
-        for k in np.unique(s[s >= 0]).tolist():
-            at = np.flatnonzero(s == k)
+    def find(self, ctx: np.ndarray, child: np.ndarray, rates: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the child of a context or -1, log10 of the context's backoff, log10 of the n-gram where it is found; both 0 without rates).
+        A child of -1 is looked for nowhere.
+
+        Contexts ascend, so those of a shard, and equal ones, stand side by side."""
+        place, back, prob = np.full(len(ctx), -1, np.int64), np.zeros(len(ctx)), np.zeros(len(ctx))
+        for k, at in _runs(ctx, self.first):
             lo, first, pointer, ids, a = self.shards[k]
-            own, inverse = np.unique(ctx[at] - lo, return_inverse=True)
-            ok = own < pointer.n - 1
-            own = np.where(ok, own, 0)
-            begin, end = pointer.access(own).astype(np.int64), pointer.access(own + 1).astype(np.int64)
-            end = np.where(ok, end, begin)
+            own = ctx[at] - lo
+            new = np.concatenate(([True], own[1:] != own[:-1]))
+            inverse, own = np.cumsum(new) - 1, own[new]
+            n = int(np.searchsorted(own, pointer.n - 1))  # those beyond are no contexts of this shard
+            begin, end = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)
+            begin[:n], end[:n] = pointer.pairs(own[:n])
+            if rates:
+                log = np.zeros(len(own))
+                log[:n] = a["back"][own[:n]].astype(float) / -STEP
+                back[at] = log[inverse]
             base = np.zeros(len(own), U)
             some = np.flatnonzero((begin > 0) & (end > begin))
             base[some] = ids.access(begin[some] - 1)
-            known = np.flatnonzero(child[at] >= 0)
-            to, of = at[known], inverse[known]
-            p = ids.find(base[of] + child[to].astype(U), begin[of], end[of])
-            place[to] = np.where(p >= 0, first + p, -1)
-            back[at] = np.where(ok, a["back"][own].astype(float) / -STEP, 0.0)[inverse]
-        return place, back
+            to = np.flatnonzero((child[at] >= 0) & (end > begin)[inverse])
+            of = inverse[to]
+            p = ids.find(base[of] + child[at][to].astype(U), begin[of], end[of])
+            hit = np.flatnonzero(p >= 0)
+            place[at][to[hit]] = first + p[hit]
+            if rates:
+                prob[at][to[hit]] = a["prob"][p[hit]].astype(float) / -STEP
+        return place, back, prob
 
     def _of(self, place: np.ndarray, get) -> np.ndarray:
         out = np.zeros(len(place))
-        s = np.searchsorted(self.start, place, side="right") - 1
-        for k in np.unique(s).tolist():
-            at = np.flatnonzero(s == k)
-            out[at] = get(self.shards[k][4], place[at] - self.shards[k][1])
+        order = np.argsort(place)
+        for k, at in _runs(place[order], self.start):
+            own = order[at]
+            out[own] = get(self.shards[k][4], place[own] - self.shards[k][1])
         return out
 
     def log10(self, place: np.ndarray) -> np.ndarray:
@@ -303,12 +339,58 @@ class Trie:
         return found
 
 
+def _hashed(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, places) of the words of documents that stand one after the other in data; first: where they begin, ascending. Eight bytes of a word at once,
+    so that its bytes need no numbers of their own; words of up to eight bytes and one length have different hashes."""
+    n = len(data)
+    held = np.zeros(n + 8, np.uint8)
+    np.bitwise_or(data, (data - np.uint8(65) < 26).view(np.uint8) << np.uint8(5), out=held[:n])  # A-Z
+    eight = np.ndarray((n + 1,), "<u8", held, strides=(1,))
+    edge = np.zeros(n + 2, bool)  # between a byte and the one before it a word begins or ends
+    word = np.zeros(n + 2, bool)
+    np.logical_and(data != 0x20, data - np.uint8(9) >= 5, out=word[1:-1])
+    np.not_equal(word[1:], word[:-1], out=edge[:-1])
+    inner = first[(first > 0) & (first < n)]
+    cut = inner[word[inner] & word[inner + 1]]  # a word that ends where the next document begins with one
+    at = np.flatnonzero(edge[: n + 1])
+    begin, end = at[::2], at[1::2]
+    if len(cut):
+        cut = np.unique(cut)
+        after = np.searchsorted(begin, cut)
+        begin, end = np.insert(begin, after, cut), np.insert(end, after - 1, cut)
+    size = end - begin
+    h = mix(eight[begin] & _MASKS[np.minimum(size, 8)] ^ size.astype(U) << U(57))
+    own, left = np.flatnonzero(size > 8), size
+    while len(own):
+        left = left[own] - 8 if left is size else left
+        part = eight[end[own] - left] & _MASKS[np.minimum(left, 8)]
+        h[own] = mix(h[own] * U(0xD6E8FEB86659FD93) ^ part)
+        go = np.flatnonzero(left > 8)
+        own, left = own[go], left[go] - 8
+    return h, begin
+
+
 def tokens(text: str | None) -> np.ndarray:
     """Hashes of the text's words, and of the end."""
-    h, _ = hashed_words(np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8), np.zeros(1, np.int64))
+    h, _ = _hashed(np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8), np.zeros(1, np.int64))
     return np.append(h, U(END))
 
 
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique of hashes, with the inverse: sorted by their upper bits with the place in the lower ones; if two share the upper bits, in full."""
+    low = len(h).bit_length()
+    key = np.sort(h >> U(low) << U(low) | np.arange(len(h), dtype=U))
+    order = (key & U((1 << low) - 1)).view(np.int64)
+    g = h[order]
+    new = np.concatenate(([True], g[1:] != g[:-1]))
+    at = np.flatnonzero(new)
+    if not (g[at[1:]] > g[at[:-1]]).all():
+        return np.unique(h, return_inverse=True)
+    inverse = np.empty(len(h), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return g[at], inverse
+
+
 def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
 
@@ -323,7 +405,7 @@ def _parts(batches, training: bool):
         while at < b.num_rows:
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + 6 * CHUNK, side="right")) - 1)
             first = offsets[at : to + 1] - offsets[at]
-            h, place = hashed_words(data[offsets[at] : offsets[to]], first[:-1])
+            h, place = _hashed(data[offsets[at] : offsets[to]], first[:-1])
             n = np.diff(np.searchsorted(place, first))
             out = np.full(len(h) + len(n), END, U)
             out[np.arange(len(h)) + np.repeat(np.arange(len(n)), n)] = h
@@ -332,10 +414,20 @@ def _parts(batches, training: bool):
         settle()
 
 
-def _looked_up(h: np.ndarray, ends: np.ndarray, trie: Trie):
-    """For the tokens h: ids of words that reach the cutoff (else -1), counts, places of bigrams that end at them (else -1), log10 backoffs of the word before."""
+def _pairs(ctx: np.ndarray, child: np.ndarray) -> np.ndarray:
+    """Contexts and children in one number each; a context of -1 stands behind all others, where nothing is found."""
+    return ctx.view(U) << U(32) | (child + 1).view(U)
+
+
+def _unpaired(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (key >> U(32)).view(np.int64), (key & U(0xFFFFFFFF)).view(np.int64) - 1
+
+
+def _looked_up(h: np.ndarray, ends: np.ndarray, trie: Trie, rates: bool = False):
+    """For the tokens h: ids of words that reach the cutoff (else -1), counts, places of bigrams that end at them (else -1), log10 backoffs of the word before,
+    log10 of the bigrams (both 0 without rates)."""
     level1, level2, _ = trie.levels()
-    distinct, inverse = np.unique(h, return_inverse=True)
+    distinct, inverse = _distinct(h)
     ids, c = level1.find(distinct)
     ids[c < trie.cutoff] = -1
     w, c = ids[inverse], c[inverse]
@@ -344,13 +436,14 @@ def _looked_up(h: np.ndarray, ends: np.ndarray, trie: Trie):
     first[ends[:-1]] = True
     before = np.concatenate(([-1], w[:-1]))
     before[first] = -1
-    place, back = np.full(len(h), -1, np.int64), np.zeros(len(h))
-    if level2 is not None:
-        at = np.flatnonzero(before >= 0)  # a missing word has its context's backoff, too
-        key, inverse = np.unique(before[at].astype(U) << U(32) | (w[at] + 1).astype(U), return_inverse=True)
-        p, b = level2.find((key >> U(32)).astype(np.int64), (key & U(0xFFFFFFFF)).astype(np.int64) - 1)
-        place[at], back[at] = p[inverse], b[inverse]
-    return w, c, before, place, back
+    if level2 is None:
+        return w, c, before, np.full(len(h), -1, np.int64), np.zeros(len(h)), np.zeros(len(h))
+    key, inverse = np.unique(_pairs(before, w), return_inverse=True)  # a missing word has its context's backoff, too
+    place, back, prob = level2.find(*_unpaired(key), rates)
+    if not rates:
+        return w, c, before, place[inverse], back, prob
+    place, back, prob = place[inverse], back[inverse], prob[inverse]
+    return w, c, before, place, back, prob
 
 
 def _planes(x: np.ndarray) -> tuple[int, bytes]:
@@ -451,8 +544,7 @@ def train(docs: DataFrame, path: str | None = None, cutoff: int = 1) -> Trie:
         write_arrays(trie.path, f"words-{shard:06d}", ef_build(h, "hash") | coded(c, "count"))
         return {"shard": shard, "n": len(h), "c": int(c.sum()), "marks": _marks(c)}
 
-    fence = np.array([-(-(i << 32) // n_shards) << 32 for i in range(n_shards)], U)  # as Words.find has it
-    got = sorted(tuple(r) for r in _by_shard(cols, lambda h, ends: h, fence, write_words, "shard long, n long, c long, marks array<long>"))
+    got = sorted(tuple(r) for r in _by_shard(cols, lambda h, ends: h, word_fence(n_shards), write_words, "shard long, n long, c long, marks array<long>"))
     trie.sizes, trie.V, trie.N = [(k, n) for k, n, *_ in got], sum(x[1] for x in got), sum(x[2] for x in got)
     if trie.V >= 1 << 32:
         raise ValueError("more than 2**32 - 1 distinct tokens")
@@ -481,7 +573,7 @@ def train(docs: DataFrame, path: str | None = None, cutoff: int = 1) -> Trie:
         return sorted((tuple(r) for r in rows if r.n), key=lambda x: x[1])
 
     def pairs(h, ends):
-        w, _, before, _, _ = _looked_up(h, ends, trie)
+        w, _, before, *_ = _looked_up(h, ends, trie)
         ok = (before >= 0) & (w >= 0)
         return before[ok].astype(U) * U(trie.V) + w[ok].astype(U)
 
@@ -496,7 +588,7 @@ def train(docs: DataFrame, path: str | None = None, cutoff: int = 1) -> Trie:
     trie.bigrams = [x[:3] for x in got2]
 
     def triples(h, ends):
-        _, _, _, place, _ = _looked_up(h, ends, trie)
+        _, _, _, place, *_ = _looked_up(h, ends, trie)
         ok = np.flatnonzero((place[1:] >= 0) & (place[:-1] >= 0)) + 1  # a place is -1 at a document's start
         return place[ok - 1].astype(U) * U(n_bigrams) + place[ok].astype(U)
 
@@ -507,21 +599,14 @@ def train(docs: DataFrame, path: str | None = None, cutoff: int = 1) -> Trie:
 
 def score(h: np.ndarray, ends: np.ndarray, trie: Trie) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(counts, log10 of the base, log10 of the model) of each token."""
-    w, c, before, place, back = _looked_up(h, ends, trie)
+    w, c, before, place, back, prob = _looked_up(h, ends, trie, True)
     level3 = trie.levels()[2]
     base = np.log10((c + 1) / (trie.N + trie.V + 1))
     out = base + np.where(before >= 0, back, 0.0)
-    two = np.flatnonzero(place >= 0)
-    out[two] = trie.levels()[1].log10(place[two])
-    at = np.flatnonzero(np.concatenate(([-1], place[:-1])) >= 0)
-    at = at[before[at] >= 0]
-    child = place[at]
-    key, inverse = np.unique(place[at - 1].astype(U) << U(32) | (child + 1).astype(U), return_inverse=True)
-    p, b = level3.find((key >> U(32)).astype(np.int64), (key & U(0xFFFFFFFF)).astype(np.int64) - 1)
-    p, b = p[inverse], b[inverse]
-    out[at] += b
-    three = p >= 0
-    out[at[three]] = level3.log10(p[three])
+    out = np.where(place >= 0, prob, out)
+    key, inverse = np.unique(_pairs(np.where(before >= 0, np.concatenate(([-1], place[:-1])), -1), place), return_inverse=True)
+    p, b, x = level3.find(*_unpaired(key))
+    out = np.where((p >= 0)[inverse], x[inverse], out + b[inverse])
     return c, base, out
 
 
