@@ -2,12 +2,14 @@ import os
 import shutil
 import subprocess
 import sys
+from dataclasses import replace
 
 import duckdb
 import pytest
 from conftest import SF
 
 import __spark_entry__ as entry
+from twinsift.plans import compare
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 FAST = ["generate_mutations", "key_metrics", "composite_key_compare", "content_classification", "array_multiset_equality", "changed_paths", "value_examples", "type_shares", "sample_metrics", "verdict", "learned_thresholds", "bson_key_order", "numeric_equality", "typed_cross_type_keys", "json_lookup", "key_bounds", "json_key_bounds", "sample_content"]
@@ -39,3 +41,10 @@ def test_works_without_training_data_operators(tmp_path):
     shutil.copytree(ROOT, to, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", ".pytest_cache"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'verdict' in q and not [k for k in q if k.startswith('op') or k == 'pipeline']"
     subprocess.run([sys.executable, "-c", code], cwd=to, check=True, env={**os.environ, "PYTHONPATH": str(to)}, timeout=120)
+
+
+@pytest.mark.parametrize("name", ["rule_levels"])
+def test_counts_every_row_of_large_sides(spark, monkeypatch, name):
+    resolve = compare.resolve_mode
+    monkeypatch.setattr(compare, "resolve_mode", lambda s, nb, nc: resolve(replace(s, fullScanLimit=100, sampleSize=50), nb, nc))
+    test_query_equals_sql(spark, name)
