@@ -43,7 +43,7 @@ def test_works_without_training_data_operators(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=to, check=True, env={**os.environ, "PYTHONPATH": str(to)}, timeout=120)
 
 
-@pytest.mark.parametrize("name", ["rule_levels"])
+@pytest.mark.parametrize("name", ["rule_levels", "verdict"])
 def test_counts_every_row_of_large_sides(spark, monkeypatch, name):
     resolve = compare.resolve_mode
     monkeypatch.setattr(compare, "resolve_mode", lambda s, nb, nc: resolve(replace(s, fullScanLimit=100, sampleSize=50), nb, nc))
